@@ -39,6 +39,14 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(keyed, id_col="key").withColumn("feature", feature).select("key.*", *names[2:])
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify, fit, held_out
+
+    docs = table(spark, sf_dir, "documents")
+    scored = classify(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import top_k
 
@@ -74,6 +82,15 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(docs, vocab_path(), compile_lexicon(docs, vocab_path()))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import held_out
+    from .toxicity import classify, fit
+
+    docs = table(spark, sf_dir, "documents")
+    scored = classify(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return scored.withColumn("held_out", held_out())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and name[2].isdigit()}
 
