@@ -17,11 +17,16 @@ def _word_signs() -> np.ndarray:
 _WORD = _word_signs()
 
 
+def lowered_ascii(data: bytes) -> np.ndarray:
+    """The bytes with A-Z in lower case."""
+    raw = np.frombuffer(data, np.uint8)
+    return raw + (((raw >= 0x41) & (raw <= 0x5A)).view(np.uint8) << 5)
+
+
 def lowered(data: bytes) -> np.ndarray:
     """The bytes with A-Z and the two-byte Latin capitals in lower case."""
-    raw = np.frombuffer(data, np.uint8).copy()
+    raw = lowered_ascii(data)
     if len(raw):
-        raw[(raw >= 0x41) & (raw <= 0x5A)] += 0x20
         second = np.zeros(len(raw), bool)
         second[1:] = raw[:-1] == 0xC3
         raw[second & (raw >= 0x80) & (raw <= 0x9E) & (raw != 0x97)] += 0x20

@@ -53,6 +53,14 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
 
 
+def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fractions import Fraction
+
+    from .neardup import Rule, near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), Rule(words=4, similarity=Fraction(4, 5)))
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import scan
 
