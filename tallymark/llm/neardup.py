@@ -212,8 +212,8 @@ def components(links: DataFrame) -> DataFrame:
     both = links.select("a", "b").unionByName(links.selectExpr("b as a", "a as b"))
     state = written(both.groupBy(F.col("a").alias("set")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "labels")
     while True:
-        near = both.join(state.toDF("b", "near"), "b").groupBy(F.col("a").alias("set")).agg(F.min("near").alias("near"))
-        lower = state.join(near, "set", "left").select("set", F.least("label", "near").alias("next"), "label")
+        near = both.join(state.selectExpr("set as b", "label as near"), "b").groupBy(F.col("a").alias("set")).agg(F.min("near").alias("near"))
+        lower = state.select("set", "label").join(near, "set", "left").select("set", F.least("label", "near").alias("next"), "label")
         jump = lower.select(F.col("set").alias("next"), F.col("next").alias("far"))
         after = written(lower.join(jump, "next", "left").select("set", F.least("next", "far").alias("label"), (F.least("next", "far") < F.col("label")).alias("moved")), "labels")
         drop_written(state)

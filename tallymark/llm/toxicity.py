@@ -199,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", kinds: dic
     marked = arrow_map(rows, f"id {type_of(rows, 'id')}, label int, x binary, named binary", mark)
     got = marked.orderBy(F.xxhash64("id"), "id", "x").limit(sample).toArrow()
     drop_written(rows)
-    bits = np.frombuffer(b"".join(got.column("x").to_pylist()), np.uint8).reshape(got.num_rows, -1)
+    bits = np.frombuffer(b"".join(got.column("x").to_pylist()), np.uint8).reshape(got.num_rows, -(-len(chosen) // 8))
     x = np.unpackbits(bits, axis=1, count=len(chosen)).astype(np.float32) if len(chosen) else np.zeros((got.num_rows, 0), np.float32)
     y = got.column("label").to_numpy().astype(np.float64)
     named = np.frombuffer(b"".join(got.column("named").to_pylist()), np.uint8).reshape(got.num_rows, len(kinds))
