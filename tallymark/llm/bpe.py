@@ -30,7 +30,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, arrow_map, new_uri, only, put_bytes, ragged, slices, text_bytes, type_of
+from .common import arrow_map, drop_written, new_uri, only, put_bytes, ragged, slices, text_bytes, type_of, written
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
 NEVER = np.int32(2**31 - 1)
@@ -430,12 +430,15 @@ class Lexicon:
 
 
 def frequent_words(docs: DataFrame, vocab_path: str, size: int = 1 << 16, least: int = 2, text_col: str = "text") -> list[bytes]:
-    """The ``size`` most frequent words of all texts (of ``least`` occurrences at least; ties by
-    the word's bytes).  ``size`` bounds the lexicon and what reaches the driver."""
+    """The most frequent words of all texts, ``size`` at most, of ``least`` occurrences at least.
+
+    A histogram of the counts (32 steps to each doubling) tells the count from which the words are
+    few enough, so no task sends more than its share of those to the driver.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         specials = tuple(vocabulary(vocab_path).specials)
-        for batch in slices(batches, "text", 2 * SLICE_BYTES):
+        for batch in slices(batches, "text"):
             data, offsets = text_bytes(batch.column(0))
             bounds, _ = word_bounds(data, offsets, specials)
             if len(bounds) > 1:
@@ -445,8 +448,16 @@ def frequent_words(docs: DataFrame, vocab_path: str, size: int = 1 << 16, least:
 
     texts = only(docs, text_col).select(F.col(f"`{text_col}`").cast("string").alias("text"))
     counted = arrow_map(texts, "word binary, n bigint", count)
-    top = counted.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(size)
-    return [bytes(r["word"]) for r in top.collect()]
+    total = counted.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    total = written(total.withColumn("step", F.floor(F.log2("n") * 32).cast("int")), "words")
+    lowest, kept = None, 0
+    for r in sorted(total.groupBy("step").count().collect(), reverse=True):
+        if kept + r["count"] > size:
+            break
+        lowest, kept = r["step"], kept + r["count"]
+    out = [] if lowest is None else [bytes(r["word"]) for r in total.filter(F.col("step") >= lowest).select("word").collect()]
+    drop_written(total)
+    return out
 
 
 def publish(spark, lexicon: Lexicon) -> str:
