@@ -44,7 +44,7 @@ def read_files(spark: SparkSession, path: str, kind: str = "parquet", schema: st
 
 def write_files(data: DataFrame, path: str, kind: str = "parquet", partition_by: list[str] | None = None, mode: str = "error") -> None:
     """A file sink, partitioned by columns if wanted."""
-    writer = data.write.mode(mode).format(kind)
+    writer = data.write.mode(mode).options(**({"header": True} if kind == "csv" else {})).format(kind)
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
 
 
