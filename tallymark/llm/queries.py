@@ -104,4 +104,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others have no SQL form (models, tokenizers, media bytes, checksums that SQL lacks);
+    their tests hold them against brute force, round trips or held-out accuracy."""
+    from . import oracles
+
+    return {"op4_topk": oracles.top_k_sql(), "op5_neardup": oracles.near_duplicates_sql(), "op6_licenses": oracles.licenses_sql(), "op7_chat": oracles.chat_sql()}
