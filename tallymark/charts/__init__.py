@@ -5,6 +5,7 @@ from .data import (
     broken_timeline,
     cohort_labels,
     histogram_bins,
+    index_bars,
     line_series,
     period_on_period,
     price_bands,
@@ -16,6 +17,6 @@ from .data import (
 )
 
 __all__ = [
-    "bar_shares", "broken_timeline", "cohort_labels", "histogram_bins", "line_series", "period_on_period", "price_bands", "regression",
+    "bar_shares", "broken_timeline", "cohort_labels", "histogram_bins", "index_bars", "line_series", "period_on_period", "price_bands", "regression",
     "scatter_points", "time_series", "venn_sets", "waterfall_steps",
 ]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import aggregate, clip, right_closed_bin
+from ..operators.index import filter_by_groups, filter_by_value_thresholds, get_indexes, top_bottom
 from ..operators.periods import Moment, to_utc
 from ..options import column
 from ..sources import as_table, validate_columns
@@ -184,3 +185,39 @@ def regression(df: Any, x_col: str, y_col: str, kind: str = "linear") -> DataFra
     )
     shown = F.exp("const") if kind in ("power", "exponential") else F.col("const")
     return left.select("slope", shown.alias("intercept"), (F.lit(1.0) - F.col("rest") / F.nullif(F.col("all"), F.lit(0.0))).alias("r_squared"))
+
+
+def index_bars(
+    df: Any,
+    value_to_index: Any,
+    index_col: str,
+    value_col: str,
+    group_col: str,
+    series_col: str | None = None,
+    agg_func: str = "sum",
+    sort_by: str | None = "group",
+    ascending: bool = True,
+    exclude_groups: list | None = None,
+    include_only_groups: list | None = None,
+    filter_above: float | None = None,
+    filter_below: float | None = None,
+    top_n: int | None = None,
+    bottom_n: int | None = None,
+    highlight: tuple[float, float] | None = None,
+) -> DataFrame:
+    """Bars of indexes around 0 (100 is taken off): filtered, cut to the top and bottom ones, sorted by
+    group or value, and with ``tone`` telling which leave the highlighted range."""
+    if sort_by not in (None, "group", "value"):
+        raise ValueError("sort_by must be 'group', 'value' or None")
+    if series_col and (top_n or bottom_n or sort_by == "value"):
+        raise ValueError("series take neither a top and bottom nor an order by value")
+    found = filter_by_groups(get_indexes(df, value_to_index, index_col, value_col, group_col, series_col, agg_func, 100), group_col, exclude_groups, include_only_groups)
+    found = filter_by_value_thresholds(found, filter_above, filter_below, check=filter_above is not None or filter_below is not None)
+    found = top_bottom(found, top_n, bottom_n)
+    if highlight is not None:
+        low, high = highlight
+        found = found.withColumn("tone", F.when(F.col("index") < low - 100, F.lit("negative")).when(F.col("index") > high - 100, F.lit("positive")).otherwise(F.lit("neutral")))
+    if sort_by is None:
+        return found
+    keys = [group_col if sort_by == "group" else "index"]
+    return found.orderBy(*[F.col(k).asc() if ascending else F.col(k).desc() for k in keys])

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 from tallymark import catalog, charts, options, streaming
+from tallymark.charts import style
 from tallymark.charts.render import draw, tree_grid
 from tallymark.plugin import Plugins, plugins
 from tallymark.sources import as_table, read_files, transactions, validate_columns, write_files
@@ -85,6 +86,33 @@ def test_charts(spark):
             wrong()
 
 
+def test_index_bars(spark):
+    table = spark.createDataFrame([(g, "XY"[i % 2], float(i + 1)) for i, g in enumerate("ABCABCABCA")], "g string, f string, v double")
+    bars = charts.index_bars(table, "X", "f", "v", "g", sort_by="value", ascending=False, highlight=(90, 110))
+    got = bars.collect()
+    assert [r["index"] for r in got] == sorted((r["index"] for r in got), reverse=True)
+    assert all((r["tone"] == "positive") == (r["index"] > 10) for r in got)
+    assert charts.index_bars(table, "X", "f", "v", "g", top_n=1, bottom_n=1).count() == 2
+    for wrong in ({"sort_by": "x"}, {"series_col": "f", "top_n": 1}, {"exclude_groups": ["A"], "include_only_groups": ["B"]}, {"filter_above": 1e9}):
+        with pytest.raises(ValueError):
+            charts.index_bars(table, "X", "f", "v", "g", **wrong)
+
+
+def test_style():
+    assert [style.percent_label(0.125, 1), style.percent_label(None)] == ["12.5%", ""]
+    assert [style.value_label(1500, 3000, 1), style.value_label(5), style.value_label(None)] == ["1.5K (50.0%)", "5", ""]
+    assert [style.shorten("abcdefgh", 6), style.shorten("abc", 6)] == ["abc...", "abc"]
+    assert len(style.palette(2)) == 2 and len(style.palette(30)) == 30
+    assert style.tone(0.5) == options.get_option("plot.color.positive") and style.tone(None) == options.get_option("plot.color.neutral")
+    fit = {"slope": 2.0, "intercept": -1.0, "r_squared": 0.5}
+    assert style.regression_text(fit) == "y = 2.00x - 1.00, R2 = 0.50"
+    assert style.regression_curve(fit, "linear", 0, 1, 3) == [(0, -1.0), (0.5, 0.0), (1.0, 1.0)]
+    assert style.regression_curve({"slope": 2.0, "intercept": 3.0}, "power", 1, 2, 2) == [(1.0, 3.0), (2.0, 12.0)]
+    for wrong in (lambda: style.shorten("a", 3), lambda: style.regression_curve(fit, "cubic", 0, 1), lambda: style.regression_text(fit, "cubic"), lambda: style.regression_curve(fit, "linear", 1, 0)):
+        with pytest.raises(ValueError):
+            wrong()
+
+
 def test_drawing_is_optional():
     nodes = {"s": {"children": ["a", "b"]}, "a": {"children": []}, "b": {"children": []}}
     assert tree_grid(nodes, "s") == [("s", 0, 0.5), ("a", 1, 0.0), ("b", 1, 1.0)]
