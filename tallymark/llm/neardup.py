@@ -9,12 +9,12 @@
 3. Candidates are compared batch after batch of signature values.  After each batch the posterior
    probability (uniform prior) that the similarity reaches the threshold is bounded; a pair below
    the chosen miss probability is pruned.  A member's most similar surviving hub is verified
-   exactly on the full sets, the others only while they are in other components.
-4. Verified links give components (smallest label over the links, with pointer jumping).  Then
-   only buckets that still hold several components are open.  In those, a class most of whose
-   shingles no other open class holds cannot have a partner and leaves; all pairs of different
-   components that remain are compared and verified in the same way, in rounds by bucket hubs
-   first, which joins what belongs together before any wide comparison.
+   exactly on the full sets.
+4. Verified links give components (smallest label over the links, with pointer jumping).  Only
+   buckets that still hold several components are open.  In those, a class that shares too few
+   shingles with all other open classes cannot have a partner and leaves.  The candidates that
+   remain are all pairs of open classes of different components that share one of their rarest
+   shingles, as partners must; they are compared and verified in the same way.
 
 Exact but for the misses of banding and of pruning, whose probabilities are parameters:
 (1 - t**rows)**bands for a link at the threshold t, and ``miss`` at each batch.
@@ -34,7 +34,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, drop_written, only, slices, text_bytes, type_of, written
@@ -223,23 +223,59 @@ def components(links: DataFrame) -> DataFrame:
             return state.select("set", "label")
 
 
-def hopeless(member: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """``set`` of open classes of whose shingles too few are held by any other open class: with
-    fewer than t * n shared shingles no partner can reach the similarity t."""
+def open_classes(member: DataFrame, state: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+    """``set, label, n, need`` of the classes in buckets that still hold several components.
+
+    ``need`` is the least overlap with any partner from those buckets: t / (1 + t) of both sizes,
+    a partner being no smaller than t * n and than the smallest class of the buckets.
+    """
+    marked = member.select("set", "bucket").join(state, "set", "left").join(classes.select("set", "n"), "set").select("set", "bucket", "n", F.coalesce("label", "set").alias("label"))
+    several = marked.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least")).filter("low != high")
+    rows = marked.join(several.select("bucket", "least"), "bucket").groupBy("set").agg(F.first("label").alias("label"), F.first("n").alias("n"), F.min("least").alias("least"))
+    top, bottom = rule.similarity.numerator, rule.similarity.denominator
+    partner = F.expr(f"greatest(least, (n * {top} + {bottom - 1}) div {bottom})")
+    return rows.select("set", "label", "n", ((F.col("n") + partner) * top / (top + bottom) - F.lit(1e-9)).alias("need")).withColumn("need", F.ceil("need"))
+
+
+def shingled(held: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    """``set, n, need, shingle``: a row per distinct shingle of every class held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
-            sets = shingle_sets(*text_bytes(batch.column(1)), rule.words)
-            sizes = np.array([len(s) for s in sets], np.int64)
-            flat = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(sets)), sizes))), pa.array(np.repeat(sizes, sizes)), pa.array(flat.view(np.int64))], ["set", "n", "shingle"])
-
-    held = member.select("set").distinct().join(texts, "set")
-    shingles = arrow_map(held.select("set", "text"), "set binary, n bigint, shingle bigint", run)
-    # a shingle of one class only has one holder; sums of those per class need no self-join
-    alone = shingles.groupBy("shingle").agg(F.count("*").alias("holders"), F.first("set").alias("set"), F.first("n").alias("n")).filter("holders = 1")
+            sets = shingle_sets(*text_bytes(batch.column(3)), rule.words)
+            at = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(3)), pa.array(np.concatenate(sets).view(np.int64))], ["set", "n", "need", "shingle"])
+
+    return arrow_map(held.select("set", "n", "need").join(texts, "set").select("set", "n", "need", "text"), "set binary, n bigint, need bigint, shingle bigint", run)
+
+
+def hopeless(held: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    """``set`` of open classes that share fewer shingles with all other open classes than they
+    would need to share with one partner."""
+    # a shingle that only one class holds has one row; sums of those per class need no self-join
+    alone = shingled(held, texts, rule).groupBy("shingle").agg(F.count("*").alias("holders"), *[F.first(c).alias(c) for c in ("set", "n", "need")]).filter("holders = 1")
+    return alone.groupBy("set").agg(F.count("*").alias("own"), F.first("n").alias("n"), F.first("need").alias("need")).filter("n - own < need").select("set")
+
+
+def last_pairs(held: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    """``a, b``: all pairs of open classes of different components that may be partners.
+
+    Partners share at least t / (1 + t) of both sizes, so the first shingle they share in a common
+    order lies among the first n - overlap + 1 of each; with the rarest first these are a class's own
+    edits, not what its whole group has in common, so a large group does not pair with itself.
+    """
+    rows = shingled(held, texts, rule)
+    holders = rows.groupBy("shingle").agg(F.count("*").alias("holders")).filter("holders > 1")
+    of = Window.partitionBy("set")
+    # a class's place in the common order counts its own shingles, which come first
+    place = F.col("n") - F.count("*").over(of) + F.row_number().over(of.orderBy("holders", "shingle"))
+    ranked = rows.join(holders, "shingle").select("set", "shingle", "n", "need", place.alias("place"))
+    first = written(ranked.filter("place <= n - need + 1").select("set", "shingle", "n", "place").join(held.select("set", "label"), "set"), "prefixes")
+    left, right = (first.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("set", "label", "n", "place")]) for side in "ab")
     top, bottom = rule.similarity.numerator, rule.similarity.denominator
-    return alone.groupBy("set").agg(F.count("*").alias("own"), F.first("n").alias("n")).filter(F.col("n") - F.col("own") < F.col("n") * top / bottom - F.lit(1e-6)).select("set")
+    overlap = f"((n_a + n_b) * {top} + {top + bottom - 1}) div {top + bottom}"
+    fits = f"label_a < label_b and place_a <= n_a - {overlap} + 1 and place_b <= n_b - {overlap} + 1"
+    return left.join(right, "shingle").filter(fits).selectExpr("set_a as a", "set_b as b").distinct()
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -269,38 +305,13 @@ def _labels(docs: DataFrame, member: DataFrame, classes: DataFrame, rule: Rule,
     texts = written(_one_text(chosen, rule), "texts")
     best = first.groupBy("a").agg(F.max(F.struct("matches", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
     links = written(verified(best, texts, rule), "links")
-    tested = best
     state = components(links)
-    wide = False
-    while True:
-        marked = member.join(state, "set", "left").select("set", "bucket", "members", F.coalesce("label", "set").alias("label"))
-        several = marked.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("bucket")
-        still = written(marked.join(several, "bucket", "left_semi"), "open")
-        if wide:
-            kept = still
-        else:
-            gone = hopeless(still, texts, rule)
-            kept = written(still.join(gone, "set", "left_anti"), "kept")
-        pairs = kept.selectExpr("bucket", "set as a", "label as x").join(kept.selectExpr("bucket", "set as b", "label as y"), "bucket").filter("x < y") if wide else _hub_of_components(kept)
-        fresh = pairs.select("a", "b").distinct().join(tested.unionByName(tested.selectExpr("b as a", "a as b")), ["a", "b"], "left_anti")
-        checked = written(fresh, "pairs")
-        more = written(verified(compared(checked, classes, rule), texts, rule), "links")
-        grown = more.limit(1).count() > 0
-        tested = written(tested.unionByName(checked), "tested")
-        if grown:
-            links = written(links.unionByName(more), "links")
-            state = components(links)
-        if wide:
-            return state
-        if not grown:
-            member, wide = kept.select("set", "bucket", "members"), True
-
-
-def _hub_of_components(kept: DataFrame) -> DataFrame:
-    """``a, b``: in every bucket all members with the hub of the bucket's largest component."""
-    sizes = kept.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.max("set").alias("hub"))
-    largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label", "hub")).alias("l"))
-    return kept.join(largest, "bucket").filter("label != l.label").select(F.col("set").alias("a"), F.col("l.hub").alias("b"))
+    held = written(open_classes(member, state, classes, rule), "open")
+    held = written(held.join(hopeless(held, texts, rule), "set", "left_anti"), "held")
+    more = written(verified(compared(last_pairs(held, texts, rule), classes, rule), texts, rule), "links")
+    if more.limit(1).count():
+        state = components(links.unionByName(more))
+    return state
 
 
 def _one_text(chosen: DataFrame, rule: Rule) -> DataFrame:
