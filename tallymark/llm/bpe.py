@@ -16,10 +16,12 @@ and text columns are not read.
 
 from __future__ import annotations
 
+import copy
 import functools
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -47,6 +49,18 @@ def _classes() -> np.ndarray:
     return table
 
 
+def special_spans(data: bytes, offsets: np.ndarray, specials: tuple[bytes, ...]) -> np.ndarray:
+    """Places of added tokens' strings, leftmost and then longest first, none across two rows."""
+    if not specials:
+        return np.zeros((0, 2), np.int64)
+    pattern = re.compile(b"|".join(re.escape(s) for s in sorted(specials, key=len, reverse=True)))
+    spans = np.array([m.span() for m in pattern.finditer(data)], np.int64).reshape(-1, 2)
+    if len(spans) and (spans[:, 1] > offsets[np.searchsorted(offsets, spans[:, 0], "right")]).any():
+        rows = zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)
+        spans = np.array([(a + m.start(), a + m.end()) for a, b in rows for m in pattern.finditer(data[a:b])], np.int64).reshape(-1, 2)
+    return spans
+
+
 def word_bounds(data: bytes, offsets: np.ndarray, specials: tuple[bytes, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     """Byte offsets of the words of all rows (n_words + 1, the last is len(data)), and for each row
     the number of the first of its words (n_rows + 1).
@@ -60,20 +74,8 @@ def word_bounds(data: bytes, offsets: np.ndarray, specials: tuple[bytes, ...] =
     rows = len(offsets) - 1
     if not size:
         return np.zeros(1, np.int64), np.zeros(rows + 1, np.int64)
-    breaks = offsets
-    spans: list[tuple[int, int]] = []
-    for special in specials:
-        at = data.find(special)
-        while at >= 0:
-            end = at + len(special)
-            row = int(np.searchsorted(offsets, at, "right"))
-            if end <= offsets[row] and not any(a < end and at < b for a, b in spans):
-                spans.append((at, end))
-                at = data.find(special, end)
-            else:
-                at = data.find(special, at + 1)
-    if spans:
-        breaks = np.union1d(offsets, np.array(spans, np.int64).ravel())
+    spans = special_spans(data, offsets, specials)
+    breaks = np.union1d(offsets, spans.ravel()) if len(spans) else offsets
     points = np.frombuffer(data.decode("utf-8").encode("utf-32-le"), np.uint32)
     n = len(points)
     if n == size:
@@ -120,11 +122,9 @@ def word_bounds(data: bytes, offsets: np.ndarray, specials: tuple[bytes, ...] =
         keep[(after + taken)[rest]] = True
     starts = np.flatnonzero(keep[:n])
     bounds = np.append(starts, n) if where is None else np.append(where[starts], size)
-    if spans:
-        inside = np.zeros(len(bounds), bool)
-        for a, b in spans:
-            inside |= (bounds > a) & (bounds < b)
-        bounds = bounds[~inside]
+    if len(spans):
+        last = np.maximum(np.searchsorted(spans[:, 0], bounds) - 1, 0)
+        bounds = bounds[~((bounds > spans[last, 0]) & (bounds < spans[last, 1]))]
     return bounds.astype(np.int64), np.searchsorted(bounds, offsets).astype(np.int64)
 
 
@@ -168,11 +168,22 @@ class Vocabulary:
             table[i] = bytes(byte[s] for s in token)
         for token, i in self.specials.items():
             table[i] = token
-        self.token_bytes = table
+        self._tokens(table)
+        self.first_rank = self._rank(*(x.ravel() for x in np.meshgrid(self.byte_id, self.byte_id, indexing="ij"))).reshape(256, 256)
+
+    def _tokens(self, table: list[bytes]) -> None:
+        self.token_bytes, self.size = table, len(table)
         self.token_data = np.frombuffer(b"".join(table), np.uint8)
         lengths = np.array([len(t) for t in table], np.int64)
         self.token_at, self.token_length = np.cumsum(lengths) - lengths, lengths
-        self.first_rank = self._rank(*(x.ravel() for x in np.meshgrid(self.byte_id, self.byte_id, indexing="ij"))).reshape(256, 256)
+
+    def with_added(self, tokens: list[str]) -> Vocabulary:
+        """The same vocabulary with further added tokens, whose ids follow the last."""
+        fresh = [t.encode() for t in tokens if t.encode() not in self.specials]
+        out = copy.copy(self)
+        out.specials = self.specials | {t: self.size + i for i, t in enumerate(fresh)}
+        out._tokens(self.token_bytes + fresh)
+        return out
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left.astype(np.int64) << 32 | right.astype(np.int64)

@@ -20,15 +20,16 @@ from __future__ import annotations
 import functools
 import hashlib
 import itertools
-import os
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import Encoded, Vocabulary, vocabulary
 from .common import arrow_map, only, type_of
 
 START, SEPARATOR, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
@@ -94,16 +95,23 @@ def loss_texts(formatted: str, starts: np.ndarray, ends: np.ndarray, loss: np.nd
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(vocab_path: str):
-    """The file's tokenizer with the template's marks as added tokens."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    from tokenizers import Tokenizer
+def encoder(vocab_path: str) -> Vocabulary:
+    """The file's vocabulary with the template's marks as added tokens."""
+    return vocabulary(vocab_path).with_added([START, SEPARATOR, END])
 
-    made = Tokenizer.from_file(vocab_path)
-    made.no_truncation()
-    made.no_padding()
-    made.add_special_tokens([START, SEPARATOR, END])
-    return made
+
+def encoded(texts: list[str], vocab_path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of all texts, each token's first and last code point (exclusive, within its text), and
+    where each text's tokens begin.  A token that holds part of a code point spans all of it."""
+    vocab, raw = encoder(vocab_path), [t.encode("utf-8", "replace") for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+    data = b"".join(raw)
+    got = Encoded(data, offsets, vocab)
+    lengths = vocab.token_length[got.ids]
+    ends = np.cumsum(lengths)
+    points = np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])
+    own = np.repeat(points[offsets[:-1]], np.diff(got.bounds))
+    return got.ids, points[ends - lengths + 1] - 1 - own, points[ends] - own, got.bounds
 
 
 def format_conversations(conversations: DataFrame, vocab_path: str, loss_roles: tuple[str, ...] = ("assistant",), id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -111,15 +119,14 @@ def format_conversations(conversations: DataFrame, vocab_path: str, loss_roles:
     code points and for each token whether it carries the loss."""
     names = [id_col, "formatted", "ids", "starts", "ends", "loss"]
 
-    def made(ids: list, texts: list[str], spans: list) -> pa.RecordBatch:
-        columns: list[list] = [[], [], [], []]
-        for text, own, got in zip(texts, spans, encoder(vocab_path).encode_batch(texts, add_special_tokens=False), strict=True):
-            offsets = np.array(got.offsets, np.int32).reshape(-1, 2)
-            starts, ends = np.ascontiguousarray(offsets[:, 0]), np.ascontiguousarray(offsets[:, 1])
-            for column, value in zip(columns, (got.ids, starts, ends, mask(own, starts, ends)), strict=True):
-                column.append(value)
-        kinds = (pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.bool_()))
-        return pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(texts, pa.string()), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
+    def made(keys: list, texts: list[str], spans: list) -> pa.RecordBatch:
+        ids, starts, ends, bounds = encoded(texts, vocab_path)
+        loss = np.zeros(len(ids), bool)
+        for own, a, b in zip(spans, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            loss[a:b] = mask(own, starts[a:b], ends[a:b])
+        cuts = pa.array(bounds.astype(np.int32))
+        lists = [pa.ListArray.from_arrays(cuts, pa.array(v)) for v in (ids, starts.astype(np.int32), ends.astype(np.int32), loss)]
+        return pa.RecordBatch.from_arrays([pa.array(keys, id_type), pa.array(texts, pa.string()), *lists], names)
 
     id_type = None
 
@@ -159,10 +166,12 @@ def read_back(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for text, starts, ends, loss in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
+            starts, ends, loss = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (2, 3, 4))
+            cuts = np.concatenate([[0], np.cumsum(pc.list_value_length(batch.column(2)).to_numpy())])
+            for text, a, b in zip(batch.column(1).to_pylist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 turns = parse(text)
                 told = "".join(f"{role}\n{words}\n" for role, words in turns)
-                under = "".join(loss_texts(text, np.array(starts, int), np.array(ends, int), np.array(loss, bool)))
+                under = "".join(loss_texts(text, starts[a:b], ends[a:b], loss[a:b]))
                 row = (len(turns), hashlib.sha256(told.encode()).hexdigest(), len(under), hashlib.sha256(under.encode()).hexdigest(), len(text))
                 for column, value in zip(out, row, strict=True):
                     column.append(value)

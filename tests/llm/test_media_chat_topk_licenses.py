@@ -156,6 +156,21 @@ def test_op7(spark, small):
     assert got == wanted
 
 
+def test_offsets_equal_the_library():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(queries.vocab_path())
+    library.add_special_tokens([chat.START, chat.SEPARATOR, chat.END])
+    rng = random.Random(8)
+    bits = ["é", "中文", "👍🏽", " ", "\n", "word", chat.START, chat.END, chat.SEPARATOR, "<|im", "<|endoftext|>", "'s", "a" * 300]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 12))) for _ in range(800)]
+    ids, starts, ends, bounds = chat.encoded(texts, queries.vocab_path())
+    for text, a, b in zip(texts, bounds[:-1], bounds[1:], strict=True):
+        wanted = library.encode(text, add_special_tokens=False)
+        assert ids[a:b].tolist() == wanted.ids
+        assert list(zip(starts[a:b].tolist(), ends[a:b].tolist(), strict=True)) == wanted.offsets
+
+
 def test_chat_odd(spark):
     bits = ["<", "|", "\\", "<|", "|>", "<|im_end|>", "<|im_sep|>", "<\\|", "\n", "é", "👍", "a", "<|endoftext|>", " ", ""]
     rng = random.Random(5)
