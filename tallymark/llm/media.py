@@ -31,6 +31,8 @@ from .common import arrow_map, only, slices, text_bytes, type_of
 ROW = 64
 MOST_ROWS = 65535 // 8
 QUANT = 8
+SLICE = 1 << 20  # bytes that are coded at once: a sample takes some 60 bytes meanwhile
+NARROW = 1 << 27  # up to so many bytes, positions of bits are 32-bit numbers
 # Huffman tables (fixed values): the format's usual DC luminance table; one AC code, end of block.
 DC_BITS, DC_VALUES = [0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0], list(range(12))
 AC_BITS, AC_VALUES = [1, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0], [0]
@@ -58,7 +60,7 @@ def _codes(bits: list[int]) -> list[tuple[int, int]]:
 def _diff_codes() -> tuple[np.ndarray, np.ndarray]:
     """For each difference -255..255: its DC code, its bits and the end-of-block code, and their length."""
     dc = _codes(DC_BITS)
-    values, lengths = np.zeros(511, np.int64), np.zeros(511, np.int64)
+    values, lengths = np.zeros(511, np.int32), np.zeros(511, np.int32)
     for diff in range(-255, 256):
         size = abs(diff).bit_length()
         code, length = dc[size]
@@ -89,20 +91,21 @@ def _head(rows: int, note: bytes) -> bytes:
 def write_scans(samples: np.ndarray, last: np.ndarray, index: np.ndarray) -> tuple[bytes, np.ndarray]:
     """Entropy-coded rows of 64 samples each (stuffed; a restart marker behind every row but an
     image's last) and each row's end in them.  ``index`` is a row's number in its image."""
-    level = samples.astype(np.int64) - 128
-    diff = np.diff(level, axis=1, prepend=0) + 255
+    level = samples.astype(np.int32) - 128
+    diff = np.diff(level, axis=1, prepend=np.int32(0)) + 255
     lengths = _LENGTHS[diff]
-    ends = np.cumsum(lengths, axis=1)
+    kind = np.int32 if samples.size < NARROW else np.int64
+    ends = np.cumsum(lengths, axis=1, dtype=kind)
     bits = ends[:, -1]
     sizes = (bits + 7) >> 3
-    begin = np.cumsum(sizes) - sizes
+    begin = np.cumsum(sizes, dtype=kind) - sizes
     at = (begin[:, None] * 8 + ends - lengths).ravel()
     placed = _VALUES[diff].ravel() << (24 - lengths.ravel() - (at & 7))
     byte = at >> 3
     total = int(sizes.sum())
-    out = np.zeros(total + 3, np.int64)
+    out = np.zeros(total + 3, np.int32)
     for shift in (16, 8, 0):
-        out += np.bincount(byte + (2 - shift // 8), (placed >> shift) & 255, total + 3).astype(np.int64)
+        out += np.bincount(byte + (2 - shift // 8), (placed >> shift) & 255, total + 3).astype(np.int32)
     out = out[:total]
     stop = begin + sizes - 1
     out[stop] += (1 << (-bits & 7)) - 1
@@ -222,7 +225,7 @@ def parse(data: bytes, at: int = 0) -> tuple[Image, int]:
 
 def _table(spec: bytes) -> tuple[np.ndarray, np.ndarray]:
     """16 bits of the stream -> code length (0: none) and value."""
-    length, value = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+    length, value = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
     for (code, n), v in zip(_codes(list(spec[:16])), spec[16:], strict=False):
         a = code << (16 - n)
         length[a : a + (1 << (16 - n))], value[a : a + (1 << (16 - n))] = n, v
@@ -245,7 +248,7 @@ def _decode_group(images: list[Image], scans: list[bytes]) -> list[np.ndarray]:
     owner = np.searchsorted(base, begins, "right") - 1
     clean = np.concatenate([raw[keep], np.full(8, 0xFF, np.uint8)]).astype(np.uint32)
     window = clean[:-3] << 24 | clean[1:-2] << 16 | clean[2:-1] << 8 | clean[3:]
-    place = before[begins].astype(np.int64) * 8
+    place = (before[begins] * 8).astype(np.int32 if len(clean) < NARROW else np.int64)
     limit = (len(window) - 1) * 8
     first = images[0]
     across = max(h for h, *_ in first.components)
@@ -261,7 +264,7 @@ def _decode_group(images: list[Image], scans: list[bytes]) -> list[np.ndarray]:
     per_unit = h0 * v0
     made = np.zeros((len(begins), int(blocks.max(initial=0)) * per_unit), np.int16)
     tables = {k: _table(s) for k, s in first.huffman.items()}
-    predicted = [np.zeros(len(begins), np.int64) for _ in first.components]
+    predicted = [np.zeros(len(begins), np.int32) for _ in first.components]
     live = np.arange(len(begins))
     for unit in range(int(blocks.max(initial=0))):
         if not (blocks[live] > unit).all():
@@ -276,7 +279,7 @@ def _decode_group(images: list[Image], scans: list[bytes]) -> list[np.ndarray]:
                 if not length[bits].all() or size.max(initial=0) > 11:
                     raise NotBaseline("unknown DC code")
                 p = p + length[bits]
-                extra = ((window[p >> 3] >> (16 - (p & 7)).astype(np.uint32)) & 0xFFFF).astype(np.int64) >> (16 - size)
+                extra = ((window[p >> 3] >> (16 - (p & 7)).astype(np.uint32)) & 0xFFFF).astype(np.int32) >> (16 - size)
                 p = np.minimum(p + size, limit)
                 diff = np.where(extra < (1 << size) >> 1, extra - (1 << size) + 1, extra)
                 level = predicted[c][live] + diff
@@ -284,7 +287,7 @@ def _decode_group(images: list[Image], scans: list[bytes]) -> list[np.ndarray]:
                 if c == 0:
                     made[live, unit * per_unit + k] = level
                 length, value = tables[ac]
-                at, some, q = np.ones(len(live), np.int64), np.arange(len(live)), p
+                at, some, q = np.ones(len(live), np.int32), np.arange(len(live)), p
                 while len(some):
                     bits = (window[q >> 3] >> (16 - (q & 7)).astype(np.uint32)) & 0xFFFF
                     if not length[bits].all():
@@ -371,7 +374,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """``id_col, n_bytes, media``: each text's bytes, padded by zeros to rows of 64, as JPEG."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             data, offsets = text_bytes(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(encode_texts(data, offsets), pa.binary())], [id_col, "n_bytes", "media"])
 
@@ -388,7 +391,7 @@ def read(stored: DataFrame, keep_thumbnail: bool = False, id_col: str = "doc_id"
     types = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "media", 6 << 20):
+        for batch in slices(batches, "media", SLICE):
             media = batch.column(1).to_pylist()
             rows = []
             for data, images in zip(media, decode_media(media), strict=True):
