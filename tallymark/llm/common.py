@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import io
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -40,9 +43,9 @@ def remove(spark: SparkSession, uri: str) -> None:
         fs.delete(path, True)
 
 
-def new_uri(spark: SparkSession, kind: str) -> str:
+def new_uri(spark: SparkSession, kind: str, ending: str = "") -> str:
     """A fresh place in the shared folder, removed when the driver process ends."""
-    uri = f"{shared_dir(spark)}/tallymark-{kind}-{uuid.uuid4().hex}"
+    uri = f"{shared_dir(spark)}/tallymark-{kind}-{uuid.uuid4().hex}{ending}"
 
     def gone() -> None:
         try:
@@ -140,6 +143,24 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(total, dtype=np.int64)
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once in a session: a zip in the shared folder, which Spark
+    fetches to each executor, so no search path has to be set there."""
+    context = spark.sparkContext
+    if getattr(context, "_tallymark_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+        for path in sorted(root.rglob("*.py")):
+            archive.write(path, path.relative_to(root.parent))
+    uri = new_uri(spark, "package", ".zip")
+    put_bytes(spark, uri, out.getvalue())
+    context.addPyFile(uri)
+    context._tallymark_shipped = True
+
+
 def arrow_map(df: DataFrame, schema: str, function: Callable) -> DataFrame:
     """``mapInArrow`` with a DDL schema."""
+    ship(df.sparkSession)
     return df.mapInArrow(function, schema)

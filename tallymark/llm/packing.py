@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Encoded, _texts, vocabulary
-from .common import SLICE_BYTES, slices, text_bytes, type_of, written
+from .common import SLICE_BYTES, arrow_map, slices, text_bytes, type_of, written
 
 BIN_BITS = 33
 
@@ -131,7 +131,7 @@ def pieces(docs: DataFrame, vocab_path: str, size: int = 1024, end_id: int | Non
             yield from packed()
 
     schema = f"`{id_col}` {type_of(docs, id_col)}, piece int, start bigint, length bigint, ids binary, ids_crc32 bigint, bin bigint, offset bigint, fill bigint, carried boolean"
-    return _texts(docs, id_col, text_col).mapInArrow(run, schema)
+    return arrow_map(_texts(docs, id_col, text_col), schema, run)
 
 
 def _level(bins: DataFrame, size: int, full: float, carry: int, fan: int) -> DataFrame:

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import only
+from .common import only, ship
 
 LIMIT = 1 << 26
 
@@ -106,6 +106,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
         found = np.arange(k)[None, :] < np.minimum(k, (right["vec_id"].to_numpy(np.int64)[None, :] != ids[:, None]).sum(1))[:, None]
         return pd.DataFrame({"query_id": np.repeat(ids, k)[found.ravel()], "vec_id": who.ravel()[found.ravel()], "score": best.ravel()[found.ravel()]})
 
+    ship(vectors.sparkSession)
     keys = ["query_part", "part"]
     found = asked.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInPandas(search, "query_id bigint, vec_id bigint, score bigint")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
