@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import io
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -22,12 +23,14 @@ SLICE_BYTES = 4 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a single machine) a local one is made and set.
+    Only where the session names none (tests, a single machine) a local one is made, once a context.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or getattr(context, "_tallymark_shared", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tallymark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        folder = tempfile.mkdtemp(prefix="tallymark-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        base = context._tallymark_shared = f"file://{folder}"
     return base.rstrip("/")
 
 
