@@ -99,7 +99,7 @@ def pieces(docs: DataFrame, vocab_path: str, size: int = 1024, end_id: int | Non
             held.clear()
 
         waiting = 0
-        for batch in slices(batches, "text", 2 * SLICE_BYTES):
+        for batch in slices(batches, "text"):
             got = Encoded(*text_bytes(batch.column(1)), vocab)
             raw, bounds = got.ids.astype("<u4").tobytes(), got.bounds.tolist()
             doc, number, start, length, ids, crc = [], [], [], [], [], []
@@ -124,7 +124,7 @@ def pieces(docs: DataFrame, vocab_path: str, size: int = 1024, end_id: int | Non
             if n < len(whole):
                 held.append([c.filter(pa.array(~whole)) for c in columns])
                 waiting += sum(c.nbytes for c in held[-1])
-            if waiting > 16 * SLICE_BYTES:  # a partition of any size: it packs in runs of bounded memory
+            if waiting > 32 * SLICE_BYTES:  # a partition of any size: it packs in runs of bounded memory
                 yield from packed()
                 waiting = 0
         if held:
