@@ -10,7 +10,7 @@
    probability (uniform prior) that the similarity reaches the threshold is bounded; a pair below
    the chosen miss probability is pruned.  A member's most similar surviving hub is verified
    exactly on the full sets.
-4. Verified links give components (smallest label over the links, with pointer jumping).  Only
+4. Verified links point from members to hubs, a forest whose roots label the components.  Only
    buckets that still hold several components are open.  In those, a class that shares too few
    shingles with all other open classes cannot have a partner and leaves.  The candidates that
    remain are all pairs of open classes of different components that share one of their rarest
@@ -204,6 +204,30 @@ def verified(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     return arrow_map(sides.select("a", "b", "text_a", "text_b"), "a binary, b binary", run)
 
 
+def roots(parents: DataFrame) -> DataFrame:
+    """``set, label`` of a forest ``a, b`` (every a has one b, which lies higher in a common order):
+    labels jump to their own labels until all are roots, log(depth) rounds."""
+    state = written(parents.select(F.col("a").alias("set"), F.col("b").alias("label")), "labels")
+    while True:
+        jump = state.select(F.col("set").alias("label"), F.col("label").alias("far"))
+        after = written(state.select("set", "label").join(jump, "label", "left").select("set", F.coalesce("far", "label").alias("label"), F.col("far").isNotNull().alias("moved")), "labels")
+        drop_written(state)
+        moved = after.agg(F.max("moved").alias("m")).head()["m"]
+        state = after
+        if not moved:
+            own = state.select("set", "label")
+            return own.unionByName(own.select(F.col("label").alias("set"), "label").distinct())
+
+
+def joined(state: DataFrame, more: DataFrame) -> DataFrame:
+    """The labels after further links: components of the labels that those connect."""
+    at = lambda side: state.select(F.col("set").alias(side), F.col("label").alias(f"l_{side}"))
+    named = more.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("l_a", "a").alias("a"), F.coalesce("l_b", "b").alias("b"))
+    merged = components(named.distinct()).select(F.col("set").alias("label"), F.col("label").alias("next"))
+    fresh = merged.select(F.col("label").alias("set"), F.col("next").alias("label")).join(state, "set", "left_anti")
+    return state.join(merged, "label", "left").select("set", F.coalesce("next", "label").alias("label")).unionByName(fresh)
+
+
 def components(links: DataFrame) -> DataFrame:
     """``set, label`` for every class that has a link: the smallest class it reaches.
 
@@ -257,20 +281,25 @@ def hopeless(held: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     return alone.groupBy("set").agg(F.count("*").alias("own"), F.first("n").alias("n"), F.first("need").alias("need")).filter("n - own < need").select("set")
 
 
-def last_pairs(held: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """``a, b``: all pairs of open classes of different components that may be partners.
-
-    Partners share at least t / (1 + t) of both sizes, so the first shingle they share in a common
-    order lies among the first n - overlap + 1 of each; with the rarest first these are a class's own
-    edits, not what its whole group has in common, so a large group does not pair with itself.
-    """
+def rare_prefixes(held: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    """``set, shingle, n, place, label``: each open class's first shingles in a common order, rarest
+    first, as far as a partner's first common shingle can lie (those no other class holds left out)."""
     rows = shingled(held, texts, rule)
     holders = rows.groupBy("shingle").agg(F.count("*").alias("holders")).filter("holders > 1")
     of = Window.partitionBy("set")
     # a class's place in the common order counts its own shingles, which come first
     place = F.col("n") - F.count("*").over(of) + F.row_number().over(of.orderBy("holders", "shingle"))
     ranked = rows.join(holders, "shingle").select("set", "shingle", "n", "need", place.alias("place"))
-    first = written(ranked.filter("place <= n - need + 1").select("set", "shingle", "n", "place").join(held.select("set", "label"), "set"), "prefixes")
+    return ranked.filter("place <= n - need + 1").select("set", "shingle", "n", "place").join(held.select("set", "label"), "set")
+
+
+def last_pairs(first: DataFrame, rule: Rule) -> DataFrame:
+    """``a, b``: all pairs of open classes of different components that may be partners.
+
+    Partners share at least t / (1 + t) of both sizes, so the first shingle they share in a common
+    order lies among the first n - overlap + 1 of each; with the rarest first these are a class's own
+    edits, not what its whole group has in common, so a large group does not pair with itself.
+    """
     left, right = (first.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("set", "label", "n", "place")]) for side in "ab")
     top, bottom = rule.similarity.numerator, rule.similarity.denominator
     overlap = f"((n_a + n_b) * {top} + {top + bottom - 1}) div {top + bottom}"
@@ -298,19 +327,28 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id"
 
 def _labels(docs: DataFrame, member: DataFrame, classes: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
     """``set, label`` of all classes that have links."""
-    first = written(compared(hub_pairs(member), classes, rule), "compared")
+    made: list[DataFrame] = [member]
+
+    def kept(df: DataFrame, kind: str) -> DataFrame:
+        made.append(written(df, kind))
+        return made[-1]
+
+    first = kept(compared(hub_pairs(member), classes, rule), "compared")
     # the texts of classes that may be verified: one row each, by the class's smallest id
-    wanted = written(classes.join(member.select("set").distinct(), "set", "left_semi").select(F.col("least").alias("id")), "wanted")
+    wanted = kept(classes.join(member.select("set").distinct(), "set", "left_semi").select(F.col("least").alias("id")), "wanted")
     chosen = _texts(docs, id_col, text_col).join(wanted.hint("shuffle_hash"), "id", "left_semi")
-    texts = written(_one_text(chosen, rule), "texts")
+    texts = kept(_one_text(chosen, rule), "texts")
     best = first.groupBy("a").agg(F.max(F.struct("matches", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-    links = written(verified(best, texts, rule), "links")
-    state = components(links)
-    held = written(open_classes(member, state, classes, rule), "open")
-    held = written(held.join(hopeless(held, texts, rule), "set", "left_anti"), "held")
-    more = written(verified(compared(last_pairs(held, texts, rule), classes, rule), texts, rule), "links")
+    links = kept(verified(best, texts, rule), "links")
+    state = roots(links)  # a hub lies above its members by (weight, digest)
+    held = kept(open_classes(member, state, classes, rule), "open")
+    held = kept(held.join(hopeless(held, texts, rule), "set", "left_anti"), "held")
+    prefixes = kept(rare_prefixes(held, texts, rule), "prefixes")
+    more = kept(verified(compared(last_pairs(prefixes, rule), classes, rule), texts, rule), "links")
     if more.limit(1).count():
-        state = components(links.unionByName(more))
+        state = written(joined(state, more), "labels")
+    for table in made:  # the labels are a table of their own
+        drop_written(table)
     return state
 
 
