@@ -1,6 +1,7 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a text, a template the set of a notice's words.  A pair is found if the
+A block is a line of a text, or any run of a template's number of words, so that notices wrapped
+over lines are found; a template is the set of a notice's words.  A pair is found if the
 block holds at least ``threshold`` of the template's words.  Words of templates are put into one
 global order, rare ones first, by the number of texts that hold them, counted over the whole
 corpus.  A template's prefix are its first words in that order, as many as can be missing and one
@@ -86,8 +87,8 @@ def word_order(docs: DataFrame, words: list[str], text_col: str = "text") -> lis
     return sorted(words, key=lambda w: (seen.get(w, 0), w))
 
 
-def block_hits(blocks: Column, templates: list[tuple[str, str]], order: list[str], threshold: float) -> Column:
-    """For an array of spaced blocks the array of (label, containment) of all pairs that reach the threshold."""
+def _ordered(templates: list[tuple[str, str]], order: list[str], threshold: float) -> tuple[list[list[str]], list[int], dict[str, list[tuple[int, int]]]]:
+    """Template sets in global order, the words each needs, and the index of their prefixes."""
     place = {w: i for i, w in enumerate(order)}
     sets = [sorted(set(words.split()), key=place.__getitem__) for _, words in templates]
     need = [max(1, math.ceil(threshold * len(s) - 1e-9)) for s in sets]
@@ -95,6 +96,13 @@ def block_hits(blocks: Column, templates: list[tuple[str, str]], order: list[str
     for t, (words, n) in enumerate(zip(sets, need, strict=True)):
         for i, w in enumerate(words[: len(words) - n + 1]):
             index.setdefault(w, []).append((t, i))
+    return sets, need, index
+
+
+def block_hits(blocks: Column, templates: list[tuple[str, str]], order: list[str], threshold: float) -> Column:
+    """For an array of spaced blocks the array of (label, containment) of all pairs that reach the threshold."""
+    place = {w: i for i, w in enumerate(order)}
+    sets, need, index = _ordered(templates, order, threshold)
 
     def array(values: list, of) -> Column:
         return F.array(*[of(v) for v in values])
@@ -129,26 +137,60 @@ def block_hits(blocks: Column, templates: list[tuple[str, str]], order: list[str
     return F.flatten(F.transform(F.transform(blocks, held), verified))
 
 
+def window_hits(text: Column, templates: list[tuple[str, str]], order: list[str], threshold: float) -> Column:
+    """For a spaced text the array of (label, containment) of the templates that some run of their
+    number of words holds: runs that reach the threshold hold a prefix word, so only those around
+    a prefix word are looked at."""
+    sets, need, index = _ordered(templates, order, threshold)
+    rows = [F.struct(F.lit(label).alias("label"), F.lit(own).alias("words"), F.lit(n).alias("need"), F.lit(len(words.split())).alias("run")) for (label, words), own, n in zip(templates, sets, need, strict=True)]
+    probe = F.create_map(*[x for w, hits in index.items() for x in (F.lit(w), F.array(*[rows[t] for t, _ in hits]))])
+
+    def near(words: Column, word: Column, at: Column) -> Column:
+        """The templates with this prefix word, and the words that runs through it can reach."""
+
+        def cut(row: Column) -> Column:
+            start = F.greatest(at - row["run"] + 1, F.lit(0))
+            return F.struct(row.alias("row"), F.slice(words, start + 1, at + row["run"] - start).alias("near"))
+
+        return F.transform(F.element_at(probe, word), cut)
+
+    def shared(row: Column, part: Column) -> Column:
+        return F.size(F.array_intersect(row["words"], part))
+
+    def best(row: Column, part: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(part) - row["run"] + 1, F.lit(1)))
+        return F.array_max(F.transform(starts, lambda s: shared(row, F.slice(part, s, row["run"]))))
+
+    def reached(words: Column) -> Column:
+        places = F.filter(F.transform(words, lambda w, i: F.when(w.isin(list(index)), F.struct(w.alias("w"), i.alias("i")))), lambda p: p.isNotNull())
+        return F.flatten(F.transform(places, lambda p: F.filter(near(words, p["w"], p["i"]), lambda c: shared(c["row"], c["near"]) >= c["row"]["need"])))
+
+    # a variable of a lambda is split once, not for every place
+    split = F.array(F.split(F.trim(text), "  "))
+    found = F.transform(F.array_distinct(F.flatten(F.transform(split, reached))), lambda c: F.struct(c["row"].alias("row"), best(c["row"], c["near"]).alias("n")))
+    return F.transform(F.filter(found, lambda f: f["n"] >= f["row"]["need"]), lambda f: F.struct(f["row"]["label"].alias("label"), (f["n"] / F.size(f["row"]["words"])).alias("held")))
+
+
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, phrases: dict[str, str] | None = None, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, n_words, n_base, first_word, last_word, base_labels, labels, score``.
 
     ``base_labels`` are the labels of the phrases found, ``labels`` those and the labels of all
-    templates that a block holds; ``score`` is the largest containment (1 for a phrase).
+    templates that a line or a run of words holds; ``score`` is the largest containment (1 for a phrase).
     """
     templates, phrases = templates if templates is not None else TEMPLATES, phrases if phrases is not None else PHRASES
     words = sorted({w for _, t in templates for w in t.split()})
     order = word_order(docs, words, text_col)
-    place = {w: i for i, w in enumerate(order)}
-    prefixes = set()
-    for _, text in templates:
-        own = sorted(set(text.split()), key=place.__getitem__)
-        prefixes |= set(own[: len(own) - max(1, math.ceil(threshold * len(own) - 1e-9)) + 1])
+    prefixes = _ordered(templates, order, threshold)[2]
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = only(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("id"), text.alias("whole"), spaced(text).alias("t"))
     lines = F.transform(F.split("whole", "[\n\r]+"), spaced)
     any_prefix = F.rlike("t", F.lit(" (" + "|".join(sorted(prefixes)) + ") ")) if prefixes else F.lit(False)
     empty = F.lit([]).cast("array<struct<label:string,held:double>>")
-    hits = F.when(any_prefix, block_hits(lines, templates, order, threshold)).otherwise(empty) if templates else empty
+    hits = empty
+    if templates:
+        # a run within one line is part of that line's block
+        wrapped = F.when(F.rlike(F.trim("whole"), F.lit("[\n\r]")), window_hits(F.col("t"), templates, order, threshold)).otherwise(empty)
+        hits = F.when(any_prefix, F.concat(block_hits(lines, templates, order, threshold), wrapped)).otherwise(empty)
     places = [(label, *phrase_places(F.col("t"), phrase)) for phrase, label in phrases.items()]
     rows = rows.select(
         "id",

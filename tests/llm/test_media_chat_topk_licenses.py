@@ -271,3 +271,25 @@ def test_licenses_odd(spark):
     assert licenses.scan(docs, templates=[]).filter("labels != base_labels").count() == 0
     plan = licenses.scan(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_licenses_wrapped(spark):
+    """Notices wrapped at any width, as comments or not, and the same score as on one line."""
+    notices = [(label, words) for label, words in licenses.TEMPLATES]
+    made = []
+    for label, words in notices:
+        own = words.split()
+        for width in (1, 3, 7):
+            lines = [" ".join(own[i : i + width]) for i in range(0, len(own), width)]
+            made += [(label, mark + end.join(lines)) for mark, end in (("", "\n"), ("foo bar\r\n", "\r\n"), ("# ", "\n# "), ("", "\n\n"))]
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files"
+    made += [("mit", mit), ("mit", "word " * 500 + "\n" + mit + "\n" + "word " * 500)]
+    # too few in one run, though the text holds all words
+    own = notices[8][1].split()
+    made += [("", "\n".join(" ".join([w] + ["x"] * 6) for w in own)), ("", "\n".join(own[: int(len(set(own)) * 0.8) - 1]))]
+    docs = spark.createDataFrame(list(enumerate(t for _, t in made)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
+    for i, (label, text) in enumerate(made):
+        assert label in got[i]["labels"].split(","), text
+        assert (got[i]["score"] == 1.0) == bool(label), text
+        assert label or got[i]["labels"] == "", text
