@@ -450,19 +450,35 @@ def cdh_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.CustomerDecisionHierarchy(_building(spark, sf_dir), "brand").pairs
 
 
-@query(
-    "cdh_distances",
+_CDH_DISTANCES = (
     _CDH.replace("q as (select distinct c, p from b except select c, p from x)", "q as (select distinct c, p from b)")
     + """, h as (select p, count(*) n from q group by p), k as (select a.p p1, b.p p2, count(*) n from q a join q b on a.c = b.c and a.p < b.p group by all),
     z as (select a.p product_1, b.p product_2, a.n n_1, b.n n_2, coalesce(k.n, 0) "both", (select count(distinct c) from q) t from h a join h b on a.p < b.p left join k on k.p1 = a.p and k.p2 = b.p),
     y as (select *, cast("both" as double) * (t - n_1 - n_2 + "both") u, cast(n_1 - "both" as double) * (n_2 - "both") w from z)
-    select product_1, product_2, n_1, n_2, "both", round(coalesce((u - w) / nullif(u + w, 0), 0), 6) yules_q, round((2 - coalesce((u - w) / nullif(u + w, 0), 0)) / 2, 6) distance from y""",
-    6,
+    select product_1, product_2, n_1, n_2, "both", round(coalesce((u - w) / nullif(u + w, 0), 0), 6) yules_q, round((2 - coalesce((u - w) / nullif(u + w, 0), 0)) / 2, 6) distance from y"""
 )
+
+
+@query("cdh_distances", _CDH_DISTANCES, 6)
 def cdh_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.CustomerDecisionHierarchy(_building(spark, sf_dir), "brand", exclude_same_transaction_products=False).table
 
 
+# the same over all market segments
+def _all_segments(sql: str) -> str:
+    return sql.replace(" where segment_name = 'BUILDING'", "")
+
+
+@query("cdh_pairs_all", _all_segments(_CDH) + " select c customer_id, p brand from q")
+def cdh_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.CustomerDecisionHierarchy(transactions(spark, sf_dir), "brand").pairs
+
+
+@query("cdh_distances_all", _all_segments(_CDH_DISTANCES), 6)
+def cdh_distances_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.CustomerDecisionHierarchy(transactions(spark, sf_dir), "brand", exclude_same_transaction_products=False).table
+
+
 # ---- time
 
 _COHORT = """+ , r as (select customer_id c, cast(date_trunc('{1}', transaction_date) as date) p, {0} v from tx), f as (select c, min(p) a from r group by c),

@@ -176,6 +176,15 @@ def test_query_equals_its_sql(spark, small, name):
     assert ours == theirs
 
 
+def test_hierarchy_over_all_segments(spark, small):
+    shopped = transactions(spark, small).select("customer_id", "segment_name", "brand").distinct()
+    pairs = catalog.queries()["cdh_pairs_all"](spark, small)
+    assert pairs.join(shopped, ["customer_id", "brand"]).select("segment_name").distinct().count() == shopped.select("segment_name").distinct().count() > 1
+    held = {r["brand"]: r["n"] for r in shopped.groupBy("brand").agg(F.count_distinct("customer_id").alias("n")).collect()}
+    for r in catalog.queries()["cdh_distances_all"](spark, small).collect():
+        assert (r["n_1"], r["n_2"]) == (held[r["product_1"]], held[r["product_2"]])
+
+
 def test_entry(spark, small):
     assert entry.entry(spark).count() == 6
     assert set(entry.oracle_sql()) <= set(entry.queries())
