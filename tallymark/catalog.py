@@ -188,6 +188,29 @@ def hml_include_light(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.HMLSegmentation(_promoted(spark, sf_dir), "promo_spend", zero_value_customers="include_with_light").table
 
 
+# the same over all customers: one year is the value's condition, not the rows'
+_HML_ALL = _HML.replace("when on_promotion then", 'when on_promotion and "year" = 1998 then').replace(' where "year" = 1998', "")
+
+
+def _promoted_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transactions(spark, sf_dir).withColumn("promo_spend", F.when(F.col("on_promotion") & (F.col("year") == 1998), F.col("unit_spend")).otherwise(0.0))
+
+
+@query("hml_separate_all", _HML_ALL.format("where promo_spend != 0", "union all select customer_id, round(promo_spend, 2), 'Zero' from v where promo_spend = 0"), 2)
+def hml_separate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.HMLSegmentation(_promoted_all(spark, sf_dir), "promo_spend").table
+
+
+@query("hml_exclude_all", _HML_ALL.format("where promo_spend != 0", ""), 2)
+def hml_exclude_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.HMLSegmentation(_promoted_all(spark, sf_dir), "promo_spend", zero_value_customers="exclude").table
+
+
+@query("hml_include_light_all", _HML_ALL.format("", ""), 2)
+def hml_include_light_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.HMLSegmentation(_promoted_all(spark, sf_dir), "promo_spend", zero_value_customers="include_with_light").table
+
+
 _RFM = """+ , v as (select customer_id, cast(date_diff('day', max(transaction_date), date '2001-08-02') as int) recency_days,
       cast(count(distinct transaction_id) as int) frequency, sum(unit_spend) monetary from tx group by customer_id), f as (select * from v {0}),
     s as (select *, {1} r_score, {2} f_score, {3} m_score from f)

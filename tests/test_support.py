@@ -185,6 +185,13 @@ def test_hierarchy_over_all_segments(spark, small):
         assert (r["n_1"], r["n_2"]) == (held[r["product_1"]], held[r["product_2"]])
 
 
+def test_levels_of_all_customers(spark, small):
+    customers = sorted(r[0] for r in transactions(spark, small).select("customer_id").distinct().collect())
+    for name in ("hml_separate_all", "hml_include_light_all"):
+        assert sorted(r["customer_id"] for r in catalog.queries()[name](spark, small).collect()) == customers
+    assert 0 < catalog.queries()["hml_exclude_all"](spark, small).count() < len(customers)
+
+
 def test_entry(spark, small):
     assert entry.entry(spark).count() == 6
     assert set(entry.oracle_sql()) <= set(entry.queries())
