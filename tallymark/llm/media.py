@@ -361,15 +361,21 @@ def thumbnail_hash(thumb: np.ndarray) -> str:
     """Average hash and gradient hash of the thumbnail's 8 x 9 cell means, in hexadecimal."""
     h, w = thumb.shape
     rows, columns = np.arange(8) * h // 8, np.arange(9) * w // 9
-    summed = np.zeros((h + 1, w + 1), np.int64)
-    np.cumsum(np.cumsum(thumb, 0, dtype=np.int64), 1, out=summed[1:, 1:])
     to_r, to_c = np.maximum(rows + 1, np.append(rows[1:], h)), np.maximum(columns + 1, np.append(columns[1:], w))
-    cells = summed[np.ix_(to_r, to_c)] - summed[np.ix_(rows, to_c)] - summed[np.ix_(to_r, columns)] + summed[np.ix_(rows, columns)]
+    cells = np.add.reduceat(np.add.reduceat(thumb, rows, 0, dtype=np.int64), columns, 1)
     means = cells / np.outer(to_r - rows, to_c - columns)
     average, gradient = means[:, :8] > means[:, :8].mean(), means[:, 1:] > means[:, :-1]
     return np.packbits(average).tobytes().hex() + np.packbits(gradient).tobytes().hex()
 
 
+def stacked(thumbs: list[np.ndarray]) -> np.ndarray:
+    """Thumbnails below each other, narrower ones filled up with zeros on the right."""
+    if len(thumbs) == 1:
+        return thumbs[0]
+    width = max(t.shape[1] for t in thumbs)
+    return np.concatenate([t if t.shape[1] == width else np.pad(t, ((0, 0), (0, width - t.shape[1]))) for t in thumbs])
+
+
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, n_bytes, media``: each text's bytes, padded by zeros to rows of 64, as JPEG."""
 
@@ -400,7 +406,7 @@ def read(stored: DataFrame, keep_thumbnail: bool = False, id_col: str = "doc_id"
                     rows.append((None, None, None, *own, None, None, None, None, None))
                     continue
                 payload = b"".join(t.tobytes() for _, t in images)
-                rows.append((images[0][0].width, sum(i.height for i, _ in images), len(images), *own, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), thumbnail_hash(images[0][1]), payload if keep_thumbnail else None))
+                rows.append((images[0][0].width, sum(i.height for i, _ in images), len(images), *own, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), thumbnail_hash(stacked([t for _, t in images])), payload if keep_thumbnail else None))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], names)
 
     schema = f"`{id_col}` {type_of(stored, id_col)}, " + ", ".join(f"{n} {k}" for n, k in zip(names[1:], kinds, strict=True))

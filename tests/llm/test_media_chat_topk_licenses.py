@@ -51,6 +51,25 @@ def test_media_odd(spark):
     assert media.read(media.store(docs.limit(0))).count() == 0
 
 
+def test_hash_of_all_images(spark):
+    first = "m" * (media.MOST_ROWS * 64)
+    texts = [first + "z" * 400_000, first + "!" * 400_000, first + "z" * 399_999 + "y"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    read = {r["doc_id"]: r for r in media.read(media.store(docs)).collect()}
+    assert {r["images"] for r in read.values()} == {2}
+    assert read[0]["thumbnail_hash"] != read[1]["thumbnail_hash"]
+    for i, text in enumerate(texts):
+        assert read[i]["thumbnail_hash"] == media.thumbnail_hash(np.frombuffer(text.encode(), np.uint8).reshape(-1, 64))
+    rng = np.random.default_rng(5)
+    for h, w in ((1, 64), (3, 5), (8, 9), (200, 64), (17, 130)):
+        thumb = rng.integers(0, 256, (h, w), np.uint8)
+        means = np.array([[thumb[i * h // 8 : max(i * h // 8 + 1, (i + 1) * h // 8), j * w // 9 : max(j * w // 9 + 1, (j + 1) * w // 9)].mean() for j in range(9)] for i in range(8)])
+        bits = [means[:, :8] > means[:, :8].mean(), means[:, 1:] > means[:, :-1]]
+        assert media.thumbnail_hash(thumb) == "".join(np.packbits(b).tobytes().hex() for b in bits)
+    wide, narrow = np.full((2, 9), 7, np.uint8), np.full((3, 4), 5, np.uint8)
+    assert media.stacked([narrow, wide]).tolist() == [[5] * 4 + [0] * 5] * 3 + [[7] * 9] * 2
+
+
 def jpeg(blocks, width, height, frame, interval):
     """A plain encoder for the test: coefficient blocks per component in coded order."""
     bits = []
