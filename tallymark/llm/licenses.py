@@ -45,6 +45,9 @@ TEMPLATES = [
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
 ]
 
+#: Words that name a license: a template that has any of its label's is held only with all of them.
+NAMING = {"mit": {"mit"}, "apache-2": {"apache"}, "cc-by-nc": {"cc", "nc"}, "cc-by": {"creative", "commons"}, "gpl-3": {"gnu"}, "gpl": {"gnu"}, "mpl-2": {"mozilla"}}
+
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -99,6 +102,16 @@ def _ordered(templates: list[tuple[str, str]], order: list[str], threshold: floa
     return sets, need, index
 
 
+def _naming(template: tuple[str, str]) -> Column:
+    """The words of a template that must not be missing."""
+    label, words = template
+    return F.lit(sorted(NAMING.get(label, set()) & set(words.split()))).cast("array<string>")
+
+
+def _named(row: Column, own: Column) -> Column:
+    return F.size(F.array_except(row["naming"], own)) == 0
+
+
 def block_hits(blocks: Column, templates: list[tuple[str, str]], order: list[str], threshold: float) -> Column:
     """For an array of spaced blocks the array of (label, containment) of all pairs that reach the threshold."""
     place = {w: i for i, w in enumerate(order)}
@@ -108,7 +121,7 @@ def block_hits(blocks: Column, templates: list[tuple[str, str]], order: list[str
         return F.array(*[of(v) for v in values])
 
     probe = F.create_map(*[x for w, hits in index.items() for x in (F.lit(w), array(hits, lambda h: F.struct(F.lit(h[0]).alias("t"), F.lit(h[1]).alias("i"))))])
-    table = array(list(zip(templates, sets, need, strict=True)), lambda x: F.struct(F.lit(x[0][0]).alias("label"), F.lit(x[1]).alias("words"), F.lit(x[2]).alias("need")))
+    table = array(list(zip(templates, sets, need, strict=True)), lambda x: F.struct(F.lit(x[0][0]).alias("label"), F.lit(x[1]).alias("words"), F.lit(x[2]).alias("need"), _naming(x[0]).alias("naming")))
     prefix = F.lit(sorted(index, key=place.__getitem__))
 
     def held(block: Column) -> Column:
@@ -132,7 +145,7 @@ def block_hits(blocks: Column, templates: list[tuple[str, str]], order: list[str
     def verified(own: Column) -> Column:
         rows = F.transform(pairs(own), lambda t: F.get(table, t))
         shared = lambda row: F.size(F.array_intersect(row["words"], own))
-        return F.transform(F.filter(rows, lambda row: shared(row) >= row["need"]), lambda row: F.struct(row["label"].alias("label"), (shared(row) / F.size(row["words"])).alias("held")))
+        return F.transform(F.filter(rows, lambda row: (shared(row) >= row["need"]) & _named(row, own)), lambda row: F.struct(row["label"].alias("label"), (shared(row) / F.size(row["words"])).alias("held")))
 
     return F.flatten(F.transform(F.transform(blocks, held), verified))
 
@@ -142,7 +155,7 @@ def window_hits(text: Column, templates: list[tuple[str, str]], order: list[str]
     number of words holds: runs that reach the threshold hold a prefix word, so only those around
     a prefix word are looked at."""
     sets, need, index = _ordered(templates, order, threshold)
-    rows = [F.struct(F.lit(label).alias("label"), F.lit(own).alias("words"), F.lit(n).alias("need"), F.lit(len(words.split())).alias("run")) for (label, words), own, n in zip(templates, sets, need, strict=True)]
+    rows = [F.struct(F.lit(label).alias("label"), F.lit(own).alias("words"), F.lit(n).alias("need"), F.lit(len(words.split())).alias("run"), _naming((label, words)).alias("naming")) for (label, words), own, n in zip(templates, sets, need, strict=True)]
     probe = F.create_map(*[x for w, hits in index.items() for x in (F.lit(w), F.array(*[rows[t] for t, _ in hits]))])
 
     def near(words: Column, word: Column, at: Column) -> Column:
@@ -159,7 +172,8 @@ def window_hits(text: Column, templates: list[tuple[str, str]], order: list[str]
 
     def best(row: Column, part: Column) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.size(part) - row["run"] + 1, F.lit(1)))
-        return F.array_max(F.transform(starts, lambda s: shared(row, F.slice(part, s, row["run"]))))
+        runs = F.filter(F.transform(starts, lambda s: F.slice(part, s, row["run"])), lambda run: _named(row, run))
+        return F.array_max(F.transform(runs, lambda run: shared(row, run)))
 
     def reached(words: Column) -> Column:
         places = F.filter(F.transform(words, lambda w, i: F.when(w.isin(list(index)), F.struct(w.alias("w"), i.alias("i")))), lambda p: p.isNotNull())

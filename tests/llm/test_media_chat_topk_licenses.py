@@ -312,3 +312,10 @@ def test_licenses_wrapped(spark):
         assert label in got[i]["labels"].split(","), text
         assert (got[i]["score"] == 1.0) == bool(label), text
         assert label or got[i]["labels"] == "", text
+
+
+def test_licenses_need_their_name(spark):
+    clean = ["Released under the BSD License.", "released under the GPL license", "released under\nthe GPL license", "licensed under the foo license version 2.0", "Licensed under CC BY 4.0"]
+    texts = [*clean, "released under MIT license", "released under\nMIT license", "licensed under apache license version 2.0"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["labels"] for r in licenses.scan(docs).orderBy("doc_id").collect()] == [""] * len(clean) + ["mit", "mit", "apache-2"]
