@@ -229,7 +229,7 @@ def test_topk_odd(spark):
     from pyspark.sql import functions as F
 
     for k, every, chunk in ((5, 10, 16), (3, 1, 512), (200, 50, 32)):
-        got = topk.top_k(table, F.col("vec_id") % every == 0, k=k, chunk=chunk, query_chunk=7, block=4)
+        got = topk.top_k(table, F.col("vec_id") % every == 0, k=k, chunk=chunk, query_chunk=7, block=4, sample=40)
         assert sorted(map(tuple, got.collect())) == plain_top(rows, k, every)
     assert topk.top_k(table.limit(0), F.col("vec_id") == 0).count() == 0
 
@@ -238,14 +238,52 @@ def test_pruning_prunes_and_large_values():
     rng = np.random.default_rng(1)
     centers = rng.normal(size=(20, 16)) * 200
     vectors = np.repeat(centers, 50, 0) + rng.normal(size=(1000, 16))
-    vectors = np.floor(vectors).astype(np.int64)
-    best, who, scored = topk.prune_and_score(vectors[::100], np.arange(1000)[::100], vectors, np.arange(1000), 5, 50)
-    assert scored < 10 * 20 / 2
-    for scale in (1, 1 << 16):
-        best, who, _ = topk.prune_and_score(vectors[::100] * scale, np.arange(1000)[::100], vectors * scale, np.arange(1000), 5, 50)
-        for row, q in enumerate(range(0, 1000, 100)):
-            score = [(-int(sum(int(a) * int(b) for a, b in zip(vectors[q] * scale, v * scale, strict=True))), i) for i, v in enumerate(vectors) if i != q]
-            assert [(-s, i) for s, i in sorted(score)[:5]] == list(zip(best[row].tolist(), who[row].tolist(), strict=True))
+    vectors, ids = np.floor(vectors), np.arange(1000)
+    queries, own = vectors[::100], ids[::100]
+    _, _, scored = topk.prune_and_score(queries, own, vectors, ids, 5, 50)
+    assert scored <= 10 * 1000 / 20  # their own clusters
+    for scale in (1.0, 2.0**16, 2.0**22, 2.0**40):
+        best, filled, _ = topk.prune_and_score(queries * scale, own, vectors * scale, ids, 5, 50)
+        assert (filled == 5).all()
+        for row, q in enumerate(own):
+            score = [(-min(max(sum(int(a) * int(b) for a, b in zip(queries[row] * scale, v * scale, strict=True)), topk.LEAST), topk.MOST), i) for i, v in enumerate(vectors) if i != q]
+            assert [(i, -s) for s, i in sorted(score)[:5]] == [(i, s) for s, i in best[row].tolist()]
+
+
+def test_components_beyond_sums_of_doubles(spark):
+    """Scores that differ in the last digits of 64 bits, and one beyond them."""
+    rows = [(0, [3e6, 1.0]), (1, [2e6, 0.0]), (2, [1.5e6, 0.0]), (3, [1.5e6, 1 / 256]), (4, [-2e6, 0.0]), (5, [2.0**20, 1.0]), (6, [1e308, 0.0]), (7, [])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    from pyspark.sql import functions as F
+
+    got = sorted(tuple(r)[1:] for r in topk.top_k(table, F.col("vec_id") == 0, k=9).collect())
+    exact = {i: sum(math.floor(256 * a) * math.floor(256 * b) for a, b in zip(rows[0][1], x, strict=False)) if i != 6 else topk.MOST for i, x in rows if i}
+    assert got == [(n + 1, i, exact[i]) for n, i in enumerate(sorted(exact, key=lambda i: (-exact[i], i)))]
+    assert exact[3] - exact[2] == 256 and exact[1] == 768_000_000 * 512_000_000
+
+
+def test_repeated_queries_and_hot_rows(spark):
+    """A row that stands there often, and a query id with two vectors."""
+    rows = [(1, [2.0, 0.0])] * 300 + [(2, [1.0, 0.0]), (3, [0.0, 3.0]), (50, [1.0, 0.0]), (50, [0.0, 1.0]), (50, [1.0, 0.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    from pyspark.sql import functions as F
+
+    got = [tuple(r)[2:] for r in topk.top_k(table, F.col("vec_id") == 50, k=4, scale=1).orderBy("rank").collect()]
+    assert got == [(3, 3), (1, 2), (1, 2), (1, 2)]
+    got = [tuple(r)[2:] for r in topk.top_k(table.filter("vec_id > 1"), F.col("vec_id") == 50, k=4, scale=1).orderBy("rank").collect()]
+    assert got == [(3, 3), (2, 1), (2, 0), (3, 0)]
+
+
+def test_share_of_pairs_scored():
+    """On vectors without any clusters, too, blocks of two like vectors let some pairs be passed over."""
+    rows = [(i, v) for i, v, *_ in rows_of("/root/testdata/sf0.1", "embeddings")]
+    x, ids = np.floor(256 * np.array([v for _, v in rows], np.float64)), np.array([i for i, _ in rows])
+    order = topk.similar_order(x)
+    x, ids = x[order], ids[order]
+    asks = ids % 50 == 0
+    seeds = topk.seeds_of(x[asks], ids[asks], x, ids, 5)
+    _, filled, scored = topk.prune_and_score(x[asks], ids[asks], x, ids, 5, seeds=seeds)
+    assert (filled == 5).all() and scored < 0.6 * asks.sum() * len(x)
 
 
 # ---- licenses
