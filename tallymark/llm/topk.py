@@ -104,6 +104,11 @@ def _bounds(queries: np.ndarray, highest: np.ndarray, lowest: np.ndarray) -> np.
     return _as_long(np.maximum(queries, 0) @ highest.T + np.minimum(queries, 0) @ lowest.T)
 
 
+def _products(queries: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+    """Inner products of each query with the vectors of its own inner block."""
+    return (queries[:, None, :] * blocks).sum(2) if queries.dtype == object else np.einsum("pd,pid->pi", queries, blocks)
+
+
 def similar_order(vectors: np.ndarray) -> np.ndarray:
     """An order in which each vector is followed by the one most like it that is left."""
     norm = np.linalg.norm(vectors / max(1.0, np.abs(vectors).max(initial=0)), axis=1, keepdims=True)
@@ -150,7 +155,7 @@ def prune_and_score(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndar
             there = own < n
             own = np.minimum(own, n - 1)
             step = max(1, PRODUCTS // max(1, inner * queries.shape[1]))
-            scores = np.concatenate([_as_long((queries[rows[row[i : i + step]]][:, None, :] * vectors[own[i : i + step]]).sum(2)) for i in range(0, len(row), step)])
+            scores = np.concatenate([_as_long(_products(queries[rows[row[i : i + step]]], vectors[own[i : i + step]])) for i in range(0, len(row), step)])
             scored += int(there.sum())
             good = there & (ids[own] != query_ids[rows[row]][:, None]) & (scores >= floor[rows[row]][:, None])
             who, member = np.nonzero(good)
