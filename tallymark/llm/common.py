@@ -80,8 +80,8 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     return out
 
 
-def drop_written(df: DataFrame) -> None:
-    """Delete a table made by :func:`written` that nothing reads any more."""
+def drop_written(df: DataFrame | None) -> None:
+    """Delete a table made by :func:`written` that nothing reads any more; others are left alone."""
     if uri := getattr(df, "_tallymark_uri", None):
         remove(df.sparkSession, uri)
 

@@ -1,12 +1,18 @@
 """Best-fit packing of token sequences by hierarchical residual packing.
 
-Every input partition tokenizes its documents, cuts those longer than a sequence, and packs the
+Documents are dealt at random over partitions of even size (a round-robin exchange), so every
+partition holds a fair sample of long and short ones however the input is ordered, and repeated rows are
+spread.  A partition tokenizes its documents, cuts those longer than a sequence, and packs the
 pieces best-fit, longest first, into bins of ``size`` tokens.  Full pieces and nearly full bins
 are emitted at once.  The emptiest underfull bins of each partition travel up a tree of ``fan``
 children per node as single items: each node best-fits the bins it receives into fuller ones,
-emits what is nearly full and passes its emptiest on, until one node is left.  A node passes at
-most ``carry`` bins (what it does not pass is emitted as it is: no piece is ever dropped), so a
-node reads at most ``fan * carry`` rows at any scale, and the tree has log(partitions) levels.
+emits what is nearly full and passes its emptiest on, until one node is left.
+
+A node passes ``carry`` bins at most, so it reads ``fan * carry`` rows at most at any scale, and the
+tree has log(partitions) levels.  What it does not pass is emitted as it is: no piece is ever
+dropped.  These are its fuller bins; as partitions are samples of one whole, another node has the same
+mix to offer, so they could hardly be filled elsewhere (the tests compare with one best-fit run over
+all pieces).  A partition of more than 64 MB of pieces packs in several runs, each a sample as well.
 
 A piece's sequence is found by following its bin through the tree's moves; the moves are as many
 as the carried bins, and only pieces of carried bins take part in that join.
@@ -18,7 +24,6 @@ the id and text columns are not read.
 
 from __future__ import annotations
 
-import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -30,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Encoded, _texts, vocabulary
-from .common import SLICE_BYTES, arrow_map, slices, text_bytes, type_of, written
+from .common import SLICE_BYTES, arrow_map, drop_written, slices, text_bytes, type_of, written
 
 BIN_BITS = 33
 
@@ -72,11 +77,11 @@ def _carried(fills: np.ndarray, size: int, full: float, carry: int) -> np.ndarra
     return under[np.argsort(fills[under], kind="stable")][:carry]
 
 
-def pieces(docs: DataFrame, vocab_path: str, size: int = 1024, end_id: int | None = 2, full: float = 0.99, carry: int = 32, keep_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, vocab_path: str, size: int = 1024, end_id: int | None = 2, full: float = 0.99, carry: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenize, cut and pack within each partition: a row per piece with its bin, its place
     there, the bin's fill, and whether the bin is to travel on.  ``ids`` are little-endian
-    unsigned 32-bit ids (null without ``keep_ids``), ``ids_crc32`` their checksum."""
-    names = [id_col, "piece", "start", "length", "ids", "ids_crc32", "bin", "offset", "fill", "carried"]
+    unsigned 32-bit ids."""
+    names = [id_col, "piece", "start", "length", "ids", "bin", "offset", "fill", "carried"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, part = vocabulary(vocab_path), TaskContext.get().partitionId()
@@ -90,7 +95,7 @@ def pieces(docs: DataFrame, vocab_path: str, size: int = 1024, end_id: int | Non
 
         def packed() -> Iterator[pa.RecordBatch]:
             nonlocal made
-            columns = [pa.concat_arrays([h[i] for h in held]) for i in range(6)]
+            columns = [pa.concat_arrays([h[i] for h in held]) for i in range(5)]
             bins, offsets, fills = best_fit(columns[3].to_numpy(), size)
             moving = np.zeros(len(fills), bool)
             moving[_carried(fills, size, full, carry)] = True
@@ -102,7 +107,7 @@ def pieces(docs: DataFrame, vocab_path: str, size: int = 1024, end_id: int | Non
         for batch in slices(batches, "text"):
             got = Encoded(*text_bytes(batch.column(1)), vocab)
             raw, bounds = got.ids.astype("<u4").tobytes(), got.bounds.tolist()
-            doc, number, start, length, ids, crc = [], [], [], [], [], []
+            doc, number, start, length, ids = [], [], [], [], []
             for i in range(batch.num_rows):
                 text = raw[4 * bounds[i] : 4 * bounds[i + 1]] + end
                 tokens = len(text) // 4
@@ -113,9 +118,8 @@ def pieces(docs: DataFrame, vocab_path: str, size: int = 1024, end_id: int | Non
                     number.append(k)
                     start.append(a)
                     length.append(b - a)
-                    ids.append(text[4 * a : 4 * b] if keep_ids else None)
-                    crc.append(zlib.crc32(text[4 * a : 4 * b]))
-            columns = [batch.column(0).take(pa.array(doc, pa.int64())), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary()), pa.array(crc, pa.int64())]
+                    ids.append(text[4 * a : 4 * b])
+            columns = [batch.column(0).take(pa.array(doc, pa.int64())), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())]
             whole = np.array(length, np.int64) == size
             if (n := int(whole.sum())):
                 alone = [c.filter(pa.array(whole)) for c in columns]
@@ -130,8 +134,9 @@ def pieces(docs: DataFrame, vocab_path: str, size: int = 1024, end_id: int | Non
         if held:
             yield from packed()
 
-    schema = f"`{id_col}` {type_of(docs, id_col)}, piece int, start bigint, length bigint, ids binary, ids_crc32 bigint, bin bigint, offset bigint, fill bigint, carried boolean"
-    return arrow_map(_texts(docs, id_col, text_col), schema, run)
+    schema = f"`{id_col}` {type_of(docs, id_col)}, piece int, start bigint, length bigint, ids binary, bin bigint, offset bigint, fill bigint, carried boolean"
+    dealt = _texts(docs, id_col, text_col).hint("rebalance")  # round robin, partitions by size
+    return arrow_map(dealt, schema, run)
 
 
 def _level(bins: DataFrame, size: int, full: float, carry: int, fan: int) -> DataFrame:
@@ -149,9 +154,9 @@ def _level(bins: DataFrame, size: int, full: float, carry: int, fan: int) -> Dat
     return parents.groupBy("parent").applyInPandas(pack, "bin bigint, to bigint, base bigint, fill bigint, carried boolean, node bigint")
 
 
-def pack(docs: DataFrame, vocab_path: str, size: int = 1024, end_id: int | None = 2, full: float = 0.99, carry: int = 32, fan: int = 8, keep_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, vocab_path: str, size: int = 1024, end_id: int | None = 2, full: float = 0.99, carry: int = 1024, fan: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pack all documents; a row per piece:
-    ``id_col, piece, start, length, ids, ids_crc32, sequence_id, offset``.
+    ``id_col, piece, start, length, ids, sequence_id, offset``.
 
     A document's ids and ``end_id`` are one piece, or if longer than ``size`` pieces of ``size``
     tokens, of which the first may be shorter.  ``offset`` is gapless in each sequence.
@@ -160,22 +165,24 @@ def pack(docs: DataFrame, vocab_path: str, size: int = 1024, end_id: int | None
         raise ValueError("size and carry are at least 1, fan at least 2")
     if end_id is None:
         raise ValueError("an end id keeps empty texts packable")
-    cut = written(pieces(docs, vocab_path, size, end_id, full, carry, keep_ids, id_col, text_col), "pieces")
-    kept = [f"`{id_col}`", "piece", "start", "length", "ids", "ids_crc32"]
+    cut = written(pieces(docs, vocab_path, size, end_id, full, carry, id_col, text_col), "pieces")
+    kept = [f"`{id_col}`", "piece", "start", "length", "ids"]
     carried = cut.filter("carried")
     level = carried.filter("offset = 0").select(F.expr(f"shiftright(bin, {BIN_BITS})").alias("node"), "bin", "fill")
     nodes = level.agg(F.max("node").alias("n")).head()["n"]
     if nodes is None:  # nothing is left over
         return cut.selectExpr(*kept, "bin as sequence_id", "offset")
-    moves = None
+    moves = last = None
     while nodes > 0 or moves is None:
         step = written(_level(level, size, full, carry, fan), "bins")
         if moves is None:
             moves = step.selectExpr("bin", "to", "base")
         else:  # bins that moved on with their new bin
             further = step.selectExpr("bin as to", "to as next", "base as more")
-            moves = written(moves.join(further, "to", "left").selectExpr("bin", "coalesce(next, to) as to", "base + coalesce(more, 0) as base"), "moves")
-        level = step.filter("carried and base = 0").selectExpr("node", "to as bin", "fill")
+            before, moves = moves, written(moves.join(further, "to", "left").selectExpr("bin", "coalesce(next, to) as to", "base + coalesce(more, 0) as base"), "moves")
+            drop_written(before)
+            drop_written(last)
+        level, last = step.filter("carried and base = 0").selectExpr("node", "to as bin", "fill"), step
         nodes = nodes // fan
     placed = carried.join(moves, "bin").selectExpr(*kept, "to as sequence_id", "base + offset as offset")
     return cut.filter("not carried").selectExpr(*kept, "bin as sequence_id", "offset").unionByName(placed)

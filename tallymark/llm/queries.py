@@ -24,8 +24,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
-    packed = pack(table(spark, sf_dir, "documents"), vocab_path(), size=1024, end_id=2, keep_ids=False)
-    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    packed = pack(table(spark, sf_dir, "documents"), vocab_path(), size=1024, end_id=2)
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
