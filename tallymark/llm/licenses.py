@@ -71,14 +71,22 @@ def _wrapped(phrase: str) -> str:
     return "".join(f" {w} " for w in phrase.split())
 
 
+def _overlaps(phrase: str) -> bool:
+    """Whether a place of the phrase can begin within another one: some end of it is a beginning."""
+    words = phrase.split()
+    return any(words[:n] == words[len(words) - n :] for n in range(1, len(words)))
+
+
 def phrase_places(text: Column, phrase: str) -> tuple[Column, Column, Column]:
     """Number of places, first and last place (in words from 0, else null) in a spaced text."""
     part = _wrapped(phrase)
     found = F.contains(text, F.lit(part))
+    # a look ahead takes no signs, so overlapping places count, too
+    places = F.regexp_count(text, F.lit(f"(?=\\Q{part}\\E)")).cast("long") if _overlaps(phrase) else _count(text, part)
     before = F.substring_index(text, part, 1)
     after = F.substring_index(text, part, -1)
     last = F.left(text, F.length(text) - F.length(after) - F.lit(len(part)))
-    return F.when(found, _count(text, part)).otherwise(F.lit(0)).cast("long"), F.when(found, _words_in(before)), F.when(found, _words_in(last))
+    return F.when(found, places).otherwise(F.lit(0)).cast("long"), F.when(found, _words_in(before)), F.when(found, _words_in(last))
 
 
 def word_order(docs: DataFrame, words: list[str], text_col: str = "text") -> list[str]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from .licenses import PHRASES, TEMPLATES
+from .licenses import NAMING, PHRASES, TEMPLATES
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -33,19 +33,28 @@ def near_duplicates_sql(words: int = 4, percent: int = 80) -> str:
 
 
 def licenses_sql(threshold: float = 0.8) -> str:
-    """Every line against every template, without filters."""
+    """Every line, and every run of a template's number of words, against every template, without
+    filters but one: a text that lacks a template's words as a whole has no run of them."""
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     phrases = ", ".join(f"{{'label': '{label}', 'p': {phrase.split()}}}" for phrase, label in PHRASES.items())
-    templates = ", ".join(f"{{'label': '{label}', 't': {sorted(set(t.split()))}, 'need': {max(1, math.ceil(threshold * len(set(t.split())) - 1e-9))}}}" for label, t in TEMPLATES)
+    rows = []
+    for label, template in TEMPLATES:
+        own = sorted(set(template.split()))
+        naming = sorted(NAMING.get(label, set()) & set(own))
+        rows.append(f"{{'label': '{label}', 't': {own}, 'need': {max(1, math.ceil(threshold * len(own) - 1e-9))}, 'run': {len(template.split())}, 'naming': {naming}::varchar[]}}")
+    templates = ", ".join(rows)
     return f"""with d as (select doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') t, row_number() over () k from documents),
     w as (select *, regexp_extract_all(t, '{word}') w from d),
     h as (select k, unnest([{phrases}]) p, w from w where regexp_matches(t, 'license|cc')),
     g as (select k, p.label "label", unnest(list_filter(range(1, len(w) - len(p.p) + 2), lambda i: w[i:i + len(p.p) - 1] = p.p)) - 1 pos from h),
     b as (select k, count(*) n, min(pos) a, max(pos) z, list_sort(list_distinct(list("label"))) l from g group by k),
-    lines as (select k, unnest(string_split_regex(t, '[\\n\\r]')) line from d),
+    lines as (select k, unnest(string_split_regex(t, '[\n\r]')) line from d),
     s as (select k, list_distinct(regexp_extract_all(line, '{word}')) s from lines),
-    m as (select k, s, unnest([{templates}]) t from s),
-    q as (select k, t.label "label", len(list_intersect(s, t.t)) / len(t.t) held from m where len(list_intersect(s, t.t)) >= t.need),
+    v as (select k, w, list_distinct(w) v, unnest([{templates}]) t from w),
+    u as (select k, w, t from v where len(list_intersect(v, t.t)) >= t.need),
+    runs as (select k, t, unnest(list_transform(range(1, greatest(len(w) - t.run + 2, 2)), lambda i: list_distinct(w[i:i + t.run - 1]))) s from u),
+    m as (select k, s, unnest([{templates}]) t from s union all select k, s, t from runs),
+    q as (select k, t.label "label", len(list_intersect(s, t.t)) / len(t.t) held from m where len(list_intersect(s, t.t)) >= t.need and list_has_all(s, t.naming)),
     f as (select k, list_distinct(list("label")) l, max(held) held from q group by k)
     select doc_id, cast(len(w) as bigint) n_words, cast(coalesce(n, 0) as bigint) n_base, cast(a as bigint) first_word, cast(z as bigint) last_word,
       array_to_string(coalesce(b.l, []), ',') base_labels,

@@ -330,6 +330,30 @@ def test_licenses_odd(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_overlapping_phrases(spark):
+    phrases = {"a b a": "x", "b b": "y", "a.b": "z"}
+    texts = ["a b a b a", "b b b b", "a b a a b a", "ab a b", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in licenses.scan(docs, templates=[], phrases=phrases).collect()}
+    assert got == {0: (2, 0, 2, "x"), 1: (3, 0, 2, "y"), 2: (2, 0, 3, "x"), 3: (0, None, None, ""), 4: (0, None, None, "")}
+
+
+def test_sql_finds_wrapped_notices(spark, tmp_path):
+    """The SQL against the operator on notices over several lines and ones that lack words."""
+    from tallymark.llm import oracles
+
+    mit, gpl, bsd = licenses.TEMPLATES[1][1], licenses.TEMPLATES[7][1], licenses.TEMPLATES[8][1]
+    wrap = lambda t, n: "\n# ".join(" ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    texts = [wrap(t, n) for t in (mit, gpl, bsd) for n in (2, 7)] + ["the word\n" + wrap(bsd, 5) + "\nmore", wrap(" ".join(gpl.split()[5:]), 6), "released under\nthe GPL license", "released under\nthe MIT license", "", None, "the"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    wanted = sorted(tuple(r) for r in licenses.scan(docs).select("doc_id", "labels", "score").collect())
+    base = duckdb.connect()
+    base.execute("create table documents (doc_id bigint, text varchar)")
+    base.executemany("insert into documents values (?, ?)", list(enumerate(texts)))
+    got = base.sql(f"select doc_id, labels, score from ({oracles.licenses_sql()}) order by doc_id").fetchall()
+    assert got == wanted and [label for _, label, _ in got[:6]] == ["mit", "mit", "gpl", "gpl", "bsd", "bsd"]
+
+
 def test_licenses_wrapped(spark):
     """Notices wrapped at any width, as comments or not, and the same score as on one line."""
     notices = [(label, words) for label, words in licenses.TEMPLATES]
