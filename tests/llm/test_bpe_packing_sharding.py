@@ -177,12 +177,47 @@ def test_shard_odd_and_versions(spark, odd):
     rows = sharding.shard(odd, 3, 64, stored).collect()
     assert len(rows) == odd.count()
     check_shards(rows, 3)
-    stats = {r["virtual_slot"]: r["bytes"] for r in stored.version(1).collect()}
-    first = stored.shards(1)
-    grown = sharding.rebalance(first, stats, 4)
-    assert {b for a, b in zip(first, grown) if a != b} <= {3}
+    last = stored.latest()
+    first, now = stored.shards(1), stored.shards(last)
+    assert last == 2 and len(first) == len(now) == 64 and first == [i % 3 for i in range(64)]
+    # rows lie where the stored version says
+    by = lambda rows: {(r["doc_id"], r["text_crc32"]): (r["virtual_slot"], r["shard"]) for r in rows}
+    assert all(shard == now[slot] for slot, shard in by(rows).values())
+    # the same rows again: nothing to move, no version more
+    assert by(sharding.shard(odd, 3, 64, stored).collect()) == by(rows) and stored.latest() == 2
+    # an older version places by itself
+    old = by(sharding.shard(odd, 3, 64, stored, version=1).collect())
+    assert all(shard == first[slot] for slot, shard in old.values()) and old != by(rows)
+    # one more shard, then fewer: slots move only as far as the balance asks
+    grown = sharding.shard(odd, 4, 64, stored).collect()
+    check_shards(grown, 4)
+    assert stored.latest() == 3
+    assert {b for a, b in zip(now, stored.shards(3), strict=True) if a != b} <= {3}
+    check_shards(sharding.shard(odd, 2, 64, stored).collect(), 2)
+    assert stored.latest() == 4 and set(stored.shards(4)) == {0, 1}
     empty = spark.createDataFrame([], "virtual_slot int, bytes bigint, rows bigint")
-    stored.store(2, grown, empty)
-    assert stored.shards(1) == first and stored.shards(2) == grown
-    assert set(sharding.rebalance(grown, stats, 2)) <= {0, 1}
+    for wrong in (2, 4, 6):
+        with pytest.raises(ValueError):
+            stored.store(wrong, now, empty)
+    with pytest.raises(ValueError):
+        sharding.shard(odd, 3, 64, stored, version=9)
     assert sharding.shard(odd.limit(0), 3, 64).count() == 0
+
+
+def test_shard_rows_that_are_all_alike(spark):
+    docs = spark.range(900).selectExpr("cast(7 as long) as doc_id", "'same' as text", "id as size").repartition(5)
+    placed = sharding.shard(docs, 3, 16)
+    rows = placed.collect()
+    check_shards(rows, 3)
+    assert len(rows) == 900 and len({r["virtual_slot"] for r in rows}) == 1
+    assert "part#" in placed._jdf.queryExecution().toString()
+
+
+def test_shards_near_equal(spark):
+    rng = random.Random(2)
+    docs = spark.createDataFrame([(i, "x" * int(rng.paretovariate(1.2) * 50)) for i in range(20_000)], "doc_id long, text string")
+    load = [0] * 8
+    for r in sharding.shard(docs, 8).collect():
+        load[r["shard"]] += r["size"]
+    largest = max(r["size"] for r in sharding.sized(docs).collect())
+    assert max(load) - min(load) <= max(largest, 0.001 * sum(load) / 8)
