@@ -21,13 +21,20 @@ SLICE_BYTES = 2 << 20  # larger ones cost memory in every worker and save little
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
+    """The folder that the driver and all executors see: ``spark.checkpoint.dir``, else the context's
+    checkpoint folder.
 
-    Only where the session names none (tests, a single machine) a local one is made, once a context.
+    Only on a single machine (a local master, as in tests) that names none, one is made, once a
+    context; on a cluster a folder of the driver's own would lose what executors write, so that raises.
     """
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or getattr(context, "_tallymark_shared", None)
     if not base:
+        named = context._jsc.sc().getCheckpointDir()
+        base = named.get() if named.isDefined() else None
+    if not base:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="tallymark-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         base = context._tallymark_shared = f"file://{folder}"

@@ -151,6 +151,25 @@ def test_best_fit_takes_the_tightest_room():
     assert bins.tolist() == [0, 1, 1, 0, 2] and offsets.tolist() == [0, 0, 5, 6, 0]
 
 
+def test_shared_folder():
+    """The session's setting, then the context's folder; on a cluster never one of the driver's own."""
+    from types import SimpleNamespace as Fake
+
+    from tallymark.llm.common import shared_dir
+
+    def session(master, setting=None, checkpoint=None):
+        option = Fake(isDefined=lambda: checkpoint is not None, get=lambda: checkpoint)
+        context = Fake(master=master, _jsc=Fake(sc=lambda: Fake(getCheckpointDir=lambda: option)))
+        return Fake(conf=Fake(get=lambda name, default: setting), sparkContext=context)
+
+    assert shared_dir(session("spark://a:7077", "hdfs://x/c/")) == "hdfs://x/c"
+    assert shared_dir(session("yarn", None, "hdfs://y/d")) == "hdfs://y/d"
+    with pytest.raises(RuntimeError):
+        shared_dir(session("yarn"))
+    one = session("local[2]")
+    assert shared_dir(one).startswith("file://") and shared_dir(one) == shared_dir(one)
+
+
 def check_shards(rows, shards):
     places = {}
     for r in rows:
