@@ -19,6 +19,9 @@
 Exact but for the misses of banding and of pruning, whose probabilities are parameters:
 (1 - t**rows)**bands for a link at the threshold t, and ``miss`` at each batch.
 
+A hub, bucket, label, shingle or class that a large share of all rows names is joined in parts
+(:func:`spread_join`), so no task gets all its rows.
+
 Defined results: null, empty and wordless texts have an empty set and are linked with nothing;
 repeated rows and copies are one class; rows with null ids have no component and link nothing;
 ties go to the smaller id; an empty table gives an empty table; other columns are not read.
@@ -40,6 +43,8 @@ from pyspark.sql import functions as F
 from .common import arrow_map, drop_written, only, slices, text_bytes, type_of, written
 from .features import lowered_ascii
 
+SHARES = 2048  # keys with more than this part of all rows are joined in parts
+
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -143,21 +148,38 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return only(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, salt: str, sizes: DataFrame | None = None, how: str = "inner", least: int = 1) -> DataFrame:
+    """``left`` joined to ``right`` by ``key``, where any share of left's rows may name one key.
+
+    Keys with more than 1/SHARES of the rows (fewer than SHARES keys, broadcast) are cut into parts by
+    the hash of ``salt``; right's rows of such a key are copied to its parts, SHARES copies more in all for
+    a side of one row per key.  ``sizes`` (``key, n``) are left's rows per key, if they are known.
+    """
+    sizes = (left.groupBy(key).agg(F.count("*").alias("n")) if sizes is None else sizes).filter(F.col(key).isNotNull())
+    share = sizes.agg(F.greatest(F.ceil(F.sum("n") / SHARES), F.lit(least)).alias("share"))
+    hot = F.broadcast(sizes.crossJoin(F.broadcast(share)).filter("n > share").select(key, F.ceil(F.col("n") / F.col("share")).alias("__shares")))
+    shares = F.coalesce("__shares", F.lit(1))
+    cut = left.join(hot, key, "left").withColumn("__part", F.pmod(F.xxhash64(salt), shares)).drop("__shares")
+    copied = right.join(hot, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1))).drop("__shares")
+    return cut.join(copied, [key, "__part"], how).drop("__part")
+
+
 def places(classes: DataFrame, rule: Rule) -> DataFrame:
     """``set, bucket, members`` of all buckets that hold several classes."""
     width = 4 * rule.rows
     keys = F.array(*[F.xxhash64(F.lit(b), F.substring("sig", 1 + b * width, width)) for b in range(rule.bands)])
     rows = classes.select("set", F.explode(keys).alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
-    return rows.join(shared, "bucket").select("set", "bucket", "members")
+    return spread_join(rows, shared, "bucket", "set", shared.withColumnRenamed("members", "n")).select("set", "bucket", "members")
 
 
 def hub_pairs(member: DataFrame) -> DataFrame:
     """``a, b``: every member of a bucket (``set, bucket, members``) with the bucket's hub."""
     weight = member.groupBy("set").agg(F.sum("members").alias("weight"))
     weighed = member.join(weight, "set")
-    hubs = weighed.groupBy("bucket").agg(F.max(F.struct("weight", "set")).alias("hub"))
-    return member.join(hubs, "bucket").select(F.col("set").alias("a"), F.col("hub.set").alias("b")).filter("a != b").distinct()
+    hubs = weighed.groupBy("bucket").agg(F.max(F.struct("weight", "set")).alias("hub"), F.count("*").alias("n"))
+    named = spread_join(member, hubs.select("bucket", "hub"), "bucket", "set", hubs.select("bucket", "n"))
+    return named.select(F.col("set").alias("a"), F.col("hub.set").alias("b")).filter("a != b").distinct()
 
 
 def compared(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
@@ -180,7 +202,8 @@ def compared(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept), pa.array(matches[live])], ["a", "b", "matches"])
 
     own = classes.select("set", "n", "sig")
-    sides = pairs.join(own.toDF("a", "n_a", "sig_a"), "a").join(own.toDF("b", "n_b", "sig_b"), "b")
+    sides = spread_join(pairs.select("a", "b"), own.toDF("a", "n_a", "sig_a"), "a", "b")
+    sides = spread_join(sides, own.toDF("b", "n_b", "sig_b"), "b", "a", pairs.groupBy("b").agg(F.count("*").alias("n")))
     near = sides.filter((F.col("n_a") >= t * F.col("n_b") - 1e-6) & (F.col("n_b") >= t * F.col("n_a") - 1e-6))
     return arrow_map(near.select("a", "b", "sig_a", "sig_b"), "a binary, b binary, matches bigint", run)
 
@@ -193,14 +216,19 @@ def verified(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
         for whole in batches:
             for batch in slices([whole], "text_a", 1 << 20):
                 left = shingle_sets(*text_bytes(batch.column(2)), rule.words)
-                right = shingle_sets(*text_bytes(batch.column(3)), rule.words)
+                # rows of one hub stand together: its shingles are made once
+                hub = batch.column(1).dictionary_encode()
+                first = np.unique(hub.indices.to_numpy(), return_index=True)[1]
+                right = shingle_sets(*text_bytes(batch.column(3).take(pa.array(first))), rule.words)
                 good = []
-                for x, y in zip(left, right, strict=True):
+                for x, h in zip(left, hub.indices.to_pylist(), strict=True):
+                    y = right[h]
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     good.append(bool(len(x)) and bottom * both >= top * (len(x) + len(y) - both))
                 yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(good)) for i in (0, 1)], ["a", "b"])
 
-    sides = pairs.select("a", "b").join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+    sides = spread_join(pairs.select("a", "b"), texts.toDF("a", "text_a"), "a", "b")
+    sides = spread_join(sides, texts.toDF("b", "text_b"), "b", "a", pairs.groupBy("b").agg(F.count("*").alias("n")))
     return arrow_map(sides.select("a", "b", "text_a", "text_b"), "a binary, b binary", run)
 
 
@@ -210,7 +238,7 @@ def roots(parents: DataFrame) -> DataFrame:
     state = written(parents.select(F.col("a").alias("set"), F.col("b").alias("label")), "labels")
     while True:
         jump = state.select(F.col("set").alias("label"), F.col("label").alias("far"))
-        after = written(state.select("set", "label").join(jump, "label", "left").select("set", F.coalesce("far", "label").alias("label"), F.col("far").isNotNull().alias("moved")), "labels")
+        after = written(spread_join(state.select("set", "label"), jump, "label", "set", how="left").select("set", F.coalesce("far", "label").alias("label"), F.col("far").isNotNull().alias("moved")), "labels")
         drop_written(state)
         moved = after.agg(F.max("moved").alias("m")).head()["m"]
         state = after
@@ -222,10 +250,10 @@ def roots(parents: DataFrame) -> DataFrame:
 def joined(state: DataFrame, more: DataFrame) -> DataFrame:
     """The labels after further links: components of the labels that those connect."""
     at = lambda side: state.select(F.col("set").alias(side), F.col("label").alias(f"l_{side}"))
-    named = more.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("l_a", "a").alias("a"), F.coalesce("l_b", "b").alias("b"))
+    named = spread_join(spread_join(more, at("a"), "a", "b", how="left"), at("b"), "b", "a", more.groupBy("b").agg(F.count("*").alias("n")), "left").select(F.coalesce("l_a", "a").alias("a"), F.coalesce("l_b", "b").alias("b"))
     merged = components(named.distinct()).select(F.col("set").alias("label"), F.col("label").alias("next"))
     fresh = merged.select(F.col("label").alias("set"), F.col("next").alias("label")).join(state, "set", "left_anti")
-    return state.join(merged, "label", "left").select("set", F.coalesce("next", "label").alias("label")).unionByName(fresh)
+    return spread_join(state.select("set", "label"), merged, "label", "set", how="left").select("set", F.coalesce("next", "label").alias("label")).unionByName(fresh)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -236,10 +264,10 @@ def components(links: DataFrame) -> DataFrame:
     both = links.select("a", "b").unionByName(links.selectExpr("b as a", "a as b"))
     state = written(both.groupBy(F.col("a").alias("set")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "labels")
     while True:
-        near = both.join(state.selectExpr("set as b", "label as near"), "b").groupBy(F.col("a").alias("set")).agg(F.min("near").alias("near"))
+        near = spread_join(both, state.selectExpr("set as b", "label as near"), "b", "a").groupBy(F.col("a").alias("set")).agg(F.min("near").alias("near"))
         lower = state.select("set", "label").join(near, "set", "left").select("set", F.least("label", "near").alias("next"), "label")
         jump = lower.select(F.col("set").alias("next"), F.col("next").alias("far"))
-        after = written(lower.join(jump, "next", "left").select("set", F.least("next", "far").alias("label"), (F.least("next", "far") < F.col("label")).alias("moved")), "labels")
+        after = written(spread_join(lower, jump, "next", "set", how="left").select("set", F.least("next", "far").alias("label"), (F.least("next", "far") < F.col("label")).alias("moved")), "labels")
         drop_written(state)
         moved = after.agg(F.max("moved").alias("m")).head()["m"]
         state = after
@@ -254,8 +282,8 @@ def open_classes(member: DataFrame, state: DataFrame, classes: DataFrame, rule:
     a partner being no smaller than t * n and than the smallest class of the buckets.
     """
     marked = member.select("set", "bucket").join(state, "set", "left").join(classes.select("set", "n"), "set").select("set", "bucket", "n", F.coalesce("label", "set").alias("label"))
-    several = marked.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least")).filter("low != high")
-    rows = marked.join(several.select("bucket", "least"), "bucket").groupBy("set").agg(F.first("label").alias("label"), F.first("n").alias("n"), F.min("least").alias("least"))
+    several = marked.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least"), F.count("*").alias("members")).filter("low != high")
+    rows = spread_join(marked, several.select("bucket", "least"), "bucket", "set", several.select("bucket", F.col("members").alias("n"))).groupBy("set").agg(F.first("label").alias("label"), F.first("n").alias("n"), F.min("least").alias("least"))
     top, bottom = rule.similarity.numerator, rule.similarity.denominator
     partner = F.expr(f"greatest(least, (n * {top} + {bottom - 1}) div {bottom})")
     return rows.select("set", "label", "n", ((F.col("n") + partner) * top / (top + bottom) - F.lit(1e-9)).alias("need")).withColumn("need", F.ceil("need"))
@@ -289,7 +317,7 @@ def rare_prefixes(held: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     of = Window.partitionBy("set")
     # a class's place in the common order counts its own shingles, which come first
     place = F.col("n") - F.count("*").over(of) + F.row_number().over(of.orderBy("holders", "shingle"))
-    ranked = rows.join(holders, "shingle").select("set", "shingle", "n", "need", place.alias("place"))
+    ranked = spread_join(rows, holders, "shingle", "set", holders.withColumnRenamed("holders", "n")).select("set", "shingle", "n", "need", place.alias("place"))
     return ranked.filter("place <= n - need + 1").select("set", "shingle", "n", "place").join(held.select("set", "label"), "set")
 
 
@@ -304,7 +332,7 @@ def last_pairs(first: DataFrame, rule: Rule) -> DataFrame:
     top, bottom = rule.similarity.numerator, rule.similarity.denominator
     overlap = f"((n_a + n_b) * {top} + {top + bottom - 1}) div {top + bottom}"
     fits = f"label_a < label_b and place_a <= n_a - {overlap} + 1 and place_b <= n_b - {overlap} + 1"
-    return left.join(right, "shingle").filter(fits).selectExpr("set_a as a", "set_b as b").distinct()
+    return spread_join(left, right, "shingle", "set_a", least=256).filter(fits).selectExpr("set_a as a", "set_b as b").distinct()
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -314,15 +342,16 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id"
     """
     rows = written(signed(docs, rule, id_col, text_col), "signed")
     usable = rows.filter("id is not null and n > 0")
-    classes = written(usable.groupBy("set").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
+    classes = written(usable.groupBy("set").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.count("*").alias("copies")), "classes")
     member = written(places(classes, rule), "places")
     labels = _labels(docs, member, classes, rule, id_col, text_col)
-    lowest = classes.join(labels, "set").groupBy("label").agg(F.min("least").alias("component"))
-    found = labels.join(lowest, "label").select("set", "component")
+    lowest = classes.join(labels, "set").groupBy("label").agg(F.min("least").alias("component"), F.count("*").alias("n"))
+    found = spread_join(labels, lowest.select("label", "component"), "label", "set", lowest.select("label", "n")).select("set", "component")
     by_set = classes.select("set", "least").join(found, "set", "left").select("set", F.coalesce("component", "least").alias("component"))
-    told = rows.select("id", "n", "set").join(by_set, "set", "left")
-    component = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "id"))
-    return told.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))
+    told = spread_join(usable.select("id", "n", "set"), by_set, "set", "id", classes.select("set", F.col("copies").alias("n")))
+    alone = rows.filter("id is null or n = 0").select("id", "n", F.col("id").alias("component"))
+    out = told.select("id", "n", "component").unionByName(alone)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("component") == F.col("id"), F.lit(False)).alias("kept"))
 
 
 def _labels(docs: DataFrame, member: DataFrame, classes: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
@@ -333,18 +362,19 @@ def _labels(docs: DataFrame, member: DataFrame, classes: DataFrame, rule: Rule,
         made.append(written(df, kind))
         return made[-1]
 
-    first = kept(compared(hub_pairs(member), classes, rule), "compared")
+    first = kept(compared(kept(hub_pairs(member), "pairs"), classes, rule), "compared")
     # the texts of classes that may be verified: one row each, by the class's smallest id
     wanted = kept(classes.join(member.select("set").distinct(), "set", "left_semi").select(F.col("least").alias("id")), "wanted")
     chosen = _texts(docs, id_col, text_col).join(wanted.hint("shuffle_hash"), "id", "left_semi")
     texts = kept(_one_text(chosen, rule), "texts")
-    best = first.groupBy("a").agg(F.max(F.struct("matches", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+    best = kept(first.groupBy("a").agg(F.max(F.struct("matches", "b")).alias("best")).select("a", F.col("best.b").alias("b")), "best")
     links = kept(verified(best, texts, rule), "links")
     state = roots(links)  # a hub lies above its members by (weight, digest)
     held = kept(open_classes(member, state, classes, rule), "open")
     held = kept(held.join(hopeless(held, texts, rule), "set", "left_anti"), "held")
     prefixes = kept(rare_prefixes(held, texts, rule), "prefixes")
-    more = kept(verified(compared(last_pairs(prefixes, rule), classes, rule), texts, rule), "links")
+    near = kept(compared(kept(last_pairs(prefixes, rule), "pairs"), classes, rule), "compared")
+    more = kept(verified(near, texts, rule), "links")
     if more.limit(1).count():
         state = written(joined(state, more), "labels")
     for table in made:  # the labels are a table of their own
