@@ -125,13 +125,13 @@ def text_bytes(column: pa.Array) -> tuple[bytes, np.ndarray]:
     return data, offsets
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that ``column`` has about ``most`` bytes in each, one row at least."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES, rows: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that ``column`` has about ``most`` bytes in each, one row at least and ``rows`` at most."""
     for batch in batches:
         if not batch.num_rows:
             continue
         values = batch.column(batch.schema.get_field_index(column))
-        if values.nbytes <= most:
+        if values.nbytes <= most and (rows is None or batch.num_rows <= rows):
             yield batch
             continue
         lengths = pc.binary_length(values).fill_null(0).to_numpy(zero_copy_only=False)
@@ -140,10 +140,23 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
         while at < batch.num_rows:
             before = int(ends[at - 1]) if at else 0
             to = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+            to = to if rows is None else min(to, at + rows)
             yield batch.slice(at, to - at)
             at = to
 
 
+def fresh_names(taken: list[str], wanted: list[str]) -> list[str]:
+    """Names for new columns that no column of the table has (names differ beyond their case)."""
+    used, out = {t.lower() for t in taken}, []
+    for name in wanted:
+        made, number = name, 2
+        while made.lower() in used:
+            made, number = f"{name}_{number}", number + 1
+        used.add(made.lower())
+        out.append(made)
+    return out
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Positions starts[i], starts[i] + 1, ... (lengths[i] of them) for each i, one after another."""
     total = int(lengths.sum())

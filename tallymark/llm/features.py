@@ -119,3 +119,35 @@ def shape_counts(data: bytes, offsets: np.ndarray, size: int = 2048) -> np.ndarr
             good = gram >= 0
             out += np.bincount(of[good] * size + gram[good] % size, minlength=rows * size).astype(np.float32)
     return out.reshape(rows, size)
+
+
+def word_counts(data: bytes, offsets: np.ndarray, size: int = 4096) -> np.ndarray:
+    """For each row the hashed counts of its words, of its pairs of neighbouring words, and of the 3-
+    and 4-byte parts of its words (with a mark at both ends)."""
+    rows = len(offsets) - 1
+    out = np.zeros(rows * size, np.float32)
+    row, code, distinct = words(data, offsets)
+    if not len(row):
+        return out.reshape(rows, size)
+    known = [b"<" + w + b">" for w in distinct.to_pylist()]
+    own = np.array([zlib.crc32(w) for w in known], np.uint32)
+    both = row[1:] == row[:-1]
+    mixed = (own[code[:-1]][both] * np.uint32(0x9E3779B1)) ^ own[code[1:]][both]
+    cells = [row * size + own[code] % size, row[1:][both] * size + (mixed ^ mixed >> np.uint32(15)) % size]
+    # parts are counted for each distinct word once and then for its occurrences
+    flat = np.frombuffer(b"".join(known), np.uint8).astype(np.uint32)
+    lengths = np.array([len(w) for w in known])
+    begin = np.cumsum(lengths) - lengths
+    for n in (3, 4):
+        count = np.maximum(lengths - n + 1, 0)
+        at = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        part = np.zeros(len(at), np.uint32)
+        for i in range(n):
+            part = (part ^ flat[at + i]) * np.uint32(0x01000193)
+        part = (part ^ part >> np.uint32(13)) % size
+        first, many = (np.cumsum(count) - count)[code], count[code]
+        place = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        cells.append(np.repeat(row, many) * size + part[place])
+    for cell in cells:
+        out += np.bincount(cell, minlength=rows * size).astype(np.float32)
+    return out.reshape(rows, size)

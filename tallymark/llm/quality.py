@@ -5,13 +5,15 @@ directions span the latent space.  The labelled latent vectors are broadcast (th
 sample's bound); every document's cosine products with all of them are computed exactly, block by
 block, and the labels of its nearest neighbours vote with their similarity.
 
-Features are n-grams of a text's shape (letter runs, blanks, signs, repeated words), so a score
-depends on the text alone.
+Two families of counts, each put on one scale, make up a text's vector: its words, pairs of
+neighbouring words and word parts (what it says, and whether its words are words), and n-grams of its
+shape (letter runs, blanks, signs, repeated words).  A score depends on the text alone.
 
 Defined results: null and empty texts, and texts without any feature the sample knows, score the
 sample's share of label 1; without labelled rows every score is 0.5; rows of ``labels`` with null
-id or label are left out and repeated ones average; ties among neighbours go to the sample's
-order (the id's hash, then the id); an empty table gives an empty table; other columns are not read.
+id or label are left out and repeated ones average; cosines count to 9 digits, and ties among
+neighbours go to the sample's order (the id's hash, then the id, then the text's), whatever the block;
+an empty table gives an empty table; other columns are not read, or with ``keep`` passed on.
 """
 
 from __future__ import annotations
@@ -24,10 +26,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, only, slices, text_bytes, type_of
-from .features import shape_counts
+from .common import arrow_map, fresh_names, only, slices, text_bytes, type_of
+from .features import shape_counts, word_counts
 
-FEATURES = 2048
+SHAPE, WORDS = 2048, 4096
+FEATURES = SHAPE + WORDS
+ROWS = 512  # texts whose counts are held at once
+
+
+def text_counts(data: bytes, offsets: np.ndarray) -> np.ndarray:
+    """A row of counts for each text: shapes, then words."""
+    return np.concatenate([shape_counts(data, offsets, SHAPE), word_counts(data, offsets, WORDS)], axis=1)
 
 
 @dataclass
@@ -40,13 +49,14 @@ class Model:
     labels: np.ndarray
     neighbours: int
     sharpness: float
+    cut: int
 
     @property
     def prior(self) -> float:
         return float(self.labels.mean()) if len(self.labels) else 0.5
 
     def latent(self, counts: np.ndarray) -> np.ndarray:
-        return _unit(_weighted(counts, self.weight) @ self.basis)
+        return _unit((_weighted(counts, self.weight, self.cut) @ self.basis).astype(np.float64))
 
     def score(self, counts: np.ndarray, block: int = 512) -> np.ndarray:
         """Similarity-weighted share of label 1 among the nearest neighbours."""
@@ -57,9 +67,12 @@ class Model:
         k = min(self.neighbours, len(self.labels))
         for a in range(0, len(latent), block):
             some = latent[a : a + block]
-            cosine = some @ self.vectors.T
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k] if k < len(self.labels) else np.broadcast_to(np.arange(k), (len(some), k))
-            vote = np.maximum(np.take_along_axis(cosine, near, 1), 0).astype(np.float64) ** self.sharpness
+            cosine = np.round(some @ self.vectors.T, 9)
+            last = np.partition(cosine, len(self.labels) - k, axis=1)[:, -k][:, None]  # the kth highest
+            near, tied = cosine > last, cosine == last
+            near |= tied & (np.cumsum(tied, axis=1) <= k - near.sum(1, keepdims=True))
+            near = np.nonzero(near)[1].reshape(-1, k)
+            vote = np.maximum(np.take_along_axis(cosine, near, 1), 0) ** self.sharpness
             total = vote.sum(1)
             known = (total > 0) & (np.abs(some).sum(1) > 0)
             out[a : a + block][known] = ((vote * self.labels[near]).sum(1)[known] / total[known]).clip(0, 1)
@@ -71,22 +84,36 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 1e-9)
 
 
-def _weighted(counts: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Square roots of relative counts, weighted by rarity, as unit vectors."""
-    total = counts.sum(1, keepdims=True)
-    return _unit(np.sqrt(np.divide(counts, total, out=np.zeros_like(counts), where=total > 0)) * weight)
+def _weighted(counts: np.ndarray, weight: np.ndarray, cut: int) -> np.ndarray:
+    """Square roots of relative counts, weighted by rarity, as unit vectors; features before ``cut``
+    and those from it on each make up half of a vector."""
+    halves = []
+    for some, of in ((counts[:, :cut], weight[:cut]), (counts[:, cut:], weight[cut:])):
+        total = some.sum(1, keepdims=True)
+        halves.append(_unit(np.sqrt(np.divide(some, total, out=np.zeros_like(some), where=total > 0)) * of))
+    return _unit(np.concatenate(halves, axis=1))
+
+
+def _directions(rows: np.ndarray, number: int, rounds: int = 6) -> np.ndarray:
+    """The leading right singular directions, by iterated products with a few more random ones."""
+    number = min(number, rows.shape[1])
+    made = np.random.default_rng(0).normal(size=(rows.shape[1], min(rows.shape[1], number + 16)))
+    for _ in range(rounds):
+        made = np.linalg.qr(rows.T @ (rows @ made.astype(rows.dtype)))[0]
+    _, _, turn = np.linalg.svd((rows @ made.astype(rows.dtype)).astype(np.float64), full_matrices=False)
+    return np.ascontiguousarray((made @ turn.T)[:, :number]).astype(np.float32)
 
 
-def fit_model(counts: np.ndarray, labels: np.ndarray, dimensions: int = 48, neighbours: int = 15, sharpness: float = 8.0) -> Model:
-    """The latent space of a sample's counts, by the eigenvectors of their Gram matrix."""
+def fit_model(counts: np.ndarray, labels: np.ndarray, dimensions: int = 96, neighbours: int = 15, sharpness: float = 8.0, cut: int = SHAPE) -> Model:
+    """The latent space of a sample's counts, spanned by their leading singular directions."""
+    cut = min(cut, counts.shape[1])
     if not len(labels):
-        return Model(np.ones(counts.shape[1], np.float32), np.zeros((counts.shape[1], 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), neighbours, sharpness)
+        return Model(np.ones(counts.shape[1], np.float32), np.zeros((counts.shape[1], 1), np.float32), np.zeros((0, 1)), np.zeros(0), neighbours, sharpness, cut)
     seen = (counts > 0).sum(0)
     weight = np.where(seen > 0, np.log((1 + len(counts)) / (1 + seen)) + 1, 0).astype(np.float32)
-    rows = _weighted(counts, weight)
-    _, vectors = np.linalg.eigh((rows.T @ rows).astype(np.float64))
-    basis = np.ascontiguousarray(vectors[:, ::-1][:, : min(dimensions, counts.shape[1])]).astype(np.float32)
-    return Model(weight, basis, _unit(rows @ basis), labels.astype(np.float64), neighbours, sharpness)
+    rows = _weighted(counts, weight, cut)
+    basis = _directions(rows, dimensions)
+    return Model(weight, basis, _unit((rows @ basis).astype(np.float64)), labels.astype(np.float64), neighbours, sharpness, cut)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -104,37 +131,41 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, sample:
     return texts.join(F.broadcast(chosen), "id")
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample: int = 4096, dimensions: int = 48, neighbours: int = 15, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample: int = 4096, dimensions: int = 96, neighbours: int = 15, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on at most ``sample`` labelled rows (the parameter bounds what reaches the driver)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            counts = shape_counts(*text_bytes(batch.column(1)), FEATURES)
+        for batch in slices(batches, "text", rows=ROWS):
+            counts = text_counts(*text_bytes(batch.column(1)))
             cells = [np.flatnonzero(r) for r in counts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(cells, pa.list_(pa.int32())), pa.array([r[c] for r, c in zip(counts, cells, strict=True)], pa.list_(pa.float32()))], ["id", "label", "at", "n"])
+            at = [c.astype("<u2").tobytes() for c in cells]
+            n = [r[c].astype("<f4").tobytes() for r, c in zip(counts, cells, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(at, pa.binary()), pa.array(n, pa.binary())], ["id", "label", "at", "n"])
 
     rows = labelled_sample(docs, labels, label_col, sample, id_col, text_col).select("id", "text", "label")
-    found = arrow_map(rows, f"id {type_of(rows, 'id')}, label int, at array<int>, n array<float>", count).orderBy(F.xxhash64("id"), "id", "at", "n").limit(sample)
+    found = arrow_map(rows, f"id {type_of(rows, 'id')}, label int, at binary, n binary", count).orderBy(F.xxhash64("id"), "id", "at", "n").limit(sample)
     got = found.toArrow()
     counts = np.zeros((got.num_rows, FEATURES), np.float32)
     for row, at, n in zip(counts, got.column("at").to_pylist(), got.column("n").to_pylist(), strict=True):
-        row[at] = n
+        row[np.frombuffer(at, "<u2")] = np.frombuffer(n, "<f4")
     return fit_model(counts, got.column("label").to_numpy().astype(int), dimensions, neighbours)
 
 
 def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """``id_col, score, predicted`` for every row; with ``keep`` behind all of its columns."""
+    """``id_col, score, predicted`` for every row; with ``keep`` behind all columns of the table, which
+    keep their values (the new ones are ``score_2``, ``predicted_2``, ... where it has such columns)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    extra = [c for c in docs.columns if c not in (id_col, text_col, "score", "predicted")] if keep else []
+    extra = [c for c in docs.columns if c not in (id_col, text_col)] if keep else []
     names = [id_col, text_col, *extra] if keep else [id_col]
+    told = fresh_names(names, ["score", "predicted"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col):
-            score = shared.value.score(shape_counts(*text_bytes(batch.column(1)), FEATURES))
+        for batch in slices(batches, text_col, rows=ROWS):
+            score = shared.value.score(text_counts(*text_bytes(batch.column(1))))
             kept = [batch.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [*names, *told])
 
     source = only(docs, id_col, text_col, *extra)
     source = source.withColumn(text_col, F.col(f"`{text_col}`").cast("string"))
     schema = ", ".join(f"`{n}` {type_of(source, n)}" for n in names)
-    return arrow_map(source, f"{schema}, score double, predicted int", run)
+    return arrow_map(source, f"{schema}, `{told[0]}` double, `{told[1]}` int", run)
