@@ -3,17 +3,19 @@
 Categories are predicted one after another.  Each has a linear model (logistic regression) over
 the presence of selected words and word beginnings, and over the log odds of all earlier
 categories.  While fitting, those are out-of-fold: a row's earlier probabilities come from models
-that have not seen the row, so later models learn from inputs as uncertain as they will be.
+that have not seen the row or a copy of it (folds go by the text's checksum), so later models learn
+from inputs as uncertain as they will be.
 
-The last category is the labelled one; earlier ones are labelled weakly, on the labelled rows, by
-small lists of words that name a kind of abuse.  Beginnings of words let a model recognise
-inflected forms it has not seen.
+The last category is the labelled one.  The earlier ones are kinds of it that the labels do not name
+and that are learnt: the labelled positive rows are clustered by the features that tell them from the
+others, and a row's cluster is its kind.  Beginnings of words let a model recognise inflected forms it
+has not seen.
 
 Defined results: null and empty texts have no features and score by the models' intercepts;
 without labelled rows, or with one class only, a category's probability is the sample's share (0
 without rows); labels with null id or value are left out and repeated ones average; ties in the
-choice of features go to the smaller hash; an empty table gives an empty table; columns other
-than the id and text columns are passed on or not read.
+choice of features go to the smaller hash, ties between kinds to the first; an empty table gives an
+empty table; columns other than the id and text columns are passed on or not read.
 """
 
 from __future__ import annotations
@@ -26,16 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, drop_written, only, slices, text_bytes, type_of, written
+from .common import arrow_map, drop_written, fresh_names, only, slices, text_bytes, type_of, written
 from .features import word_features, words
 from .quality import labelled_sample
 
-#: Words that name a kind of abuse, for the weak labels of the earlier categories (fixed values).
-KINDS = {
-    "belittling": ["idiot", "moron", "stupid", "clown", "fool", "dumb"],
-    "contempt": ["loser", "pathetic", "worthless", "useless", "failure"],
-    "disgust": ["scum", "trash", "disgusting", "filth", "garbage", "vermin"],
-}
+ROWS = 2048  # texts whose features are held at once
 
 
 @dataclass
@@ -108,22 +105,53 @@ class Chain:
         return np.stack(out, 1).astype(np.float64) if out else np.zeros((len(x), 0))
 
 
-def fit_chain(x: np.ndarray, labels: dict[str, np.ndarray], features: np.ndarray, folds: int = 3) -> Chain:
-    """Fit the categories in their order, each on features and out-of-fold odds of earlier ones."""
+def fit_chain(x: np.ndarray, labels: dict[str, np.ndarray], features: np.ndarray, fold: np.ndarray | None = None) -> Chain:
+    """Fit the categories in their order, each on features and out-of-fold odds of earlier ones;
+    ``fold`` has each row's fold (three in turn by default)."""
     odds, models = np.zeros((len(x), 0), np.float32), []
-    fold = np.arange(len(x)) % folds
+    fold = np.arange(len(x)) % 3 if fold is None else fold
     for number, y in enumerate(labels.values()):
         full = np.concatenate([x, odds], 1)
         models.append(fit_linear(full, y))
         if number + 1 < len(labels):
             unseen = np.zeros(len(x), np.float32)
-            for f in range(folds):
-                if (fold == f).any():
-                    unseen[fold == f] = fit_linear(full[fold != f], y[fold != f]).logit(full[fold == f])
+            for f in np.unique(fold):
+                unseen[fold == f] = fit_linear(full[fold != f], y[fold != f]).logit(full[fold == f])
             odds = np.concatenate([odds, np.clip(unseen, -8, 8)[:, None] / 8], 1)
     return Chain(list(labels), models, features)
 
 
+def learnt_kinds(x: np.ndarray, y: np.ndarray, kinds: int, rounds: int = 20) -> np.ndarray:
+    """Each row's kind, -1 for rows of label 0 and rows without any telling feature.
+
+    Rows of label 1 are vectors of the features that are more frequent among them than elsewhere, by
+    the log of that ratio; they are clustered by cosine, from rows far from each other on.
+    """
+    out, rows = np.full(len(y), -1), np.flatnonzero(y > 0.5)
+    if not len(rows) or not kinds:
+        return out
+    often, else_ = x[rows].mean(0), x[y <= 0.5].mean(0) if len(rows) < len(y) else np.zeros(x.shape[1])
+    tells = np.log((often + 1e-3) / (else_ + 1e-3))
+    points = x[rows] * np.where(tells > 1, tells, 0)
+    norm = np.linalg.norm(points, axis=1)
+    rows, points = rows[norm > 0], points[norm > 0] / norm[norm > 0, None]
+    if not len(rows):
+        return out
+    chosen, near = [int(np.argmax(points @ points.mean(0)))], np.full(len(points), -1.0)
+    while len(chosen) < min(kinds, len(points)):
+        near = np.maximum(near, points @ points[chosen[-1]])
+        chosen.append(int(np.argmin(np.round(near, 6))))
+    middle = points[chosen]
+    for _ in range(rounds):
+        own = np.argmax(np.round(points @ middle.T, 6), axis=1)
+        for k in range(len(middle)):
+            if (own == k).any():
+                mean = points[own == k].mean(0)
+                middle[k] = mean / np.linalg.norm(mean)
+    out[rows] = np.argmax(np.round(points @ middle.T, 6), axis=1)
+    return out
+
+
 def presence(data: bytes, offsets: np.ndarray, features: np.ndarray) -> np.ndarray:
     """A row per text: 1 where one of its words has the feature."""
     out = np.zeros((len(offsets) - 1, len(features)), np.float32)
@@ -175,54 +203,47 @@ def _pairs(row: np.ndarray, hashes: np.ndarray, code: np.ndarray) -> np.ndarray:
     return np.stack([keys >> 32, keys & 0xFFFFFFFF], 1)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", kinds: dict[str, list[str]] | None = None, sample: int = 8192, features: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> Chain:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", kinds: int = 4, sample: int = 8192, features: int = 1024, folds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> Chain:
     """Fit on at most ``sample`` labelled rows that are not held out; ``sample`` and ``features``
     bound what reaches the driver (a bit per feature and row)."""
-    kinds = KINDS if kinds is None else kinds
     rows = written(labelled_sample(docs, labels, label_col, sample, id_col, text_col).select("id", "text", "label"), "toxic-sample")
     chosen = select_features(rows, features)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            data, offsets = text_bytes(batch.column(1))
-            x = np.packbits(presence(data, offsets, chosen).astype(bool), axis=1)
-            row, code, distinct = words(data, offsets)
-            known = distinct.to_pylist()
-            named = np.zeros((batch.num_rows, len(kinds)), bool)
-            for k, listed in enumerate(kinds.values()):
-                listed = {w.encode() for w in listed}
-                hit = np.array([w in listed for w in known], bool)
-                if hit.any():
-                    named[row[hit[code]], k] = True
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in named], pa.binary())], ["id", "label", "x", "named"])
-
-    marked = arrow_map(rows, f"id {type_of(rows, 'id')}, label int, x binary, named binary", mark)
-    got = marked.orderBy(F.xxhash64("id"), "id", "x").limit(sample).toArrow()
+        for batch in slices(batches, "text", rows=ROWS):
+            x = np.packbits(presence(*text_bytes(batch.column(1)), chosen).astype(bool), axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([r.tobytes() for r in x], pa.binary()), batch.column(3)], ["id", "label", "x", "fold"])
+
+    folded = rows.select("id", "text", "label", (F.crc32(F.coalesce("text", F.lit("")).cast("binary")) % folds).alias("fold"))
+    marked = arrow_map(folded, f"id {type_of(rows, 'id')}, label int, x binary, fold bigint", mark)
+    got = marked.orderBy(F.xxhash64("id"), "id", "x", "label").limit(sample).toArrow()
     drop_written(rows)
     bits = np.frombuffer(b"".join(got.column("x").to_pylist()), np.uint8).reshape(got.num_rows, -(-len(chosen) // 8))
     x = np.unpackbits(bits, axis=1, count=len(chosen)).astype(np.float32) if len(chosen) else np.zeros((got.num_rows, 0), np.float32)
     y = got.column("label").to_numpy().astype(np.float64)
-    named = np.frombuffer(b"".join(got.column("named").to_pylist()), np.uint8).reshape(got.num_rows, len(kinds))
-    weak = {kind: y * named[:, k] for k, kind in enumerate(kinds)}
-    return fit_chain(x, weak | {label_col: y}, chosen)
+    kind = learnt_kinds(x, y, kinds)
+    learnt = {f"kind_{k + 1}": (kind == k).astype(np.float64) for k in range(kinds)}
+    return fit_chain(x, learnt | {label_col: y}, chosen, got.column("fold").to_numpy())
 
 
 def classify(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """``id_col``, a probability per category, ``score`` (the last one) and ``predicted`` for every
-    row; with ``keep`` only ``score`` and ``predicted``, behind all of the row's columns."""
+    row; with ``keep`` only ``score`` and ``predicted``, behind all columns of the table, which keep their
+    values (the new ones are ``score_2``, ``predicted_2``, ... where it has such columns)."""
     shared = docs.sparkSession.sparkContext.broadcast(chain)
-    extra = [c for c in docs.columns if c not in (id_col, text_col, "score", "predicted")] if keep else []
+    extra = [c for c in docs.columns if c not in (id_col, text_col)] if keep else []
     names = [id_col, text_col, *extra] if keep else [id_col]
     told = [] if keep else [f"p_{c}" for c in chain.categories]
+    last = fresh_names([*names, *told], ["score", "predicted"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, rows=ROWS):
             p = shared.value.probabilities(presence(*text_bytes(batch.column(1)), shared.value.features))
             kept = [batch.column(i) for i in range(len(names))]
             score = p[:, -1]
-            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(np.ascontiguousarray(p[:, i])) for i in range(len(told))), pa.array(np.ascontiguousarray(score)), pa.array((score >= 0.5).astype(np.int32))], [*names, *told, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(np.ascontiguousarray(p[:, i])) for i in range(len(told))), pa.array(np.ascontiguousarray(score)), pa.array((score >= 0.5).astype(np.int32))], [*names, *told, *last])
 
     source = only(docs, id_col, text_col, *extra)
     source = source.withColumn(text_col, F.col(f"`{text_col}`").cast("string"))
     schema = ", ".join([*(f"`{n}` {type_of(source, n)}" for n in names), *(f"`{n}` double" for n in told)])
-    return arrow_map(source, f"{schema}, score double, predicted int", run)
+    return arrow_map(source, f"{schema}, `{last[0]}` double, `{last[1]}` int", run)

@@ -7,6 +7,7 @@ from fractions import Fraction
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tallymark.llm import features, neardup, quality, queries, toxicity
 
 import corpus_pipeline
@@ -70,6 +71,170 @@ def test_classifiers_take_odd_rows(spark, odd):
         assert module.classify(odd, empty).count() == odd.count()
         kept = module.classify(odd.drop("score"), model, keep=True)
         assert kept.columns == ["doc_id", "text", "n", "score", "predicted"]
+        # columns of the same name keep their values, whatever their type and case
+        clash = odd.withColumn("Predicted", F.lit("mine"))
+        kept = module.classify(clash, model, keep=True)
+        assert kept.columns == ["doc_id", "text", "score", "n", "Predicted", "score_2", "predicted_2"]
+        assert {(r["score"], r["Predicted"]) for r in kept.collect()} == {("clash", "mine")}
+        assert all(0 <= r["score_2"] <= 1 for r in kept.collect())
+
+
+def plain_lower(raw):
+    out = bytearray(raw)
+    for i, b in enumerate(raw):
+        if 0x41 <= b <= 0x5A or (i and raw[i - 1] == 0xC3 and 0x80 <= b <= 0x9E and b != 0x97):
+            out[i] += 0x20
+    return bytes(out)
+
+
+def plain_words(raw):
+    return re.findall(rb"[0-9A-Za-z\x80-\xff]+", plain_lower(raw))
+
+
+def plain_counts(raw):
+    """One text's counts, sign by sign and word by word."""
+    out = np.zeros(quality.FEATURES)
+    signs = [c for c in range(0x21, 0x7F) if not chr(c).isalnum()]
+
+    def shape(b):
+        if b in (0x20, 0x09):
+            return 3
+        if b in (0x0A, 0x0D):
+            return 4
+        if b < 0x20 or b == 0x7F:
+            return 5
+        return 2 if 0x30 <= b <= 0x39 else 1 if 0x41 <= b <= 0x5A else 6 + signs.index(b) if b in signs else 0
+
+    begins = [0] + [i + 1 for i, b in enumerate(raw) if shape(b) in (3, 4) and i + 1 < len(raw)] if raw else []
+    parts = [raw[a:b] for a, b in zip(begins, [*begins[1:], len(raw)], strict=True)]
+    again = {begins[i] for i in range(1, len(parts)) if parts[i] == parts[i - 1] and len(parts[i]) > 2}
+    kinds = [features.REPEAT if i in again else shape(b) for i, b in enumerate(raw) if i == 0 or shape(b) != shape(raw[i - 1]) or shape(b) > 4]
+    two = [a * features.SHAPES + b + features.SHAPES for a, b in zip(kinds, kinds[1:])]
+    three = [(a * features.SHAPES + b) * 7919 + 104729 for a, b in zip(two, kinds[2:])]
+    for gram in [*kinds, *two, *three]:
+        out[gram % quality.SHAPE] += 1
+    found = [b"<" + w + b">" for w in plain_words(raw)]
+    cells = [zlib.crc32(w) for w in found]
+    for a, b in zip(found, found[1:]):
+        mixed = (zlib.crc32(a) * 0x9E3779B1 ^ zlib.crc32(b)) % 2**32
+        cells.append(mixed ^ mixed >> 15)
+    for w in found:
+        for n in (3, 4):
+            for i in range(len(w) - n + 1):
+                part = 0
+                for b in w[i : i + n]:
+                    part = (part ^ b) * 0x01000193 % 2**32
+                cells.append(part ^ part >> 13)
+    for cell in cells:
+        out[quality.SHAPE + cell % quality.WORDS] += 1
+    return out
+
+
+def test_op3_equals_plain_votes(spark, small):
+    """Every document's score from plain counts, a plain projection and a plain nearest-neighbour vote."""
+    docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
+    model = quality.fit(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in queries.op3_quality(spark, small).collect()}
+    far = 0
+    for i, text in [r[:2] for r in rows_of(small, "documents")]:
+        counts = plain_counts((text or "").encode())
+        halves = []
+        for some, weight in ((counts[: quality.SHAPE], model.weight[: quality.SHAPE]), (counts[quality.SHAPE :], model.weight[quality.SHAPE :])):
+            v = np.sqrt(some / max(1, some.sum())) * weight
+            halves.append(v / (np.linalg.norm(v) or 1))
+        v = np.concatenate(halves)
+        v = v / (np.linalg.norm(v) or 1) @ model.basis
+        cosine = [float(v @ w) / (np.linalg.norm(v) or 1) for w in model.vectors]
+        near = sorted(range(len(cosine)), key=lambda j: (-round(cosine[j], 9), j))[: model.neighbours]
+        votes = [max(cosine[j], 0) ** model.sharpness for j in near]
+        wanted = sum(a * model.labels[j] for a, j in zip(votes, near, strict=True)) / sum(votes) if sum(votes) else model.prior
+        far += abs(got[i] - wanted) > 1e-3
+    assert far <= 1  # counts are in single precision, so a tie may fall the other way
+
+
+def test_quality_sees_words(spark):
+    """Good and bad texts of the same shape: only their words and word parts differ."""
+    rng = np.random.default_rng(2)
+    syllables = ["ta", "ren", "mo", "lis", "ke", "dor", "vin", "sa", "pel", "uno"]
+    vocabulary = ["".join(rng.choice(syllables, rng.integers(1, 4))) for _ in range(150)]
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    rows, told = [], []
+    for i in range(900):
+        good = i % 2
+        found = [str(rng.choice(vocabulary)) for _ in range(60)]
+        found = found if good else ["".join(rng.choice(letters, len(w))) for w in found]
+        rows.append((i, " ".join(found).capitalize() + "."))
+        told.append((i, good))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(told, "doc_id long, quality int")
+    got = quality.classify(docs, quality.fit(docs, labels)).collect()
+    tested = [r["predicted"] == r["doc_id"] % 2 for r in got if held(r["doc_id"])]
+    assert len(tested) > 200 and sum(tested) >= 0.98 * len(tested)
+
+
+def test_votes_do_not_depend_on_blocks():
+    """Many equal neighbours with mixed labels: the first ones of the sample vote, in blocks of any size."""
+    rng = np.random.default_rng(1)
+    base = rng.poisson(1, (3, 40)).astype(np.float32)
+    counts, labels = base[rng.integers(0, 3, 90)], rng.integers(0, 2, 90)
+    model = quality.fit_model(counts, labels, dimensions=3, neighbours=7, cut=20)
+    fresh = base[rng.integers(0, 3, 50)]
+    assert (model.score(fresh, block=1) == model.score(fresh, block=50)).all()
+    for row, score in zip(fresh, model.score(fresh, block=17), strict=True):
+        same = [i for i in range(90) if (counts[i] == row).all()][:7]
+        assert score == pytest.approx(labels[same].mean())
+
+
+def plain_hashes(word):
+    return {zlib.crc32(word)} | {zlib.crc32(word[:n], 0x9E37) if len(word) > n else zlib.crc32(word) for n in (4, 5, 6, 7, 8)}
+
+
+def test_op10_equals_plain_chain(spark, small):
+    """The features from plain counts, and every score from plain sums along the chain."""
+    docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
+    chain = toxicity.fit(docs, labels)
+    texts = {r[0]: (r[1] or "").encode() for r in rows_of(small, "documents")}
+    toxic = {i: t for i, _, t in rows_of(small, "labels") if i in texts and not held(i)}
+    n, bad = {}, {}
+    for i, t in toxic.items():
+        for h in set().union(*map(plain_hashes, plain_words(texts[i]))):
+            n[h], bad[h] = n.get(h, 0) + 1, bad.get(h, 0) + t
+    rows, share = len(toxic), sum(toxic.values()) / len(toxic)
+    chi = {h: round((bad[h] - c * share) ** 2 / (c * share * (1 - c / (rows + 1))), 6) for h, c in n.items() if c >= 3}
+    least = sorted(chi.values(), reverse=True)[: len(chain.features)][-1]
+    assert len(chain.features) == min(1024, len(chi))
+    assert all(chi[h] >= least - 1e-5 for h in chain.features.tolist())
+    assert {h for h, c in chi.items() if c > least + 1e-5} <= set(chain.features.tolist())
+    place = {h: k for k, h in enumerate(chain.features.tolist())}
+    got = {r["doc_id"]: r for r in queries.op10_toxicity(spark, small).collect()}
+    for i, raw in texts.items():
+        present = sorted({place[h] for w in plain_words(raw) for h in plain_hashes(w) if h in place})
+        odds = []
+        for category, model in zip(chain.categories, chain.models, strict=True):
+            if model.constant is not None:
+                p, logit = model.constant, np.log(max(model.constant, 1e-6) / (1 - max(model.constant, 1e-6)))
+            else:
+                logit = float(model.bias + sum(float(model.weights[k]) for k in present) + sum(float(w) * o for w, o in zip(model.weights[len(place) :], odds, strict=True)))
+                p = 1 / (1 + np.exp(-logit))
+            assert got[i][f"p_{category}"] == pytest.approx(p, abs=1e-4)
+            odds.append(min(max(logit, -8), 8) / 8)
+        assert got[i]["score"] == got[i][f"p_{chain.categories[-1]}"] and got[i]["predicted"] == int(got[i]["score"] >= 0.5)
+
+
+def test_kinds_are_learnt():
+    """Positive rows of two vocabularies become two kinds, rows without a telling feature none; copies share a fold."""
+    rng = np.random.default_rng(4)
+    x = (rng.random((400, 30)) < 0.2).astype(np.float32)
+    x[:, :6] = 0
+    y = np.zeros(400)
+    y[:110] = 1
+    for i in range(50):
+        x[i, rng.integers(0, 3)] = 1
+        x[50 + i, 3 + rng.integers(0, 3)] = 1
+    x[:50, 0], x[50:100, 3] = 1, 1
+    kind = toxicity.learnt_kinds(x, y, 2)
+    assert len(set(kind[:50])) == 1 and len(set(kind[50:100])) == 1 and kind[0] != kind[50]
+    assert (kind[110:] == -1).all() and (toxicity.learnt_kinds(x, np.zeros(400), 2) == -1).all()
+    assert (toxicity.learnt_kinds(x[:, :0], y, 2) == -1).all()
 
 
 def test_op10_held_out(spark, small):
