@@ -168,8 +168,9 @@ def presence(data: bytes, offsets: np.ndarray, features: np.ndarray) -> np.ndarr
     return out
 
 
-def select_features(rows: DataFrame, most: int) -> np.ndarray:
-    """The ``most`` features that tell label 1 apart best (chi-square), of ``id, text, label``."""
+def select_features(rows: DataFrame, most: int, least: float = 6.63) -> np.ndarray:
+    """The ``most`` features that tell label 1 apart best (chi-square), of ``id, text, label``; none
+    below ``least``, which a feature without any bearing on the label reaches once in a hundred times."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -193,7 +194,7 @@ def select_features(rows: DataFrame, most: int) -> np.ndarray:
         return np.zeros(0, np.int64)
     expected = F.col("n") * toxic / n
     chi = (F.col("toxic") - expected) ** 2 / (expected * (1 - F.col("n") / (n + 1)))
-    best = counted.filter("n >= 3").withColumn("chi", F.round(chi, 6)).orderBy(F.desc("chi"), "feature").limit(most)
+    best = counted.filter("n >= 3").withColumn("chi", F.round(chi, 6)).filter(F.col("chi") >= least).orderBy(F.desc("chi"), "feature").limit(most)
     return np.sort(np.array([r["feature"] for r in best.select("feature").collect()], np.int64))
 
 

@@ -8,7 +8,8 @@ import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from tallymark.llm import features, neardup, quality, queries, toxicity
+from tallymark.llm import features, neardup, packing, quality, queries, toxicity
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 
@@ -200,6 +201,7 @@ def test_op10_equals_plain_chain(spark, small):
             n[h], bad[h] = n.get(h, 0) + 1, bad.get(h, 0) + t
     rows, share = len(toxic), sum(toxic.values()) / len(toxic)
     chi = {h: round((bad[h] - c * share) ** 2 / (c * share * (1 - c / (rows + 1))), 6) for h, c in n.items() if c >= 3}
+    chi = {h: c for h, c in chi.items() if c >= 6.63}
     least = sorted(chi.values(), reverse=True)[: len(chain.features)][-1]
     assert len(chain.features) == min(1024, len(chi))
     assert all(chi[h] >= least - 1e-5 for h in chain.features.tolist())
@@ -350,6 +352,51 @@ def test_pipeline(spark, small):
     assert sorted(kept[2]) == sorted(wanted)
     clean = [i for i, (q, t) in labels.items() if q == 1 and t == 0 and not held(i)]
     assert sum(i in set(kept[1]) for i in clean) >= 0.95 * len(clean)
-    packed = corpus_pipeline.STAGES[3][1](spark, now, small)
+    packed = corpus_pipeline.written(corpus_pipeline.STAGES[3][1](spark, now, small), "test")
     assert {r[0] for r in packed.select("doc_id").distinct().collect()} == set(kept[2])
-    assert packed.groupBy("sequence_id").agg({"length": "sum"}).filter("`sum(length)` > 1024").count() == 0
+    # the product: whole sequences of ids, in which every document's ids stand
+    sequences = {r["sequence_id"]: np.frombuffer(r["ids"], "<u4") for r in packing.packed_sequences(packed).collect()}
+    assert max(map(len, sequences.values())) <= 1024
+    library, told = Tokenizer.from_file(queries.vocab_path()), {}
+    for r in sorted(packed.collect(), key=lambda r: (r["doc_id"], r["piece"])):
+        told.setdefault(r["doc_id"], []).extend(sequences[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]].tolist())
+    assert told == {i: [*library.encode(texts[i] or "", add_special_tokens=False).ids, 2] for i in kept[2]}
+
+
+def test_pipeline_takes_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows and ids, clashing names, an empty table."""
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 5))
+    good = [" ".join(word() for _ in range(60)) + "." for _ in range(40)]
+    rows = [(i, t, "en", "mine", None, 1.5) for i, t in enumerate(good)]
+    rows += [(100 + i, "IDIOT " * 3 + t, None, "mine", "x", None) for i, t in enumerate(good)]
+    rows += [(200 + i, "### " * 60, "en", None, "x", 0.5) for i in range(30)]
+    labels = [(i, 1, 0) for i in range(40)] + [(100 + i, 1, 1) for i in range(40)] + [(200 + i, 0, 0) for i in range(30)] + [(None, 1, 1), (3, None, None)]
+    long = " ".join(word() for _ in range(30_000))
+    odd = [(300, None), (301, ""), (302, " \n"), (None, good[0]), (None, good[1] + " z"), (None, None), (303, long), (304, long), (305, good[2]), (305, good[3]), (306, "one new text " + good[4][:40]), (306, "another new text " + good[5][:40])]
+    rows += [(i, t, "en", "mine", "x", 2.0) for i, t in odd] + [(306, "one new text " + good[4][:40], "en", "also", "x", 2.0)] * 3
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string, `Predicted` string, kept double").repartition(3)
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        before = {tuple(r) for r in now.collect()}
+        now = corpus_pipeline.written(stage(spark, now, str(tmp_path)), "test")
+        assert now.columns == docs.columns and [f.dataType for f in now.schema] == [f.dataType for f in docs.schema]
+        found = [tuple(r) for r in now.collect()]
+        assert set(found) <= before
+        ids = {r[0] for r in found}
+        if name == "toxicity":
+            assert not any(100 <= i < 140 for i in ids if i is not None) and len(found) == len(rows) - 40
+        elif name == "quality":
+            assert not any(200 <= i < 230 for i in ids if i is not None) and set(range(40)) <= ids
+    by = [(r[0], r[1]) for r in found]
+    texts = sorted((i, t) for i, t in by if i is not None and i >= 300)
+    new = [t for t in ("one new text " + good[4][:40], "another new text " + good[5][:40])]
+    assert texts == sorted([(i, t) for i, t in odd[:3] if (i, t) in texts] + [(303, long)] + [(306, t) for t in new]), [t for _, t in texts]
+    assert [r[3] for r in found if r[1] == new[0]] == ["also"]  # of rows equal in id and text, the first as JSON
+    assert (None, good[0]) not in by and (0, good[0]) in by and (1, good[1]) in by and (None, good[1] + " z") not in by
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0
+    packed = corpus_pipeline.pack(spark, docs, str(tmp_path)).collect()
+    assert sum(r["piece"] == 0 for r in packed) == len(rows)
