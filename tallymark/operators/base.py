@@ -3,16 +3,25 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame
 
 
 class Result:
-    """An operator with its lazy result in ``table``."""
+    """An operator with its lazy result in ``table``.
+
+    Ranks over whole tables need their input counted first; such operators have ``_make``, which is
+    called when ``table`` is first asked for.
+    """
 
-    table: DataFrame
     index: list[str] = []
+    _make: Callable[[], DataFrame]
+
+    @functools.cached_property
+    def table(self) -> DataFrame:
+        return self._make()
 
     @functools.cached_property
     def df(self) -> Any:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import aggregate
@@ -16,6 +16,19 @@ from .base import Result
 PERIODS = ("year", "quarter", "month", "week", "day")
 
 
+def _by_customer(rows: DataFrame, agg_func: str, own: bool) -> tuple[DataFrame, Column]:
+    """Rows ``c, p, v`` put together by customer and period as far as the aggregate allows, so that even a
+    customer with a large share of all rows has few, and the aggregate over what is left."""
+    whole = aggregate(agg_func, "v")
+    if agg_func in ("sum", "min", "max"):
+        return rows.groupBy("c", "p").agg(whole.alias("v")), whole
+    if agg_func == "count":
+        return rows.groupBy("c", "p").agg(whole.alias("v")), F.sum("v")
+    if agg_func == "nunique":  # a customer is in one cohort, so customers need no second look for copies
+        return rows.distinct(), F.count("v") if own else whole
+    return rows, whole
+
+
 class CohortAnalysis(Result):
     """``table`` is long: ``min_period_shopped, period_since, period_value``, with zeros for every
     cohort and distance that nothing falls into; ``wide()`` and ``df`` have a column per distance.
@@ -31,9 +44,10 @@ class CohortAnalysis(Result):
             raise ValueError(f"period must be one of {PERIODS}, not {period}")
         validate_columns(df, [customer, date, aggregation_column])
         rows = df.select(F.col(customer).alias("c"), F.date_trunc(period, F.col(date)).cast("date").alias("p"), F.col(f"`{aggregation_column}`").alias("v")).filter("c is not null and p is not null")
-        first = rows.groupBy("c").agg(F.min("p").alias("min_period_shopped"))
         since = F.expr(f"cast(timestampdiff({period}, cast(min_period_shopped as timestamp), cast(p as timestamp)) as int)")
-        cells = rows.join(first, "c").groupBy("min_period_shopped", "p").agg(aggregate(agg_func, "v").alias("value")).select("min_period_shopped", since.alias("period_since"), "value")
+        small, value = _by_customer(rows, agg_func, aggregation_column == customer)
+        placed = small.withColumn("min_period_shopped", F.min("p").over(Window.partitionBy("c")))
+        cells = placed.groupBy("min_period_shopped", "p").agg(value.alias("value")).select("min_period_shopped", since.alias("period_since"), "value")
         span = cells.agg(F.min("min_period_shopped").alias("a"), F.max("min_period_shopped").alias("b"), F.max("period_since").alias("m")).filter("a is not null")
         step = {"year": "interval 1 year", "quarter": "interval 3 months", "month": "interval 1 month", "week": "interval 7 days", "day": "interval 1 day"}[period]
         grid = span.select(F.explode(F.expr(f"sequence(a, b, {step})")).alias("min_period_shopped"), "m").select("min_period_shopped", F.explode(F.sequence(F.lit(0), F.col("m"))).alias("period_since"))

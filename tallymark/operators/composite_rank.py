@@ -18,7 +18,7 @@ class CompositeRank(Result):
     """Rank rows by each column, then combine the ranks (mean, sum, min or max).
 
     ``rank_cols`` holds names or (name, order) pairs; ranks start at 1, within ``group_col`` if
-    given.  With ``ignore_ties`` equal values get different ranks, in the order of all columns.
+    given; values order by their own type, nulls last and NaN as the largest number.  With ``ignore_ties`` equal values get different ranks, in the order of all columns.
     """
 
     def __init__(self, df: Any, rank_cols: list[Any], agg_func: str, ignore_ties: bool = False, group_col: str | list[str] | None = None) -> None:
@@ -47,12 +47,11 @@ class CompositeRank(Result):
                 df = df.withColumn(out, (F.row_number() if ignore_ties else F.rank()).over(window).cast("long"))
             else:
                 orders.append(Order(own, out, falls, rest if ignore_ties else None, shared=not ignore_ties))
-        if orders:
-            df = positions(df, orders, "__n").drop("__n")
-        ranks = [F.col(f"{name}_rank") for name, _ in named]
+        ranks = [F.col(f"`{name}_rank`") for name, _ in named]
         total = ranks[0]
         for rank in ranks[1:]:
             total = total + rank
         extremes = {"min": F.least, "max": F.greatest}
         combined = total / len(ranks) if func == "mean" else total if func == "sum" else extremes[func](*ranks) if len(ranks) > 1 else ranks[0]
-        self.table = df.select(*columns, *[f"{name}_rank" for name, _ in named], combined.alias("composite_rank"))
+        shown = [*[F.col(f"`{c}`") for c in columns], *[F.col(f"`{name}_rank`") for name, _ in named], combined.alias("composite_rank")]
+        self._make = lambda: (positions(df, orders, "__n") if orders else df).select(*shown)

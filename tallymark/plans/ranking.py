@@ -1,38 +1,32 @@
 """Ranks over a whole table without sending it to one task.
 
 An ordered window without partition columns moves every row to a single task.  Here rows are dealt
-into ranges of the order key instead: the bounds come from a small sample that is chosen by hash
-(so every evaluation of the plan sees the same bounds), each range is ranked by itself, and a range
-begins where the sizes of the ranges before it end.  Bounds and sizes are a few rows, broadcast.
+into ranges of the order key instead: the bounds come from a sample of fixed size that is chosen by
+hash (so every evaluation of the plan sees the same bounds), each range is ranked by itself, and a range
+begins where the sizes of the ranges before it end.  The number of ranges follows the number of rows.
+Keys keep their own type, so dates, strings, decimals and long numbers order as they are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 64
-SAMPLE = 256
+from ..storage import written
 
-
-def _key(value: Column, descending: bool, tie: Column | None) -> Column:
-    """Sorts as the value, nulls last, then as the tie."""
-    ordered = -value if descending else value
-    parts = [value.isNull().alias("missing"), F.coalesce(ordered.cast("double"), F.lit(0.0)).alias("value")]
-    return F.struct(*parts, *([tie.isNull().alias("none"), tie.alias("tie")] if tie is not None else []))
-
-
-def _up_to(key: Column) -> Callable[[Column], Column]:
-    return lambda bound: bound <= key
+ROWS = 1 << 16  # rows of a range, on average
+RANGES = 1024  # ranges at most
+SAMPLE = 16 * RANGES  # rows that the bounds of ranges are taken from
 
 
 @dataclass(frozen=True)
 class Order:
-    """One order of a table: by value, then by tie.  With ``shared`` equal values share the first of
-    their places (a rank), for which all of them must lie in one range, cut by the value alone."""
+    """One order of a table: by value, nulls last (NaN is the largest number), then by tie, rising.
+
+    With ``shared`` equal values share the first of their places (a rank), for which all of them must lie
+    in one range, cut by the value alone."""
 
     value: Column
     out: str
@@ -40,36 +34,72 @@ class Order:
     tie: Column | None = None
     shared: bool = False
 
+    def _first(self, a: Column, b: Column) -> Column:
+        """-1, 0 or 1 as one key (``value``, ``tie``) comes before, with or behind another."""
+        one, two = a["value"], b["value"]
+        up, down = (1, -1) if self.descending else (-1, 1)
+        by_value = F.when(one.eqNullSafe(two), 0).when(two.isNull(), -1).when(one.isNull(), 1).when(one < two, up).otherwise(down)
+        if self.tie is None or self.shared:
+            return by_value
+        by_tie = F.when(a["tie"].eqNullSafe(b["tie"]), 0).when(b["tie"].isNull(), -1).when(a["tie"].isNull(), 1).when(a["tie"] < b["tie"], -1).otherwise(1)
+        return F.when(by_value != 0, by_value).otherwise(by_tie)
 
-def positions(data: DataFrame, orders: list[Order], count: str = "n", ranges: int = RANGES) -> DataFrame:
-    """Add each row's 1-based place in every order, and the number of rows.
+    def _sorted(self, key: str) -> list[Column]:
+        value, tie = F.col(f"{key}.value"), F.col(f"{key}.tie")
+        out = [value.desc_nulls_last() if self.descending else value.asc_nulls_last()]
+        return out if self.tie is None or self.shared else [*out, tie.asc_nulls_last()]
 
-    All orders share one sample, one count of the ranges and one broadcast row of both.
-    """
-    rows = data
-    for i, o in enumerate(orders):
-        rows = rows.withColumns({f"__key{i}": _key(o.value, o.descending, None if o.shared else o.tie), f"__tie{i}": o.tie if o.tie is not None else F.lit(0)})
-    chosen = [F.array_sort(F.collect_list(F.when(F.pmod(F.xxhash64(f"__key{i}", f"__tie{i}"), F.lit(SAMPLE)) == 0, F.col(f"__key{i}")))).alias(f"s{i}") for i in range(len(orders))]
 
-    def cuts(name: str) -> Column:
-        at = F.transform(F.sequence(F.lit(1), F.lit(ranges - 1)), lambda i: F.get(name, (i * F.size(name) / ranges).cast("int")))
-        return F.array_distinct(F.filter(at, lambda b: b.isNotNull()))
+def _range_of(order: Order, key: Column, name: str, step: int) -> Column:
+    """How many bounds (``name``, sorted) the key has reached, looked up among every ``step``-th first."""
 
-    bounds = rows.agg(*chosen).select([cuts(f"s{i}").alias(f"__b{i}") for i in range(len(orders))])
+    def reached(bounds: Column) -> Column:
+        return F.size(F.filter(bounds, lambda b: order._first(b, key) <= 0))
+
+    if step == 1:
+        return reached(F.col(name))
+    begin = step * reached(F.transform(F.sequence(F.lit(step - 1), F.size(name) - 1, F.lit(step)), lambda i: F.get(name, i)))
+    return begin + reached(F.slice(name, begin + 1, F.lit(step)))
+
+
+def positions(data: DataFrame, orders: list[Order], count: str = "n", ranges: int | None = None) -> DataFrame:
+    """Add each row's 1-based place in every order, and the number of rows.
+
+    The input is computed once: it is written to the shared folder with its keys, and counted, before
+    the plan of the result reads it.  All orders share one sample and one count of the ranges.
+    """
+    columns = data.columns
+    keys = {f"__key{i}": F.struct(o.value.alias("value"), (o.tie if o.tie is not None else F.lit(0)).alias("tie")) for i, o in enumerate(orders)}
+    rows = written(data.withColumns(keys), "ranks")
+    n = rows.count()
+    parts = ranges or min(RANGES, max(1, -(-n // ROWS)))
+    shown = [F.col(f"`{c}`") for c in columns]
+    if parts == 1:
+        out = rows.withColumns({o.out: (F.rank() if o.shared else F.row_number()).over(Window.partitionBy(F.lit(0)).orderBy(*o._sorted(f"__key{i}"))).cast("long") for i, o in enumerate(orders)})
+        return out.select(*shown, F.lit(n).cast("long").alias(count), *[o.out for o in orders])
+    chosen = rows.select(*keys).orderBy(F.xxhash64(*keys)).limit(min(SAMPLE, 64 * parts))
+    sampled = chosen.agg(*[F.collect_list(k).alias(k) for k in keys])
+
+    def cuts(order: Order, key: str) -> Column:
+        listed = F.array_sort(key, order._first)
+        return F.transform(F.sequence(F.lit(1), F.lit(parts - 1)), lambda i: F.get(listed, (i * F.size(listed) / parts).cast("int")))
+
+    bounds = sampled.select([cuts(o, k).alias(f"__b{i}") for i, (o, k) in enumerate(zip(orders, keys, strict=True))])
     dealt = rows.crossJoin(F.broadcast(bounds))
+    step = max(1, int((parts - 1) ** 0.5))
     # a range's code holds the order's number, so one count serves all orders
-    dealt = dealt.withColumns({f"__r{i}": F.size(F.filter(f"__b{i}", _up_to(F.col(f"__key{i}")))) + i * (ranges + 1) for i in range(len(orders))})
+    dealt = dealt.withColumns({f"__r{i}": _range_of(o, F.col(f"__key{i}"), f"__b{i}", step) + i * (parts + 1) for i, o in enumerate(orders)})
     dealt = dealt.drop(*[f"__b{i}" for i in range(len(orders))])
     sizes = dealt.select(F.explode(F.array(*[F.col(f"__r{i}") for i in range(len(orders))])).alias("r")).groupBy("r").agg(F.count("*").alias("size"))
-    per_order = Window.partitionBy(F.floor(F.col("r") / (ranges + 1)))
-    begun = sizes.select("r", (F.sum("size").over(per_order.orderBy("r")) - F.col("size")).alias("start"), F.sum("size").over(per_order).alias("all"))
-    known = begun.agg(F.map_from_entries(F.collect_list(F.struct("r", "start"))).alias("__starts"), F.first("all").alias(count))
+    per_order = Window.partitionBy(F.floor(F.col("r") / (parts + 1))).orderBy("r")
+    begun = sizes.select("r", (F.sum("size").over(per_order) - F.col("size")).alias("start"))
+    known = begun.agg(F.map_from_entries(F.collect_list(F.struct("r", "start"))).alias("__starts"))  # a row per range and order
     out = dealt.crossJoin(F.broadcast(known))
     for i, o in enumerate(orders):
-        window = Window.partitionBy(f"__r{i}").orderBy(*([f"__key{i}"] if o.shared else [f"__key{i}", f"__tie{i}"]))
+        window = Window.partitionBy(f"__r{i}").orderBy(*o._sorted(f"__key{i}"))
         place = F.rank() if o.shared else F.row_number()
-        out = out.withColumn(o.out, F.element_at("__starts", F.col(f"__r{i}")) + place.over(window))
-    return out.drop("__starts", *[f"__{x}{i}" for i in range(len(orders)) for x in ("key", "tie", "r")])
+        out = out.withColumn(o.out, (F.element_at("__starts", F.col(f"__r{i}")) + place.over(window)).cast("long"))
+    return out.select(*shown, F.lit(n).cast("long").alias(count), *[o.out for o in orders])
 
 
 def percent_rank_of(position: Column, count: Column) -> Column:

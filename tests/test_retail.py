@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tallymark import operators as ops
 from tallymark.functions import haversine_distance, human_number, ratio_metric
 from tallymark.options import option_context
+from tallymark.plans import ranking
 from tallymark.plans.grouping import cube, plan, rollup
 
 
@@ -101,8 +102,10 @@ class TestSegmentation:
             with pytest.raises(ValueError):
                 ops.ThresholdSegmentation(ties, **wrong)
 
-    def test_ranges_equal_one_window(self, spark):
-        """Enough rows for many ranges, with a value that a third of them share."""
+    @pytest.mark.parametrize("rows_of_range", [300, 2_500, 1 << 16])
+    def test_ranges_equal_one_window(self, spark, monkeypatch, rows_of_range):
+        """Enough rows for many ranges, a few, or one, with a value that a third of them share."""
+        monkeypatch.setattr(ranking, "ROWS", rows_of_range)
         rows = spark.range(20_000).select(F.col("id").alias("customer_id"), F.when(F.col("id") % 3 == 0, 0.0).when(F.col("id") % 101 == 0, None).otherwise(F.pmod(F.hash("id"), F.lit(500)).cast("double")).alias("unit_spend"))
         got = ops.ThresholdSegmentation(rows, [0.2, 0.7, 1], ["a", "b", "c"], zero_value_customers="include_with_light").table
         rows.groupBy("customer_id").agg(F.sum("unit_spend").alias("v")).createOrReplaceTempView("v")
@@ -113,6 +116,28 @@ class TestSegmentation:
         plain = spark.sql("select customer_id, rank() over (order by unit_spend desc nulls last) r from w")
         assert ranked.join(plain, "customer_id").filter("unit_spend_rank != r").count() == 0
 
+    @pytest.mark.parametrize("rows_of_range", [50, 1 << 16])
+    def test_ranks_of_any_type(self, spark, monkeypatch, rows_of_range):
+        """Dates, strings, decimals, numbers beyond 2**53 and NaN, with and without groups: one window's ranks."""
+        monkeypatch.setattr(ranking, "ROWS", rows_of_range)
+        values_of = {
+            "d": "date_add(date '2024-01-01', cast(id % 90 as int))", "s": "concat('k', cast(id * 7919 % 211 as string))", "n": "cast(id % 37 as decimal(30, 2)) / 7",
+            "l": "9007199254740992 + id % 50", "x": "case when id % 17 = 0 then double('NaN') when id % 19 = 0 then null else cast(id % 23 as double) end",
+        }
+        rows = spark.range(700).selectExpr("id", "id % 3 as g", *[f"{e} as {c}" for c, e in values_of.items()])
+        rows.createOrReplaceTempView("typed")
+        for order in ("asc", "desc"):
+            for groups, over in ((None, ""), ("g", "partition by g")):
+                got = ops.CompositeRank(rows, [(c, order) for c in values_of], "max", group_col=groups).table
+                ranks = ", ".join(f"rank() over ({over} order by {c} {order} nulls last) r_{c}" for c in values_of)
+                plain = spark.sql(f"select id, {ranks} from typed")
+                both = got.drop("g").join(plain, "id")
+                assert both.count() == 700 and both.filter(" or ".join(f"{c}_rank != r_{c}" for c in values_of)).count() == 0
+                assert both.filter(f"composite_rank != greatest({', '.join('r_' + c for c in values_of)})").count() == 0
+        alone = ops.CompositeRank(rows, [("l", "desc"), "s"], "sum", ignore_ties=True).table
+        assert alone.select("l_rank").distinct().count() == alone.select("s_rank").distinct().count() == 700
+        assert alone.alias("a").join(alone.alias("b"), F.expr("a.l > b.l and a.l_rank > b.l_rank or a.s < b.s and a.s_rank > b.s_rank")).count() == 0
+
     def test_rfm(self, spark):
         days = {1: "2025-03-01", 2: "2025-02-15", 3: "2025-01-30", 4: "2025-03-10", 5: "2025-02-20"}
         spend = {1: 200.0, 2: 400.0, 3: 250.0, 4: 600.0, 5: 450.0}
@@ -122,6 +147,9 @@ class TestSegmentation:
         assert values(ops.RFMSegmentation(rows, "2025-03-17", min_monetary=400).table, "customer_id") == [(2,), (4,), (5,)]
         cut = ops.RFMSegmentation(rows, datetime.date(2025, 3, 17), [0.5], [0.25, 0.75], [0.5]).table
         assert values(cut, "customer_id", "r_score", "f_score") == [(1, 1, 0), (2, 0, 0), (3, 0, 1), (4, 1, 1), (5, 0, 2)]
+        # cut points at both ends: every rank but the lowest is above 0, none above 1
+        cut = ops.RFMSegmentation(rows, datetime.date(2025, 3, 17), [0], [0, 0.5, 1], [1]).table
+        assert values(cut, "customer_id", "r_score", "f_score", "m_score") == [(1, 1, 0, 0), (2, 1, 1, 0), (3, 0, 1, 0), (4, 1, 2, 0), (5, 1, 2, 0)]
         for wrong, error in (({"r_segments": 11}, ValueError), ({"m_segments": [0.5, 0.5]}, ValueError), ({"f_segments": "x"}, TypeError), ({"min_frequency": 0}, ValueError), ({"min_monetary": "a"}, TypeError), ({"min_monetary": 5, "max_monetary": 5}, ValueError), ({"current_date": 5}, TypeError)):
             with pytest.raises(error):
                 ops.RFMSegmentation(rows, **{"current_date": "2025-03-17"} | wrong)
