@@ -2,24 +2,33 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 SHARES = 2048  # keys with more than this part of all rows are joined in parts
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, salt: str, sizes: DataFrame | None = None, how: str = "inner", least: int = 1) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, key: str, salt: str, sizes: DataFrame | None = None, how: str = "inner", least: int = 1, total: int | None = None) -> DataFrame:
     """``left`` joined to ``right`` by ``key``, where any share of left's rows may name one key.
 
-    Keys with more than 1/SHARES of the rows (fewer than SHARES keys, broadcast) are cut into parts by
-    the hash of ``salt``; right's rows of such a key are copied to its parts, SHARES copies more in all for
-    a side of one row per key.  ``sizes`` (``key, n``) are left's rows per key, if they are known; keys
-    of ``least`` rows or fewer are never cut.
+    A job finds the keys with more than 1/SHARES of the rows, which are fewer than SHARES.  If there are
+    any, they are cut into parts by the hash of ``salt`` and right's rows of such a key are copied to its
+    parts (SHARES copies more in all for a side of one row per key).  ``sizes`` (``key, n``) are left's rows
+    per key, and ``total`` their number, if they are known (left is then not computed for that); keys of
+    ``least`` rows or fewer are never cut.
     """
     sizes = (left.groupBy(key).agg(F.count("*").alias("n")) if sizes is None else sizes).filter(F.col(key).isNotNull())
-    share = sizes.agg(F.greatest(F.ceil(F.sum("n") / SHARES), F.lit(least)).alias("share"))
-    hot = F.broadcast(sizes.crossJoin(F.broadcast(share)).filter("n > share").select(key, F.ceil(F.col("n") / F.col("share")).alias("__shares")))
-    shares = F.coalesce("__shares", F.lit(1))
-    cut = left.join(hot, key, "left").withColumn("__part", F.pmod(F.xxhash64(salt), shares)).drop("__shares")
-    copied = right.join(hot, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1))).drop("__shares")
+    total = (sizes.agg(F.sum("n")).head()[0] or 0) if total is None else total
+    share = max(least, -(-total // SHARES))
+    hot = sizes.filter(F.col("n") > share).select(key, F.ceil(F.col("n") / share).alias("n")).collect()
+    if not hot:
+        return left.join(right, key, how)
+    kind = to_arrow_type(left.schema[key].dataType)
+    listed = pa.table({key: pa.array([r[0] for r in hot], kind), "__shares": pa.array([r[1] for r in hot], pa.int64())})
+    parts = F.broadcast(left.sparkSession.createDataFrame(listed))
+    shares = F.coalesce("__shares", F.lit(1).cast("long"))
+    cut = left.join(parts, key, "left").withColumn("__part", F.pmod(F.xxhash64(salt), shares)).drop("__shares")
+    copied = right.join(parts, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1))).drop("__shares")
     return cut.join(copied, [key, "__part"], how).drop("__part")
