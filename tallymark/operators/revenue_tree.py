@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import aggregate, safe_div
 from ..options import column
+from ..plans.grouping import Distinct, aggregate_sets
 from ..plugin import plugins
 from ..sources import as_table, validate_columns
 from .base import Result, listed
@@ -88,8 +89,12 @@ class RevenueTree(Result):
         self.has_units = units in df.columns
         rows = df.filter(F.col(period_col).isin(p1_value, p2_value))
         totals = [(SPEND, spend, "sum"), (PEOPLE, customer, "nunique"), (TRIPS, trip, "nunique")] + ([(UNITS, units, "sum")] if self.has_units else [])
-        cells = [aggregate(f, c, F.col(period_col) == F.lit(p)).alias(_name(m, e)) for m, c, f in totals for p, e in ((p1_value, "period_1"), (p2_value, "period_2"))]
-        both = rows.groupBy(*groups).agg(*cells) if groups else rows.agg(*cells)
+        cells: dict[str, Column | Distinct] = {}
+        for m, c, f in totals:
+            for p, e in ((p1_value, "period_1"), (p2_value, "period_2")):
+                where = F.col(period_col) == F.lit(p)
+                cells[_name(m, e)] = Distinct(c, where) if f == "nunique" else aggregate(f, c, where)
+        both = aggregate_sets(rows, groups, [tuple(groups)], cells, {})
         self.table, self.index = tree_kpis(both, groups, self.has_units), groups
 
     def nodes(self, row: dict[str, Any] | None = None) -> dict[str, dict[str, Any]]:

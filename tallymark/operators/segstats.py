@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 
 from ..functions import aggregate, safe_div
 from ..options import column
-from ..plans.grouping import aggregate_sets, plan
+from ..plans.grouping import Distinct, aggregate_sets, plan
 from ..sources import as_table, validate_columns
 from .base import Result, listed
 
 
+def _measure(function: str, source: str, where: Column | None = None) -> Column | Distinct:
+    return Distinct(source, where) if function == "nunique" else aggregate(function, source, where)
+
+
 class SegTransactionStats(Result):
     """Spend, transactions, units and customers of segments, and their ratios.
 
@@ -56,28 +60,28 @@ class SegTransactionStats(Result):
         grouped = aggregate_sets(data, segments, sets, aggregates, dict(zip(segments, values, strict=True)))
         self.segments, self.table = segments, self._ratios(grouped)
 
-    def _aggregates(self, data: DataFrame, unknown: Any) -> list[Column]:
+    def _aggregates(self, data: DataFrame, unknown: Any) -> dict[str, Column | Distinct]:
         standard = [("unit_spend", "unit_spend", "sum"), ("transaction_id", "transaction_id", "nunique")]
         standard += [("unit_quantity", "unit_quantity", "sum")] if self.has_units else []
         named = [(column(f"agg.{a}"), column(c), f) for a, c, f in standard]
         customers = (column("agg.customer_id"), column("customer_id"), "nunique")
         extra = [(name, c, f) for name, (c, f) in self.extra.items()]
         if unknown is None:
-            return [aggregate(f, c).alias(name) for name, c, f in [*named, *([customers] if self.has_customers else []), *extra]]
+            return {name: _measure(f, c) for name, c, f in [*named, *([customers] if self.has_customers else []), *extra]}
         if isinstance(unknown, Column):
             flag = unknown
         else:
             validate_columns(data, [column("customer_id")])
             flag = F.col(column("customer_id")) == F.lit(unknown)
         suffix, total = column("suffix.unknown_customer"), column("suffix.total")
-        out = []
+        out = {}
         for name, c, f in [*named, *extra]:
             fill = name not in self.extra
             for ending, where in (("", ~flag), (f"_{suffix}", flag), (f"_{total}", None)):
-                made = aggregate(f, c, where)
-                out.append((F.coalesce(made, F.lit(0)) if fill and where is not None else made).alias(name + ending))
+                made = _measure(f, c, where)
+                out[name + ending] = F.coalesce(made, F.lit(0)) if fill and where is not None and not isinstance(made, Distinct) else made
         if self.has_customers:
-            out.append(aggregate("nunique", customers[1], ~flag).alias(customers[0]))
+            out[customers[0]] = Distinct(customers[1], ~flag)
         return out
 
     def _ratios(self, grouped: DataFrame) -> DataFrame:
