@@ -20,7 +20,7 @@ Exact but for the misses of banding and of pruning, whose probabilities are para
 (1 - t**rows)**bands for a link at the threshold t, and ``miss`` at each batch.
 
 A hub, bucket, label, shingle or class that a large share of all rows names is joined in parts
-(:func:`spread_join`), so no task gets all its rows.
+(``spread_join``), so no task gets all its rows.
 
 Defined results: null, empty and wordless texts have an empty set and are linked with nothing;
 repeated rows and copies are one class; rows with null ids have no component and link nothing;
@@ -40,11 +40,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.skew import spread_join
 from .common import arrow_map, drop_written, only, slices, text_bytes, type_of, written
 from .features import lowered_ascii
 
-SHARES = 2048  # keys with more than this part of all rows are joined in parts
-
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -148,38 +147,26 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return only(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, salt: str, sizes: DataFrame | None = None, how: str = "inner", least: int = 1) -> DataFrame:
-    """``left`` joined to ``right`` by ``key``, where any share of left's rows may name one key.
-
-    Keys with more than 1/SHARES of the rows (fewer than SHARES keys, broadcast) are cut into parts by
-    the hash of ``salt``; right's rows of such a key are copied to its parts, SHARES copies more in all for
-    a side of one row per key.  ``sizes`` (``key, n``) are left's rows per key, if they are known.
-    """
-    sizes = (left.groupBy(key).agg(F.count("*").alias("n")) if sizes is None else sizes).filter(F.col(key).isNotNull())
-    share = sizes.agg(F.greatest(F.ceil(F.sum("n") / SHARES), F.lit(least)).alias("share"))
-    hot = F.broadcast(sizes.crossJoin(F.broadcast(share)).filter("n > share").select(key, F.ceil(F.col("n") / F.col("share")).alias("__shares")))
-    shares = F.coalesce("__shares", F.lit(1))
-    cut = left.join(hot, key, "left").withColumn("__part", F.pmod(F.xxhash64(salt), shares)).drop("__shares")
-    copied = right.join(hot, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1))).drop("__shares")
-    return cut.join(copied, [key, "__part"], how).drop("__part")
-
-
 def places(classes: DataFrame, rule: Rule) -> DataFrame:
     """``set, bucket, members`` of all buckets that hold several classes."""
     width = 4 * rule.rows
     keys = F.array(*[F.xxhash64(F.lit(b), F.substring("sig", 1 + b * width, width)) for b in range(rule.bands)])
     rows = classes.select("set", F.explode(keys).alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
-    return spread_join(rows, shared, "bucket", "set", shared.withColumnRenamed("members", "n")).select("set", "bucket", "members")
+    shared = written(rows.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1"), "buckets")
+    found = written(spread_join(rows, shared, "bucket", "set", shared.withColumnRenamed("members", "n")).select("set", "bucket", "members"), "places")
+    drop_written(shared)
+    return found
 
 
 def hub_pairs(member: DataFrame) -> DataFrame:
     """``a, b``: every member of a bucket (``set, bucket, members``) with the bucket's hub."""
     weight = member.groupBy("set").agg(F.sum("members").alias("weight"))
     weighed = member.join(weight, "set")
-    hubs = weighed.groupBy("bucket").agg(F.max(F.struct("weight", "set")).alias("hub"), F.count("*").alias("n"))
+    hubs = written(weighed.groupBy("bucket").agg(F.max(F.struct("weight", "set")).alias("hub"), F.count("*").alias("n")), "hubs")
     named = spread_join(member, hubs.select("bucket", "hub"), "bucket", "set", hubs.select("bucket", "n"))
-    return named.select(F.col("set").alias("a"), F.col("hub.set").alias("b")).filter("a != b").distinct()
+    found = written(named.select(F.col("set").alias("a"), F.col("hub.set").alias("b")).filter("a != b").distinct(), "pairs")
+    drop_written(hubs)
+    return found
 
 
 def compared(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
@@ -202,7 +189,7 @@ def compared(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept), pa.array(matches[live])], ["a", "b", "matches"])
 
     own = classes.select("set", "n", "sig")
-    sides = spread_join(pairs.select("a", "b"), own.toDF("a", "n_a", "sig_a"), "a", "b")
+    sides = spread_join(pairs.select("a", "b"), own.toDF("a", "n_a", "sig_a"), "a", "b", least=rule.bands)
     sides = spread_join(sides, own.toDF("b", "n_b", "sig_b"), "b", "a", pairs.groupBy("b").agg(F.count("*").alias("n")))
     near = sides.filter((F.col("n_a") >= t * F.col("n_b") - 1e-6) & (F.col("n_b") >= t * F.col("n_a") - 1e-6))
     return arrow_map(near.select("a", "b", "sig_a", "sig_b"), "a binary, b binary, matches bigint", run)
@@ -261,17 +248,18 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round takes the smallest label among neighbours and then jumps to the label's own label.
     """
-    both = links.select("a", "b").unionByName(links.selectExpr("b as a", "a as b"))
+    both = written(links.select("a", "b").unionByName(links.selectExpr("b as a", "a as b")), "both")
     state = written(both.groupBy(F.col("a").alias("set")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "labels")
     while True:
         near = spread_join(both, state.selectExpr("set as b", "label as near"), "b", "a").groupBy(F.col("a").alias("set")).agg(F.min("near").alias("near"))
         lower = state.select("set", "label").join(near, "set", "left").select("set", F.least("label", "near").alias("next"), "label")
         jump = lower.select(F.col("set").alias("next"), F.col("next").alias("far"))
-        after = written(spread_join(lower, jump, "next", "set", how="left").select("set", F.least("next", "far").alias("label"), (F.least("next", "far") < F.col("label")).alias("moved")), "labels")
+        after = written(spread_join(lower, jump, "next", "set", how="left", total=state.count()).select("set", F.least("next", "far").alias("label"), (F.least("next", "far") < F.col("label")).alias("moved")), "labels")
         drop_written(state)
         moved = after.agg(F.max("moved").alias("m")).head()["m"]
         state = after
         if not moved:
+            drop_written(both)
             return state.select("set", "label")
 
 
@@ -282,7 +270,7 @@ def open_classes(member: DataFrame, state: DataFrame, classes: DataFrame, rule:
     a partner being no smaller than t * n and than the smallest class of the buckets.
     """
     marked = member.select("set", "bucket").join(state, "set", "left").join(classes.select("set", "n"), "set").select("set", "bucket", "n", F.coalesce("label", "set").alias("label"))
-    several = marked.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least"), F.count("*").alias("members")).filter("low != high")
+    several = written(marked.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least"), F.count("*").alias("members")).filter("low != high"), "several")
     rows = spread_join(marked, several.select("bucket", "least"), "bucket", "set", several.select("bucket", F.col("members").alias("n"))).groupBy("set").agg(F.first("label").alias("label"), F.first("n").alias("n"), F.min("least").alias("least"))
     top, bottom = rule.similarity.numerator, rule.similarity.denominator
     partner = F.expr(f"greatest(least, (n * {top} + {bottom - 1}) div {bottom})")
@@ -313,7 +301,7 @@ def rare_prefixes(held: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     """``set, shingle, n, place, label``: each open class's first shingles in a common order, rarest
     first, as far as a partner's first common shingle can lie (those no other class holds left out)."""
     rows = shingled(held, texts, rule)
-    holders = rows.groupBy("shingle").agg(F.count("*").alias("holders")).filter("holders > 1")
+    holders = written(rows.groupBy("shingle").agg(F.count("*").alias("holders")).filter("holders > 1"), "holders")
     of = Window.partitionBy("set")
     # a class's place in the common order counts its own shingles, which come first
     place = F.col("n") - F.count("*").over(of) + F.row_number().over(of.orderBy("holders", "shingle"))
@@ -343,12 +331,12 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id"
     rows = written(signed(docs, rule, id_col, text_col), "signed")
     usable = rows.filter("id is not null and n > 0")
     classes = written(usable.groupBy("set").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.count("*").alias("copies")), "classes")
-    member = written(places(classes, rule), "places")
+    member = places(classes, rule)
     labels = _labels(docs, member, classes, rule, id_col, text_col)
-    lowest = classes.join(labels, "set").groupBy("label").agg(F.min("least").alias("component"), F.count("*").alias("n"))
+    lowest = written(classes.join(labels, "set").groupBy("label").agg(F.min("least").alias("component"), F.count("*").alias("n")), "lowest")
     found = spread_join(labels, lowest.select("label", "component"), "label", "set", lowest.select("label", "n")).select("set", "component")
     by_set = classes.select("set", "least").join(found, "set", "left").select("set", F.coalesce("component", "least").alias("component"))
-    told = spread_join(usable.select("id", "n", "set"), by_set, "set", "id", classes.select("set", F.col("copies").alias("n")))
+    told = spread_join(usable.select("id", "n", "set"), by_set, "set", "id", classes.select("set", F.col("copies").alias("n")), total=rows.count())
     alone = rows.filter("id is null or n = 0").select("id", "n", F.col("id").alias("component"))
     out = told.select("id", "n", "component").unionByName(alone)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("component") == F.col("id"), F.lit(False)).alias("kept"))
@@ -362,7 +350,9 @@ def _labels(docs: DataFrame, member: DataFrame, classes: DataFrame, rule: Rule,
         made.append(written(df, kind))
         return made[-1]
 
-    first = kept(compared(kept(hub_pairs(member), "pairs"), classes, rule), "compared")
+    hubs = hub_pairs(member)
+    made.append(hubs)
+    first = kept(compared(hubs, classes, rule), "compared")
     # the texts of classes that may be verified: one row each, by the class's smallest id
     wanted = kept(classes.join(member.select("set").distinct(), "set", "left_semi").select(F.col("least").alias("id")), "wanted")
     chosen = _texts(docs, id_col, text_col).join(wanted.hint("shuffle_hash"), "id", "left_semi")
