@@ -164,13 +164,14 @@ def threshold_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.ThresholdSegmentation(transactions(spark, sf_dir), [0.3, 0.9], ["Few", "Some"], value_col="product_id", agg_func="nunique", group_col="category").table
 
 
-_HML = """+ , v as (select customer_id, sum(case when on_promotion then unit_spend else 0 end) promo_spend from tx where "year" = 1998 group by customer_id),
+_HML = """+ , v as (select customer_id, sum(case when on_promotion and "year" = 1998 then unit_spend else 0 end) promo_spend from tx group by customer_id),
     r as (select *, percent_rank() over (order by promo_spend, customer_id) p from v {0})
     select customer_id, round(promo_spend, 2) promo_spend, case when p <= .5 then 'Light' when p <= .8 then 'Medium' else 'Heavy' end segment_name from r {1}"""
 
 
 def _promoted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transactions(spark, sf_dir).filter("year = 1998").withColumn("promo_spend", F.when(F.col("on_promotion"), F.col("unit_spend")).otherwise(0.0))
+    """All rows; the value is the spend on promotion in one year, so customers without any are of value 0."""
+    return transactions(spark, sf_dir).withColumn("promo_spend", F.when(F.col("on_promotion") & (F.col("year") == 1998), F.col("unit_spend")).otherwise(0.0))
 
 
 @query("hml_separate", _HML.format("where promo_spend != 0", "union all select customer_id, round(promo_spend, 2), 'Zero' from v where promo_spend = 0"), 2)
@@ -188,29 +189,6 @@ def hml_include_light(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.HMLSegmentation(_promoted(spark, sf_dir), "promo_spend", zero_value_customers="include_with_light").table
 
 
-# the same over all customers: one year is the value's condition, not the rows'
-_HML_ALL = _HML.replace("when on_promotion then", 'when on_promotion and "year" = 1998 then').replace(' where "year" = 1998', "")
-
-
-def _promoted_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transactions(spark, sf_dir).withColumn("promo_spend", F.when(F.col("on_promotion") & (F.col("year") == 1998), F.col("unit_spend")).otherwise(0.0))
-
-
-@query("hml_separate_all", _HML_ALL.format("where promo_spend != 0", "union all select customer_id, round(promo_spend, 2), 'Zero' from v where promo_spend = 0"), 2)
-def hml_separate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.HMLSegmentation(_promoted_all(spark, sf_dir), "promo_spend").table
-
-
-@query("hml_exclude_all", _HML_ALL.format("where promo_spend != 0", ""), 2)
-def hml_exclude_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.HMLSegmentation(_promoted_all(spark, sf_dir), "promo_spend", zero_value_customers="exclude").table
-
-
-@query("hml_include_light_all", _HML_ALL.format("", ""), 2)
-def hml_include_light_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.HMLSegmentation(_promoted_all(spark, sf_dir), "promo_spend", zero_value_customers="include_with_light").table
-
-
 _RFM = """+ , v as (select customer_id, cast(date_diff('day', max(transaction_date), date '2001-08-02') as int) recency_days,
       cast(count(distinct transaction_id) as int) frequency, sum(unit_spend) monetary from tx group by customer_id), f as (select * from v {0}),
     s as (select *, {1} r_score, {2} f_score, {3} m_score from f)
@@ -460,46 +438,33 @@ def cross_shop_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     summary = ops.CrossShop(transactions(spark, sf_dir), "category", "ECONOMY", "PROMO", "category", "category", "SMALL").summary.drop("groups")
     return summary.select("group_labels", "unit_spend", (F.col("percent") * 100).alias("percent"))
 
-_CDH = """+ , b as (select distinct customer_id c, transaction_id t, brand p from tx where segment_name = 'BUILDING'), m as (select t from b group by t having count(*) > 1),
-    x as (select distinct c, p from b where t in (select t from m)), q as (select distinct c, p from b except select c, p from x)"""
-
 
-def _building(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transactions(spark, sf_dir).filter("segment_name = 'BUILDING'")
+_CDH = """+ , b as (select distinct customer_id c, transaction_id t, brand p from tx), m as (select t from b group by t having count(*) > 1),
+    x as (select distinct c, p from b where t in (select t from m)), q as (select distinct c, p from b except select c, p from x)"""
 
 
 @query("cdh_pairs", _CDH + " select c customer_id, p brand from q")
 def cdh_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.CustomerDecisionHierarchy(_building(spark, sf_dir), "brand").pairs
+    return ops.CustomerDecisionHierarchy(transactions(spark, sf_dir), "brand").pairs
 
 
 _CDH_DISTANCES = (
-    _CDH.replace("q as (select distinct c, p from b except select c, p from x)", "q as (select distinct c, p from b)")
+    _CDH.replace("q as (select distinct c, p from b except select c, p from x)", "q as (select distinct c, {0} p from b)")
     + """, h as (select p, count(*) n from q group by p), k as (select a.p p1, b.p p2, count(*) n from q a join q b on a.c = b.c and a.p < b.p group by all),
-    z as (select a.p product_1, b.p product_2, a.n n_1, b.n n_2, coalesce(k.n, 0) "both", (select count(distinct c) from q) t from h a join h b on a.p < b.p left join k on k.p1 = a.p and k.p2 = b.p),
+    z as (select a.p product_1, b.p product_2, a.n n_1, b.n n_2, coalesce(k.n, 0) "both", (select count(distinct c) from q) t from h a join h b on a.p < b.p {1} join k on k.p1 = a.p and k.p2 = b.p),
     y as (select *, cast("both" as double) * (t - n_1 - n_2 + "both") u, cast(n_1 - "both" as double) * (n_2 - "both") w from z)
     select product_1, product_2, n_1, n_2, "both", round(coalesce((u - w) / nullif(u + w, 0), 0), 6) yules_q, round((2 - coalesce((u - w) / nullif(u + w, 0), 0)) / 2, 6) distance from y"""
 )
 
 
-@query("cdh_distances", _CDH_DISTANCES, 6)
+@query("cdh_distances", _CDH_DISTANCES.format("p", "left"), 6)
 def cdh_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.CustomerDecisionHierarchy(_building(spark, sf_dir), "brand", exclude_same_transaction_products=False).table
-
-
-# the same over all market segments
-def _all_segments(sql: str) -> str:
-    return sql.replace(" where segment_name = 'BUILDING'", "")
-
-
-@query("cdh_pairs_all", _all_segments(_CDH) + " select c customer_id, p brand from q")
-def cdh_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.CustomerDecisionHierarchy(transactions(spark, sf_dir), "brand").pairs
+    return ops.CustomerDecisionHierarchy(transactions(spark, sf_dir), "brand", exclude_same_transaction_products=False).complete()
 
 
-@query("cdh_distances_all", _all_segments(_CDH_DISTANCES), 6)
-def cdh_distances_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.CustomerDecisionHierarchy(transactions(spark, sf_dir), "brand", exclude_same_transaction_products=False).table
+@query("cdh_met_pairs", _CDH_DISTANCES.replace("brand p", "store_id p").format("p", ""), 6)
+def cdh_met_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.CustomerDecisionHierarchy(transactions(spark, sf_dir), "store_id", exclude_same_transaction_products=False).table
 
 
 # ---- time

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from typing import Any
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..options import column
+from ..plans.skew import spread_join
 from ..sources import as_table, validate_columns
 from .base import Result
 
 
+BASKET = 1000  # items of a basket that are paired in one task
+
+
 class ProductAssociation(Result):
     """Directed pairs with ``occurrences_1, occurrences_2, cooccurrences, support, confidence, uplift``.
 
@@ -44,18 +49,25 @@ class ProductAssociation(Result):
         items = pairs.filter("i is not null").groupBy("i").agg(F.count("g").alias("n")).filter(F.col("n") >= min_occurrences)
         frequent = pairs.filter("g is not null").join(items, "i") if min_occurrences > 1 else pairs.filter("g is not null and i is not null")
         left, right = frequent.select("g", F.col("i").alias("x")), frequent.select("g", F.col("i").alias("y"))
-        if targets is None:
-            met = left.join(right, "g").filter("x < y")
-        else:
-            met = left.filter(F.col("x").isin(targets)).join(right, "g").filter("x != y")
+        if targets is not None:
+            left = left.filter(F.col("x").isin(targets))
+
+        def make() -> DataFrame:
+            # a very large basket is paired in parts
+            met = spread_join(left, right, "g", "x", pairs.groupBy("g").agg(F.count("*").alias("n")), least=BASKET).filter("x < y" if targets is None else "x != y")
+            return self._found(met, items, total, value_col, targets is None, min_cooccurrences, min_support, min_confidence, min_uplift)
+
+        self._make = make
+
+    def _found(self, met: DataFrame, items: DataFrame, total: DataFrame, value_col: str, mirrored: bool, min_cooccurrences: int, min_support: float, min_confidence: float, min_uplift: float) -> DataFrame:
         together = met.groupBy("x", "y").agg(F.count("*").alias("cooccurrences")).filter(F.col("cooccurrences") >= min_cooccurrences)
         known = together.join(items.select(F.col("i").alias("x"), F.col("n").alias("n_x")), "x").join(items.select(F.col("i").alias("y"), F.col("n").alias("n_y")), "y").crossJoin(F.broadcast(total))
         support = F.col("cooccurrences") / F.col("total")
         known = known.withColumn("support", support).filter(F.col("support") >= min_support)
         known = known.withColumn("uplift", F.col("support") / ((F.col("n_x") / F.col("total")) * (F.col("n_y") / F.col("total")))).filter(F.col("uplift") >= min_uplift)
         one = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"), F.col(f"n_{a}").alias("n_a"), F.col(f"n_{b}").alias("n_b"))
-        ways = F.array(one("x", "y"), one("y", "x")) if targets is None else F.array(one("x", "y"))
+        ways = F.array(one("x", "y"), one("y", "x")) if mirrored else F.array(one("x", "y"))
         both = known.select(F.explode(ways).alias("p"), "cooccurrences", "support", "uplift").withColumn("confidence", F.col("cooccurrences") / F.col("p.n_a")).filter(F.col("confidence") >= min_confidence)
-        self.table = both.select(
+        return both.select(
             F.col("p.a").alias(f"{value_col}_1"), F.col("p.b").alias(f"{value_col}_2"), F.col("p.n_a").alias("occurrences_1"), F.col("p.n_b").alias("occurrences_2"), "cooccurrences", "support", "confidence", "uplift"
         ).orderBy(f"{value_col}_1", f"{value_col}_2")

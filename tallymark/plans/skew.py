@@ -20,8 +20,12 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, salt: str, sizes: D
     ``least`` rows or fewer are never cut.
     """
     sizes = (left.groupBy(key).agg(F.count("*").alias("n")) if sizes is None else sizes).filter(F.col(key).isNotNull())
-    total = (sizes.agg(F.sum("n")).head()[0] or 0) if total is None else total
+    most = None
+    if total is None:
+        total, most = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).head()
     share = max(least, -(-total // SHARES))
+    if most is not None and most <= share:
+        return left.join(right, key, how)
     hot = sizes.filter(F.col("n") > share).select(key, F.ceil(F.col("n") / share).alias("n")).collect()
     if not hot:
         return left.join(right, key, how)

@@ -248,12 +248,39 @@ class TestAnalysis:
         table = frame(spark, "customer_id long, transaction_id long, product_name string", rows)
         assert values(ops.CustomerDecisionHierarchy(table, "product_name").pairs, "customer_id", "product_name") == [(1, "C"), (3, "E")]
         every = ops.CustomerDecisionHierarchy(table, "product_name", exclude_same_transaction_products=False)
-        assert every.pairs.count() == 6 and every.table.count() == 10
-        got = {(r["product_1"], r["product_2"]): (r["yules_q"], r["distance"]) for r in every.table.collect()}
+        assert every.pairs.count() == 6 and every.complete().count() == 10
+        got = {(r["product_1"], r["product_2"]): (r["yules_q"], r["distance"]) for r in every.complete().collect()}
         assert got["B", "C"] == (1.0, 0.5) and got["A", "E"] == (-1.0, 1.5)
+        met = {(r["product_1"], r["product_2"]): (r["yules_q"], r["distance"]) for r in every.table.collect()}
+        assert met == {k: v for k, v in got.items() if k in met} and {v for k, v in got.items() if k not in met} == {(-1.0, 1.5)}
+        matrix = every.matrix()
+        assert all(matrix.loc[a, b] == matrix.loc[b, a] == d for (a, b), (_, d) in got.items()) and matrix.loc["A", "A"] == 0.5
+        with pytest.raises(ValueError):
+            every.matrix(most=4)
         steps = every.linkage()
         assert len(steps) == 4 and steps[-1][3] == 5 and [s[2] for s in steps] == sorted(s[2] for s in steps)
 
+    def test_linkage_is_ward(self, spark):
+        """Every merge is the one that adds least to the squared distances from the clusters' means."""
+        import numpy as np
+
+        class Given(ops.CustomerDecisionHierarchy):
+            def __init__(self, points):
+                self.points = points
+
+            def matrix(self, most=2000):
+                return pd.DataFrame(self.points)
+
+        points = np.random.default_rng(3).normal(size=(25, 25))
+        clusters = {i: [i] for i in range(25)}
+        cost = lambda a, b: len(a) * len(b) / (len(a) + len(b)) * ((points[a].mean(0) - points[b].mean(0)) ** 2).sum() * 2
+        for step, (a, b, height, size) in enumerate(Given(points).linkage()):
+            least = min(cost(clusters[i], clusters[j]) for i in clusters for j in clusters if i < j)
+            assert height == pytest.approx(np.sqrt(least)) == pytest.approx(np.sqrt(cost(clusters[a], clusters[b])))
+            clusters[25 + step] = clusters.pop(a) + clusters.pop(b)
+            assert size == len(clusters[25 + step])
+        assert Given(points[:1]).linkage() == [] and Given(points[:0]).linkage() == []
+
     def test_metrics(self, spark):
         rows = frame(spark, "store_id long, product_id long, region string, unit_spend double", [(1, 1, "N", 1e6), (2, 1, "N", 2e6), (3, 2, "S", None), (4, 1, "S", 5e5)])
         assert ops.Acv(rows).table.head()["acv"] == 3.5

@@ -179,18 +179,18 @@ def test_query_equals_its_sql(spark, small, name):
 
 def test_hierarchy_over_all_segments(spark, small):
     shopped = transactions(spark, small).select("customer_id", "segment_name", "brand").distinct()
-    pairs = catalog.queries()["cdh_pairs_all"](spark, small)
+    pairs = catalog.queries()["cdh_pairs"](spark, small)
     assert pairs.join(shopped, ["customer_id", "brand"]).select("segment_name").distinct().count() == shopped.select("segment_name").distinct().count() > 1
     held = {r["brand"]: r["n"] for r in shopped.groupBy("brand").agg(F.count_distinct("customer_id").alias("n")).collect()}
-    for r in catalog.queries()["cdh_distances_all"](spark, small).collect():
+    for r in catalog.queries()["cdh_distances"](spark, small).collect():
         assert (r["n_1"], r["n_2"]) == (held[r["product_1"]], held[r["product_2"]])
 
 
 def test_levels_of_all_customers(spark, small):
     customers = sorted(r[0] for r in transactions(spark, small).select("customer_id").distinct().collect())
-    for name in ("hml_separate_all", "hml_include_light_all"):
+    for name in ("hml_separate", "hml_include_light"):
         assert sorted(r["customer_id"] for r in catalog.queries()[name](spark, small).collect()) == customers
-    assert 0 < catalog.queries()["hml_exclude_all"](spark, small).count() < len(customers)
+    assert 0 < catalog.queries()["hml_exclude"](spark, small).count() < len(customers)
 
 
 def test_entry(spark, small):
