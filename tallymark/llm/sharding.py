@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import path_of
 from .common import new_uri, only, written
 
 SLOTS = 4096
@@ -93,8 +94,8 @@ class SlotMap:
 
     def latest(self) -> int:
         """The number of the last version, 0 before the first."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.uri)
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+        path, fs = path_of(self.spark, self.uri)
+        if not fs.exists(path):
             return 0
         return self.versions().agg(F.max("version").alias("v")).head()["v"] or 0
 
