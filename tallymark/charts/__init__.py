@@ -1,6 +1,7 @@
 """Data of charts as DataFrames; drawing is optional and needs matplotlib (``charts.render``)."""
 
 from .data import (
+    area_series,
     bar_shares,
     broken_timeline,
     cohort_labels,
@@ -11,12 +12,13 @@ from .data import (
     price_bands,
     regression,
     scatter_points,
+    sorted_bars,
     time_series,
     venn_sets,
     waterfall_steps,
 )
 
 __all__ = [
-    "bar_shares", "broken_timeline", "cohort_labels", "histogram_bins", "index_bars", "line_series", "period_on_period", "price_bands", "regression",
-    "scatter_points", "time_series", "venn_sets", "waterfall_steps",
+    "area_series", "bar_shares", "broken_timeline", "cohort_labels", "histogram_bins", "index_bars", "line_series", "period_on_period", "price_bands", "regression",
+    "scatter_points", "sorted_bars", "time_series", "venn_sets", "waterfall_steps",
 ]

@@ -122,9 +122,13 @@ def bar_shares(df: DataFrame, x_col: str, value_cols: list[str], share_of: str =
     return long.withColumn("share", F.col("value") / F.nullif(total, F.lit(0.0)) * 100)
 
 
-def line_series(df: DataFrame, x_col: str, value_col: str, group_col: str, highlight: list[str] | None = None, fill: float | None = None) -> DataFrame:
-    """``x`` and a column per group; with ``highlight`` those groups come last (drawn on top)."""
-    groups = sorted(r[0] for r in df.select(group_col).filter(F.col(group_col).isNotNull()).distinct().collect())
+def line_series(df: DataFrame, x_col: str, value_col: str, group_col: str, highlight: list[str] | None = None, fill: float | None = None, most: int = 1000) -> DataFrame:
+    """``x`` and a column per group; with ``highlight`` those groups come last (drawn on top).
+
+    A job finds the groups; more than ``most`` are a ValueError, for each becomes a column."""
+    groups = sorted(r[0] for r in df.select(group_col).filter(F.col(group_col).isNotNull()).distinct().limit(most + 1).collect())
+    if len(groups) > most:
+        raise ValueError(f"{group_col} has more than {most} groups")
     if highlight and (unknown := set(highlight) - set(groups)):
         raise ValueError(f"unknown groups to highlight: {sorted(unknown)}")
     groups = [g for g in groups if g not in (highlight or [])] + list(highlight or [])
@@ -132,9 +136,30 @@ def line_series(df: DataFrame, x_col: str, value_col: str, group_col: str, highl
     return out if fill is None else out.na.fill(fill)
 
 
-def scatter_points(df: DataFrame, x_col: str, y_col: str, size_col: str | None = None, size_scale: float = 1.0, label_col: str | None = None) -> DataFrame:
-    """Points whose coordinates are known, with bubble sizes and labels."""
-    extra = [(F.col(size_col) * F.lit(size_scale)).alias("size")] if size_col else []
+def area_series(df: DataFrame, x_col: str, value_cols: list[str], group_col: str | None = None) -> DataFrame:
+    """``x`` and a column per area to be stacked: the value columns, or the one value's groups; nothing is 0."""
+    if group_col is not None:
+        if len(value_cols) != 1:
+            raise ValueError("areas by group take one value column")
+        return line_series(df, x_col, value_cols[0], group_col, fill=0)
+    return df.select(F.col(x_col).alias("x"), *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in value_cols]).orderBy("x")
+
+
+def sorted_bars(df: DataFrame, x_col: str, value_cols: list[str], sort_order: str | None = None) -> DataFrame:
+    """``x`` and the bars' values, in the order of the first value if one is asked for."""
+    if sort_order not in (None, "ascending", "descending"):
+        raise ValueError("sort_order must be 'ascending', 'descending' or None")
+    out = df.select(F.col(x_col).alias("x"), *value_cols)
+    if sort_order is None:
+        return out
+    by = F.col(value_cols[0])
+    return out.orderBy(by.asc_nulls_last() if sort_order == "ascending" else by.desc_nulls_last(), "x")
+
+
+def scatter_points(df: DataFrame, x_col: str, y_col: str, size_col: str | None = None, size_scale: float = 1.0, label_col: str | None = None, group_col: str | None = None) -> DataFrame:
+    """Points whose coordinates are known, with bubble sizes, labels and the series they are of."""
+    extra = [F.col(group_col).alias("series")] if group_col else []
+    extra += [(F.col(size_col) * F.lit(size_scale)).alias("size")] if size_col else []
     extra += [F.col(label_col).alias("label")] if label_col else []
     return df.select(F.col(x_col).alias("x"), F.col(y_col).alias("y"), *extra).dropna(subset=["x", "y"])
 

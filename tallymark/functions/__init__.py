@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import ROUND_DOWN, Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -72,9 +73,39 @@ def right_closed_bin(column: Column, edges: list[float]) -> Column:
     return out
 
 
-def human_number(value: float, decimals: int = 0) -> str:
-    """1234 -> 1K: a chart label with the suffix of the power of a thousand."""
-    size, power, names = abs(value), 0, ["", "K", "M", "B", "T", "P"]
-    while power < len(names) - 1 and round(size, decimals) >= 1000:
+MAGNITUDES = ["", "K", "M", "B", "T", "P"]
+
+
+def human_number(value: float, decimals: int = 0, prefix: str = "", trim: bool = False) -> str:
+    """1234 -> 1K: a chart label with the suffix of the power of a thousand; ``trim`` leaves zeros at
+    the end of decimals out."""
+    size, power = abs(value), 0
+    while power < len(MAGNITUDES) - 1 and round(size, decimals) >= 1000:
         size, power = size / 1000, power + 1
-    return f"{'-' if value < 0 and round(size, decimals) else ''}{size:.{decimals}f}{names[power]}"
+    shown = f"{size:.{decimals}f}"
+    if trim and "." in shown:
+        shown = shown.rstrip("0").rstrip(".")
+    return f"{prefix}{'-' if value < 0 and round(size, decimals) else ''}{shown}{MAGNITUDES[power]}"
+
+
+def truncate_to_x_digits(number: str, digits: int) -> str:
+    """Cut a short number (``-1234.567K``) to its first digits without rounding: ``digits`` in all where
+    the whole part is shorter, else all of that and ``digits`` decimals; numbers under 0.0001 are rounded."""
+    suffix = next((m for m in MAGNITUDES[1:] if number.endswith(m)), "")
+    body = number.removesuffix(suffix)
+    value = Decimal(body)
+    if not value:
+        return f"0{suffix}"
+    if abs(value) < Decimal("0.0001"):
+        shown = f"{abs(value):.{digits}f}"
+        return shown.rstrip("0").rstrip(".") if "." in shown else shown
+    whole = len(body.lstrip("-").partition(".")[0])
+    places = digits - whole if digits > whole else digits
+    cut = f"{value.quantize(Decimal(1).scaleb(-places), ROUND_DOWN):f}"
+    return (cut.rstrip("0").rstrip(".") if "." in cut else cut) + suffix
+
+
+def distinct_decimals(ticks: list[float], low: float, high: float, most: int = 10) -> int:
+    """The fewest decimals with which the short labels of the ticks between two limits all differ."""
+    shown = [t for t in ticks if low <= t <= high]
+    return next((d for d in range(most) if len({human_number(t, d, trim=True) for t in shown}) == len(shown)), most)

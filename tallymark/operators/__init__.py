@@ -13,14 +13,14 @@ from .labels import filter_and_label_by_condition, label_by_condition
 from .metrics import Acv, PctOfStores
 from .periods import filter_and_label_by_periods, find_overlapping_periods, to_utc
 from .product_association import ProductAssociation
-from .revenue_tree import RevenueTree, tree_kpis
+from .revenue_tree import RevenueTree, calc_tree_kpis, tree_kpis
 from .segmentation import HMLSegmentation, NLRSegmentation, RFMSegmentation, ThresholdSegmentation
 from .segstats import SegTransactionStats
 
 __all__ = [
     "Acv", "CohortAnalysis", "CompositeRank", "CrossShop", "CustomerDecisionHierarchy", "DaysBetweenPurchases", "GainLoss",
     "HMLSegmentation", "NLRSegmentation", "PctOfStores", "ProductAssociation", "PurchasesPerCustomer", "RFMSegmentation", "Result",
-    "RevenueTree", "SegTransactionStats", "ThresholdSegmentation", "TransactionChurn", "filter_and_label_by_condition",
+    "RevenueTree", "SegTransactionStats", "ThresholdSegmentation", "TransactionChurn", "calc_tree_kpis", "filter_and_label_by_condition",
     "filter_and_label_by_periods", "filter_by_groups", "filter_by_value_thresholds", "find_overlapping_periods", "get_indexes",
     "label_by_condition", "to_utc", "top_bottom", "tree_kpis",
 ]

@@ -43,6 +43,7 @@ class CrossShop(Result):
             raise ValueError(f"labels must have {len(specs)} entries")
         validate_columns(df, [key, value, *[c for c, _ in specs]])
         names, labels = [f"group_{i}" for i in range(1, len(specs) + 1)], labels or ["A", "B", "C"][: len(specs)]
+        self.labels = labels
         flags = [F.max((F.col(c) == F.lit(v)).cast("int")).alias(n) for n, (c, v) in zip(names, specs, strict=True)]
         by_key = df.groupBy(key).agg(*flags, aggregate(agg_func, value).alias("__value"))
         parts = F.filter(F.array(*[F.when(F.col(n) == 1, F.lit(t)) for n, t in zip(names, labels, strict=True)]), lambda x: x.isNotNull())
@@ -53,6 +54,12 @@ class CrossShop(Result):
         summed = self.table.groupBy("groups", "group_labels").agg(F.sum(out).alias(out))
         self.summary = summed.withColumn("percent", F.col(out) / F.nullif(F.sum(out).over(Window.partitionBy()), F.lit(0)))
 
+    def plot(self, ax: Any = None, **kwargs: Any) -> Any:
+        """The summary as overlapping circles (see ``charts.plots.venn_plot``)."""
+        from ..charts.plots import venn_plot
+
+        return venn_plot(self.summary, self.labels, ax=ax, **kwargs)
+
     @functools.cached_property
     def cross_shop_df(self) -> Any:
         return self.df

@@ -43,10 +43,23 @@ def customer_parts(focus_p1: Column, comparison_p1: Column, focus_p2: Column, co
     }
 
 
+def _masked(df: Any, masks: list[Any]) -> tuple[Any, list[Any]]:
+    """Masks of a pandas frame (a boolean for each row) as columns of it; conditions stay as they are."""
+    lists = [i for i, m in enumerate(masks) if not isinstance(m, (Column, str))]
+    if not lists:
+        return df, masks
+    if not hasattr(df, "iloc"):
+        raise TypeError("masks of rows go with a pandas frame; conditions go with any table")
+    if any(len(masks[i]) != len(df) for i in lists):
+        raise ValueError(f"a mask needs a value for each of the {len(df)} rows")
+    named = {i: f"__mask_{i}" for i in lists}
+    return df.assign(**{n: [bool(x) for x in masks[i]] for i, n in named.items()}), [F.col(named[i]) if i in named else m for i, m in enumerate(masks)]
+
+
 class GainLoss(Result):
     """``table`` by customer (and group), ``summary`` over all or by group.
 
-    Periods and groups are conditions on rows; customers all of whose values are 0 are left out,
+    Periods and groups are conditions on rows, or for a pandas frame masks of its rows; customers all of whose values are 0 are left out,
     as are rows without a customer or group.  Overlapping conditions are a ValueError unless
     ``check_overlap`` is off (the check is a small job).
     """
@@ -54,17 +67,18 @@ class GainLoss(Result):
     def __init__(
         self,
         df: Any,
-        p1: Column | str,
-        p2: Column | str,
-        focus: Column | str,
+        p1: Column | str | Any,
+        p2: Column | str | Any,
+        focus: Column | str | Any,
         focus_group_name: str,
-        comparison: Column | str,
+        comparison: Column | str | Any,
         comparison_group_name: str,
         group_col: str | None = None,
         value_col: str | None = None,
         agg_func: str = "sum",
         check_overlap: bool = True,
     ) -> None:
+        df, (p1, p2, focus, comparison) = _masked(df, [p1, p2, focus, comparison])
         df, customer, value = as_table(df), column("customer_id"), value_col or column("unit_spend")
         keys = [*([group_col] if group_col else []), customer]
         validate_columns(df, [value, *keys])
@@ -73,6 +87,7 @@ class GainLoss(Result):
             for what, both in (("periods", p1 & p2), ("groups", focus & comparison)):
                 if df.filter(both).limit(1).count():
                     raise ValueError(f"The {what} overlap")
+        self.group_col = group_col
         self.focus_group_name, self.comparison_group_name = focus_group_name, comparison_group_name
         cells = {f"{g}_{p}": where & when for p, when in (("p1", p1), ("p2", p2)) for g, where in (("focus", focus), ("comparison", comparison), ("total", F.lit(True)))}
         rows = df.filter(p1 | p2)
@@ -89,6 +104,12 @@ class GainLoss(Result):
         sums = [F.sum(c).alias(c) for c in numbers]
         self.summary: DataFrame = self.table.groupBy(group_col).agg(*sums) if group_col else self.table.agg(*sums)
 
+    def plot(self, ax: Any = None, **kwargs: Any) -> Any:
+        """Bars of the summary's six parts (see ``charts.plots.gain_loss_plot``)."""
+        from ..charts.plots import gain_loss_plot
+
+        return gain_loss_plot(self.summary, self.focus_group_name, self.comparison_group_name, self.group_col, ax=ax, **kwargs)
+
     @functools.cached_property
     def gain_loss_df(self) -> Any:
         return self.df

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import aggregate, safe_div
-from ..options import column
+from ..options import column, get_option
 from ..plans.grouping import Distinct, aggregate_sets
 from ..plugin import plugins
 from ..sources import as_table, validate_columns
@@ -74,6 +74,32 @@ def tree_kpis(both: DataFrame, keys: list[str], with_units: bool) -> DataFrame:
     return out.select(*[F.col(f"`{k}`") for k in keys], *order, *rest)
 
 
+@plugins.extensible
+def calc_tree_kpis(df: Any, p1_index: Any, p2_index: Any) -> Any:
+    """The tree's measures as pandas from a pandas frame of totals (spend, customers, transactions and, if
+    there, units), a row for each group and period: masks tell the periods' rows, the frame's index the
+    groups, which may lack one of the periods; two rows are the two periods, whatever their index.  For a
+    few rows; :class:`RevenueTree` takes tables."""
+    import pandas as pd
+
+    if len(p1_index) != len(df) or len(p2_index) != len(df):
+        raise ValueError(f"a mask needs a value for each of the {len(df)} rows")
+    base = [_name(m) for m in (SPEND, PEOPLE, TRIPS)]
+    if missing := [c for c in base if c not in df.columns]:
+        raise ValueError(f"missing columns: {missing}")
+    base += [_name(UNITS)] if _name(UNITS) in df.columns else []
+    sides = [df[[bool(x) for x in mask]][base].add_suffix("_" + end) for mask, end in ((p1_index, column_suffix("period_1")), (p2_index, column_suffix("period_2")))]
+    both = pd.concat([s.reset_index(drop=True) for s in sides] if len(df) == 2 else sides, axis=1)
+    spread = as_table(both.astype("float64").reset_index(drop=True).assign(__row=range(len(both))))
+    out = tree_kpis(spread, ["__row"], len(base) == 4)
+    out = getattr(out, "unwrap", lambda: out)().toPandas().sort_values("__row").drop(columns="__row")
+    return out.set_axis(both.index, axis=0)
+
+
+def column_suffix(name: str) -> str:
+    return get_option(f"column.suffix.{name}")
+
+
 @plugins.extensible
 class RevenueTree(Result):
     """The tree between two values of ``period_col``, overall or by groups.
@@ -97,6 +123,12 @@ class RevenueTree(Result):
         both = aggregate_sets(rows, groups, [tuple(groups)], cells, {})
         self.table, self.index = tree_kpis(both, groups, self.has_units), groups
 
+    def draw_tree(self, row: dict[str, Any] | None = None, value_labels: tuple[str, str] | None = None, ax: Any = None) -> Any:
+        """Draw the tree of one row (see :meth:`nodes`); ``value_labels`` name the periods."""
+        from ..charts.plots import tree_plot
+
+        return tree_plot(self.nodes(row), _name(SPEND), value_labels or ("Current Period", "Previous Period"), ax=ax)
+
     def nodes(self, row: dict[str, Any] | None = None) -> dict[str, dict[str, Any]]:
         """The tree of one row (the only one by default) for drawing: per node its values, change,
         contribution and children."""

@@ -9,6 +9,7 @@ to load is reported and the others go on.
 from __future__ import annotations
 
 import functools
+import operator
 import sys
 from collections.abc import Callable
 from importlib.metadata import entry_points
@@ -40,6 +41,15 @@ class ExtensibleResult:
     def __len__(self) -> int:
         return len(self._value)
 
+    def __contains__(self, item: Any) -> bool:
+        return item in self._value
+
+    def __bool__(self) -> bool:
+        return bool(self._value)
+
+    def __setitem__(self, key: Any, value: Any) -> None:
+        self._value[key] = value
+
     def __eq__(self, other: object) -> Any:
         return self._value == other
 
@@ -50,6 +60,28 @@ class ExtensibleResult:
         return repr(self._value)
 
 
+def _forwarded(name: str) -> Callable:
+    """A binary operator of the result; an operand that is a result itself is unwrapped."""
+
+    def method(self: ExtensibleResult, other: Any) -> Any:
+        return getattr(operator, name)(self._value, other.unwrap() if isinstance(other, ExtensibleResult) else other)
+
+    def turned(self: ExtensibleResult, other: Any) -> Any:
+        return getattr(operator, name)(other, self._value)
+
+    return method, turned
+
+
+for _name in ("add", "sub", "mul", "truediv", "floordiv", "mod", "pow", "and_", "or_", "xor", "matmul"):
+    _plain, _turned = _forwarded(_name)
+    setattr(ExtensibleResult, f"__{_name.strip('_')}__", _plain)
+    setattr(ExtensibleResult, f"__r{_name.strip('_')}__", _turned)
+for _name in ("lt", "le", "gt", "ge", "ne"):
+    setattr(ExtensibleResult, f"__{_name}__", _forwarded(_name)[0])
+for _name in ("neg", "pos", "abs", "invert"):
+    setattr(ExtensibleResult, f"__{_name}__", lambda self, _name=_name: getattr(operator, _name)(self._value))
+
+
 class Plugins:
     """What is registered, by the name of the class or function."""
 
