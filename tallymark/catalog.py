@@ -16,7 +16,8 @@ from . import charts
 from . import operators as ops
 from .functions import haversine_distance, ratio_metric
 from .plans.grouping import cube, rollup
-from .sources import table, transactions
+from .sources import as_table, read_files, table, transactions, write_files
+from .storage import new_uri
 
 NUDGE = 1e-7
 
@@ -730,3 +731,117 @@ def segment_joined_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     tx = transactions(spark, sf_dir)
     level = ops.HMLSegmentation(tx, zero_value_customers="exclude").table.select("customer_id", F.col("segment_name").alias("level"))
     return tx.join(level, "customer_id", "left").groupBy("level", "year").agg(F.sum("unit_spend").alias("spend"))
+
+
+@query(
+    "composite_rank_max",
+    """+ , c as (select customer_id, segment_name, max(transaction_date) latest, cast(sum(cast(unit_quantity as bigint)) as bigint) units from tx group by all),
+    r as (select *, rank() over (order by latest desc) latest_rank, rank() over (order by segment_name) segment_name_rank, rank() over (order by units desc) units_rank from c)
+    select *, greatest(latest_rank, segment_name_rank, units_rank) composite_rank from r""",
+)
+def composite_rank_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = transactions(spark, sf_dir).groupBy("customer_id", "segment_name").agg(F.max("transaction_date").alias("latest"), F.sum(F.col("unit_quantity").cast("long")).alias("units"))
+    return ops.CompositeRank(by, [("latest", "desc"), "segment_name", ("units", "desc")], "max").table
+
+
+_COHORT_YEAR = _COHORT.format("customer_id", "year", "count(distinct v)", "date_diff('year', a, p)", "1 year")
+
+
+@query("cohort_wide", _COHORT_YEAR + " , l as (select a min_period_shopped, e.s, coalesce(x, 0) x from e left join k using (a, s)) select * from (pivot l on s using any_value(x) group by min_period_shopped)")
+def cohort_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.CohortAnalysis(transactions(spark, sf_dir), "customer_id", period="year").wide()
+
+
+@query(
+    "cohort_labels",
+    _COHORT_YEAR + " select a min_period_shopped, cast(e.s as int) period_since, coalesce(round_even(k.x / nullif(b.x, 0), 2), 0) period_value, cast(cast(round(coalesce(round_even(k.x / nullif(b.x, 0), 2), 0) * 100) as int) as varchar) || '%' \"label\" from e left join k using (a, s) left join (select a, x from k where s = 0) b using (a)",
+)
+def cohort_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return charts.cohort_labels(ops.CohortAnalysis(transactions(spark, sf_dir), "customer_id", period="year", percentage=True).table, percentage=True)
+
+
+_BY_YEAR = """+ , y as (select "year" x, segment_name, round(sum(unit_spend), 2) v from tx group by all)"""
+
+
+def _by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transactions(spark, sf_dir).groupBy("year", "segment_name").agg(F.sum("unit_spend").alias("spend"))
+
+
+@query("line_series", _BY_YEAR + " select * from (pivot y on segment_name using any_value(v) group by x)", 2)
+def line_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return charts.line_series(_by_year(spark, sf_dir), "year", "spend", "segment_name", ["BUILDING"])
+
+
+@query("area_series", """+ , y as (select "year" x, sum(unit_spend) spend, sum(unit_spend * discount) rebate from tx group by 1) select x, round(coalesce(spend, 0), 2) spend, round(coalesce(rebate, 0), 2) rebate from y""", 2)
+def area_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sums = transactions(spark, sf_dir).groupBy("year").agg(F.sum("unit_spend").alias("spend"), F.sum(F.col("unit_spend") * F.col("discount")).alias("rebate"))
+    return charts.area_series(sums, "year", ["spend", "rebate"])
+
+
+@query(
+    "scatter_points",
+    """+ , p as (select brand, category, sum(unit_quantity) units, sum(unit_spend) spend, count(distinct customer_id) people from tx group by all)
+    select category series, round(people * 0.5, 2) size, brand "label", round(units, 2) x, round(spend, 2) y from p""",
+    2,
+)
+def scatter_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = transactions(spark, sf_dir).groupBy("brand", "category").agg(F.sum("unit_quantity").alias("units"), F.sum("unit_spend").alias("spend"), F.count_distinct("customer_id").alias("people"))
+    return charts.scatter_points(by, "units", "spend", "people", 0.5, "brand", "category")
+
+
+@query("venn_sets", _cross(["ECONOMY", "PROMO", "SMALL"]).replace("select customer_id, group_1, group_2, group_3, group_labels, round(v, 2) unit_spend from l", "select group_labels, round(sum(v) / sum(sum(v)) over (), 4) area from l group by group_labels") + " qualify group_labels != 'No Groups'")
+def venn_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return charts.venn_sets(ops.CrossShop(transactions(spark, sf_dir), "category", "ECONOMY", "PROMO", "category", "category", "SMALL").summary).drop("groups")
+
+
+@query("index_bars", _INDEX.format("category, brand", "partition by category", "100").replace('"index" from b', '"index" from b').replace("where p is not null", "where p is not null and brand not in ('Brand#11')"))
+def index_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return charts.index_bars(transactions(spark, sf_dir), "BUILDING", "segment_name", "unit_spend", "brand", "category", exclude_groups=["Brand#11"])
+
+
+@query(
+    "index_bars_sorted",
+    "+ , i as (select * from (" + _INDEX.format("brand", "", "100").replace("+ , a as", "with a as") + """)), j as ((select * from i order by "index" desc, brand limit 4) union all (select * from i order by "index", brand limit 4))
+    select *, case when "index" < -1 then 'negative' when "index" > 1 then 'positive' else 'neutral' end tone from j""",
+)
+def index_bars_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return charts.index_bars(transactions(spark, sf_dir), "BUILDING", "segment_name", "unit_spend", "brand", sort_by="value", ascending=False, top_n=4, bottom_n=4, highlight=(99, 101))
+
+
+@query("sorted_bars", """+ select segment_name x, round(sum(unit_spend), 2) spend, round(sum(unit_quantity), 2) units from tx group by 1""", 2)
+def sorted_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sums = transactions(spark, sf_dir).groupBy("segment_name").agg(F.sum("unit_spend").alias("spend"), F.sum("unit_quantity").alias("units"))
+    return charts.sorted_bars(sums, "segment_name", ["spend", "units"], "descending")
+
+
+# ---- sources and sinks
+
+
+@query("memory_source", "select n_regionkey, count(*) nations, min(n_name) first_name from nation group by n_regionkey")
+def memory_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pandas frame as a table."""
+    return as_table(table(spark, sf_dir, "nation").toPandas(), spark).groupBy("n_regionkey").agg(F.count("*").alias("nations"), F.min("n_name").alias("first_name"))
+
+
+@query("file_formats", "select kind, c_custkey, c_name, round(c_acctbal, 2) c_acctbal from customer, (values ('csv'), ('json'), ('orc'), ('parquet')) k(kind)", 2)
+def file_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table written to and read from every kind of file."""
+    rows, out = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal"), None
+    for kind in ("csv", "json", "orc", "parquet"):
+        uri = new_uri(spark, kind)
+        write_files(rows, uri, kind)
+        back = read_files(spark, uri, kind, rows.schema.simpleString()[len("struct<") : -1].replace(":", " ") if kind in ("csv", "json") else None)
+        back = back.select(F.lit(kind).alias("kind"), *rows.columns)
+        out = back if out is None else out.unionByName(back)
+    return out
+
+
+_WINDOWS = ", ".join(f"(date '{y}-11-01', date '{y + 1}-01-31')" for y in range(1995, 1998))
+
+
+@query("overlapping_periods", f"+ select a period_start, count(*) n, round(sum(unit_spend), 2) spend from tx join (values {_WINDOWS}) p(a, b) on transaction_date between a and b group by a", 2)
+def overlapping_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same season of every year, found from its first start and last end."""
+    windows = {a: (a, b) for a, b in ops.find_overlapping_periods("1995-11-01", "1998-01-31")}
+    rows = ops.filter_and_label_by_periods(transactions(spark, sf_dir), windows)
+    return rows.groupBy(F.col("period_name").cast("date").alias("period_start")).agg(F.count("*").alias("n"), F.sum("unit_spend").alias("spend"))
