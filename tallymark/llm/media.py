@@ -167,7 +167,7 @@ def parse(data: bytes, at: int = 0) -> tuple[Image, int]:
     if data[at : at + 2] != b"\xff\xd8":
         raise NotBaseline("no start of image")
     at += 2
-    ids: list[int] = []
+    frame: list[bytes] = []
     while True:
         if len(data) < at + 4 or data[at] != 0xFF:
             raise NotBaseline("no marker")
@@ -338,7 +338,7 @@ def decode_media(media: list[bytes | None]) -> list[list[tuple[Image, np.ndarray
             while data is not None and at < len(data):
                 image, at = parse(data, at)
                 images.append(image)
-        except (NotBaseline, IndexError, UnboundLocalError):
+        except (NotBaseline, IndexError):
             images = []
         found.append(images or None)
         for k, image in enumerate(images):

@@ -23,6 +23,20 @@ def documents(path):
 # ---- media
 
 
+def plain_feature(payload):
+    """Size and hash of the thumbnail that is the payload in rows of 64, cell by cell."""
+    h = len(payload) // 64
+    cells = []
+    for i in range(8):
+        for j in range(9):
+            top, left = i * h // 8, j * 64 // 9
+            part = [payload[y * 64 + x] for y in range(top, max(top + 1, (i + 1) * h // 8)) for x in range(left, max(left + 1, (j + 1) * 64 // 9))]
+            cells.append(sum(part) / len(part))
+    first = [c for k, c in enumerate(cells) if k % 9 < 8]
+    bits = [c > sum(first) / 64 for c in first] + [cells[k + 1] > cells[k] for k in range(72) if k % 9 < 8]
+    return f"512x{8 * h}:{int(''.join('01'[b] for b in bits), 2):032x}"
+
+
 def test_op2(spark, small):
     got = {r["doc_id"]: r for r in queries.op2_media(spark, small).collect()}
     for i, text in documents(small):
@@ -32,6 +46,7 @@ def test_op2(spark, small):
         assert (r["n_bytes"], r["payload_bytes"]) == (len(raw), len(payload))
         assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest()
         assert r["tail_crc32"] == zlib.crc32(payload[-64:])
+        assert r["feature"] == plain_feature(payload)
         made = media.encode_texts(raw, np.array([0, len(raw)]))[0]
         assert (r["media_bytes"], r["media_sha256"]) == (len(made), hashlib.sha256(made).hexdigest())
 
