@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..options import column
-from ..plans.skew import spread_join
+from ..plans.skew import hot_keys, spread_join
 from ..sources import as_table, validate_columns
 from .base import Result
 
@@ -54,7 +54,10 @@ class ProductAssociation(Result):
 
         def make() -> DataFrame:
             # a very large basket is paired in parts
-            met = spread_join(left, right, "g", "x", pairs.groupBy("g").agg(F.count("*").alias("n")), least=BASKET).filter("x < y" if targets is None else "x != y")
+            sizes = pairs.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") > BASKET)
+            rows = sizes.agg(F.sum("n")).head()[0]
+            large = hot_keys(sizes, "g", rows, BASKET) if rows else []
+            met = spread_join(left, right, "g", "x", large).filter("x < y" if targets is None else "x != y")
             return self._found(met, items, total, value_col, targets is None, min_cooccurrences, min_support, min_confidence, min_uplift)
 
         self._make = make

@@ -1,7 +1,13 @@
-"""Joins in which any share of the rows may name one key."""
+"""Joins in which any share of the rows may name one key.
+
+Adaptive execution splits a skewed partition of a join by itself where it may; these take the hot keys apart
+beforehand, where it may not or where a key's rows are wide.
+"""
 
 from __future__ import annotations
 
+from typing import Any
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,27 +16,23 @@ from pyspark.sql.pandas.types import to_arrow_type
 SHARES = 2048  # keys with more than this part of all rows are joined in parts
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, salt: str, sizes: DataFrame | None = None, how: str = "inner", least: int = 1, total: int | None = None) -> DataFrame:
-    """``left`` joined to ``right`` by ``key``, where any share of left's rows may name one key.
-
-    A job finds the keys with more than 1/SHARES of the rows, which are fewer than SHARES.  If there are
-    any, they are cut into parts by the hash of ``salt`` and right's rows of such a key are copied to its
-    parts (SHARES copies more in all for a side of one row per key).  ``sizes`` (``key, n``) are left's rows
-    per key, and ``total`` their number, if they are known (left is then not computed for that); keys of
-    ``least`` rows or fewer are never cut.
-    """
-    sizes = (left.groupBy(key).agg(F.count("*").alias("n")) if sizes is None else sizes).filter(F.col(key).isNotNull())
-    most = None
-    if total is None:
-        total, most = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).head()
+def hot_keys(sizes: DataFrame, key: str, total: int, least: int = 1) -> list[tuple[Any, int]]:
+    """Keys with more than 1/SHARES of ``total`` rows, and more than ``least``, with the number of parts to
+    cut them into.  ``sizes`` has ``key, n``, the rows per key (repeated rows do no harm), so there are
+    fewer than SHARES."""
     share = max(least, -(-total // SHARES))
-    if most is not None and most <= share:
-        return left.join(right, key, how)
-    hot = sizes.filter(F.col("n") > share).select(key, F.ceil(F.col("n") / share).alias("n")).collect()
+    found = sizes.filter((F.col("n") > share) & F.col(key).isNotNull())
+    return [tuple(r) for r in found.select(key, F.ceil(F.col("n") / share)).distinct().collect()]
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, salt: str, hot: list[tuple[Any, int]], how: str = "inner") -> DataFrame:
+    """``left`` joined to ``right`` by ``key``, hot keys (:func:`hot_keys`) of left in parts: left's rows are
+    dealt to these by the hash of ``salt``, right's are copied to them, which for a right side of one row
+    per key is SHARES copies more in all."""
     if not hot:
         return left.join(right, key, how)
     kind = to_arrow_type(left.schema[key].dataType)
-    listed = pa.table({key: pa.array([r[0] for r in hot], kind), "__shares": pa.array([r[1] for r in hot], pa.int64())})
+    listed = pa.table({key: pa.array([k for k, _ in hot], kind), "__shares": pa.array([n for _, n in hot], pa.int64())})
     parts = F.broadcast(left.sparkSession.createDataFrame(listed))
     shares = F.coalesce("__shares", F.lit(1).cast("long"))
     cut = left.join(parts, key, "left").withColumn("__part", F.pmod(F.xxhash64(salt), shares)).drop("__shares")

@@ -9,7 +9,7 @@ from tallymark import catalog, charts, options, streaming
 from tallymark.charts import style
 from tallymark.charts.render import draw, tree_grid
 from tallymark.plugin import Plugins, plugins
-from tallymark.plans.skew import spread_join
+from tallymark.plans.skew import hot_keys, spread_join
 from tallymark.sources import as_table, read_files, transactions, validate_columns, write_files
 
 import __spark_entry__ as entry
@@ -202,11 +202,14 @@ def test_spread_join(spark):
     """A key with a third of the rows, null keys, keys without a partner, and a right side of several rows per key."""
     left = spark.range(9_000).selectExpr("case when id % 3 = 0 then 7 when id % 41 = 0 then null else id end as k", "id as a")
     right = spark.range(6_000).selectExpr("id as k", "id * 2 as b").unionByName(spark.createDataFrame([(7, -1), (None, -2)], "k long, b long"))
+    hot = hot_keys(left.groupBy("k").agg(F.count("*").alias("n")), "k", 9_000)
+    assert hot == [(7, 3001 // 5 + 1)]
+    assert hot_keys(left.groupBy("k").agg(F.count("*").alias("n")), "k", 9_000, least=4_000) == []
     for how in ("inner", "left"):
-        for sizes in (None, left.groupBy("k").agg(F.count("*").alias("n"))):
-            got = spread_join(left, right, "k", "a", sizes, how)
+        for keys in (hot, []):
+            got = spread_join(left, right, "k", "a", keys, how)
             assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, left.join(right, "k", how).collect()), key=str)
-    plan = spread_join(left, right, "k", "a")._jdf.queryExecution().toString()
-    assert "__part" in plan and "__part" not in spread_join(left.filter("k != 7"), right, "k", "a")._jdf.queryExecution().toString()
+    assert "__part" in spread_join(left, right, "k", "a", hot)._jdf.queryExecution().toString()
     names = left.selectExpr("unhex(hex(k)) as k", "a")
-    assert spread_join(names, names.select("k").distinct(), "k", "a").count() == names.filter("k is not null").count()
+    hot = hot_keys(names.groupBy("k").agg(F.count("*").alias("n")), "k", 9_000)
+    assert len(hot) == 1 and spread_join(names, names.select("k").distinct(), "k", "a", hot).count() == names.filter("k is not null").count()
