@@ -19,8 +19,8 @@
 Exact but for the misses of banding and of pruning, whose probabilities are parameters:
 (1 - t**rows)**bands for a link at the threshold t, and ``miss`` at each batch.
 
-A hub, bucket, label, shingle or class that a large share of all rows names is joined in parts
-(``spread_join``), so no task gets all its rows.
+A hub, bucket, shingle or class that a large share of all rows names is joined in parts
+(``spread_join``), so no task gets all its rows; the narrow joins of labels are left to adaptive execution.
 
 Defined results: null, empty and wordless texts have an empty set and are linked with nothing;
 repeated rows and copies are one class; rows with null ids have no component and link nothing;
@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.skew import spread_join
+from ..plans.skew import hot_keys, spread_join
 from .common import arrow_map, drop_written, only, slices, text_bytes, type_of, written
 from .features import lowered_ascii
 
@@ -152,21 +152,23 @@ def places(classes: DataFrame, rule: Rule) -> DataFrame:
     width = 4 * rule.rows
     keys = F.array(*[F.xxhash64(F.lit(b), F.substring("sig", 1 + b * width, width)) for b in range(rule.bands)])
     rows = classes.select("set", F.explode(keys).alias("bucket"))
-    shared = written(rows.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1"), "buckets")
-    found = written(spread_join(rows, shared, "bucket", "set", shared.withColumnRenamed("members", "n")).select("set", "bucket", "members"), "places")
-    drop_written(shared)
-    return found
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
+    return written(rows.join(shared, "bucket").select("set", "bucket", "members"), "places")
 
 
 def hub_pairs(member: DataFrame) -> DataFrame:
     """``a, b``: every member of a bucket (``set, bucket, members``) with the bucket's hub."""
     weight = member.groupBy("set").agg(F.sum("members").alias("weight"))
     weighed = member.join(weight, "set")
-    hubs = written(weighed.groupBy("bucket").agg(F.max(F.struct("weight", "set")).alias("hub"), F.count("*").alias("n")), "hubs")
-    named = spread_join(member, hubs.select("bucket", "hub"), "bucket", "set", hubs.select("bucket", "n"))
-    found = written(named.select(F.col("set").alias("a"), F.col("hub.set").alias("b")).filter("a != b").distinct(), "pairs")
-    drop_written(hubs)
-    return found
+    hubs = weighed.groupBy("bucket").agg(F.max(F.struct("weight", "set")).alias("hub"))
+    hot = hot_keys(member.select("bucket", F.col("members").alias("n")), "bucket", member.count())
+    named = spread_join(member, hubs, "bucket", "set", hot)
+    return written(named.select(F.col("set").alias("a"), F.col("hub.set").alias("b")).filter("a != b").distinct(), "pairs")
+
+
+def hubs_of(pairs: DataFrame) -> list:
+    """The hot ones among the b of pairs (``a, b``, a written table)."""
+    return hot_keys(pairs.groupBy("b").agg(F.count("*").alias("n")), "b", pairs.count())
 
 
 def compared(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
@@ -189,8 +191,8 @@ def compared(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept), pa.array(matches[live])], ["a", "b", "matches"])
 
     own = classes.select("set", "n", "sig")
-    sides = spread_join(pairs.select("a", "b"), own.toDF("a", "n_a", "sig_a"), "a", "b", least=rule.bands)
-    sides = spread_join(sides, own.toDF("b", "n_b", "sig_b"), "b", "a", pairs.groupBy("b").agg(F.count("*").alias("n")))
+    sides = pairs.select("a", "b").join(own.toDF("a", "n_a", "sig_a"), "a")
+    sides = spread_join(sides, own.toDF("b", "n_b", "sig_b"), "b", "a", hubs_of(pairs))
     near = sides.filter((F.col("n_a") >= t * F.col("n_b") - 1e-6) & (F.col("n_b") >= t * F.col("n_a") - 1e-6))
     return arrow_map(near.select("a", "b", "sig_a", "sig_b"), "a binary, b binary, matches bigint", run)
 
@@ -214,8 +216,8 @@ def verified(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
                     good.append(bool(len(x)) and bottom * both >= top * (len(x) + len(y) - both))
                 yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(good)) for i in (0, 1)], ["a", "b"])
 
-    sides = spread_join(pairs.select("a", "b"), texts.toDF("a", "text_a"), "a", "b")
-    sides = spread_join(sides, texts.toDF("b", "text_b"), "b", "a", pairs.groupBy("b").agg(F.count("*").alias("n")))
+    sides = pairs.select("a", "b").join(texts.toDF("a", "text_a"), "a")
+    sides = spread_join(sides, texts.toDF("b", "text_b"), "b", "a", hubs_of(pairs))
     return arrow_map(sides.select("a", "b", "text_a", "text_b"), "a binary, b binary", run)
 
 
@@ -225,7 +227,7 @@ def roots(parents: DataFrame) -> DataFrame:
     state = written(parents.select(F.col("a").alias("set"), F.col("b").alias("label")), "labels")
     while True:
         jump = state.select(F.col("set").alias("label"), F.col("label").alias("far"))
-        after = written(spread_join(state.select("set", "label"), jump, "label", "set", how="left").select("set", F.coalesce("far", "label").alias("label"), F.col("far").isNotNull().alias("moved")), "labels")
+        after = written(state.select("set", "label").join(jump, "label", "left").select("set", F.coalesce("far", "label").alias("label"), F.col("far").isNotNull().alias("moved")), "labels")
         drop_written(state)
         moved = after.agg(F.max("moved").alias("m")).head()["m"]
         state = after
@@ -237,10 +239,10 @@ def roots(parents: DataFrame) -> DataFrame:
 def joined(state: DataFrame, more: DataFrame) -> DataFrame:
     """The labels after further links: components of the labels that those connect."""
     at = lambda side: state.select(F.col("set").alias(side), F.col("label").alias(f"l_{side}"))
-    named = spread_join(spread_join(more, at("a"), "a", "b", how="left"), at("b"), "b", "a", more.groupBy("b").agg(F.count("*").alias("n")), "left").select(F.coalesce("l_a", "a").alias("a"), F.coalesce("l_b", "b").alias("b"))
+    named = more.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("l_a", "a").alias("a"), F.coalesce("l_b", "b").alias("b"))
     merged = components(named.distinct()).select(F.col("set").alias("label"), F.col("label").alias("next"))
     fresh = merged.select(F.col("label").alias("set"), F.col("next").alias("label")).join(state, "set", "left_anti")
-    return spread_join(state.select("set", "label"), merged, "label", "set", how="left").select("set", F.coalesce("next", "label").alias("label")).unionByName(fresh)
+    return state.join(merged, "label", "left").select("set", F.coalesce("next", "label").alias("label")).unionByName(fresh)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -251,10 +253,10 @@ def components(links: DataFrame) -> DataFrame:
     both = written(links.select("a", "b").unionByName(links.selectExpr("b as a", "a as b")), "both")
     state = written(both.groupBy(F.col("a").alias("set")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "labels")
     while True:
-        near = spread_join(both, state.selectExpr("set as b", "label as near"), "b", "a").groupBy(F.col("a").alias("set")).agg(F.min("near").alias("near"))
+        near = both.join(state.selectExpr("set as b", "label as near"), "b").groupBy(F.col("a").alias("set")).agg(F.min("near").alias("near"))
         lower = state.select("set", "label").join(near, "set", "left").select("set", F.least("label", "near").alias("next"), "label")
         jump = lower.select(F.col("set").alias("next"), F.col("next").alias("far"))
-        after = written(spread_join(lower, jump, "next", "set", how="left", total=state.count()).select("set", F.least("next", "far").alias("label"), (F.least("next", "far") < F.col("label")).alias("moved")), "labels")
+        after = written(lower.join(jump, "next", "left").select("set", F.least("next", "far").alias("label"), (F.least("next", "far") < F.col("label")).alias("moved")), "labels")
         drop_written(state)
         moved = after.agg(F.max("moved").alias("m")).head()["m"]
         state = after
@@ -270,8 +272,8 @@ def open_classes(member: DataFrame, state: DataFrame, classes: DataFrame, rule:
     a partner being no smaller than t * n and than the smallest class of the buckets.
     """
     marked = member.select("set", "bucket").join(state, "set", "left").join(classes.select("set", "n"), "set").select("set", "bucket", "n", F.coalesce("label", "set").alias("label"))
-    several = written(marked.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least"), F.count("*").alias("members")).filter("low != high"), "several")
-    rows = spread_join(marked, several.select("bucket", "least"), "bucket", "set", several.select("bucket", F.col("members").alias("n"))).groupBy("set").agg(F.first("label").alias("label"), F.first("n").alias("n"), F.min("least").alias("least"))
+    several = marked.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least")).filter("low != high")
+    rows = marked.join(several.select("bucket", "least"), "bucket").groupBy("set").agg(F.first("label").alias("label"), F.first("n").alias("n"), F.min("least").alias("least"))
     top, bottom = rule.similarity.numerator, rule.similarity.denominator
     partner = F.expr(f"greatest(least, (n * {top} + {bottom - 1}) div {bottom})")
     return rows.select("set", "label", "n", ((F.col("n") + partner) * top / (top + bottom) - F.lit(1e-9)).alias("need")).withColumn("need", F.ceil("need"))
@@ -301,11 +303,11 @@ def rare_prefixes(held: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     """``set, shingle, n, place, label``: each open class's first shingles in a common order, rarest
     first, as far as a partner's first common shingle can lie (those no other class holds left out)."""
     rows = shingled(held, texts, rule)
-    holders = written(rows.groupBy("shingle").agg(F.count("*").alias("holders")).filter("holders > 1"), "holders")
+    holders = rows.groupBy("shingle").agg(F.count("*").alias("holders")).filter("holders > 1")
     of = Window.partitionBy("set")
     # a class's place in the common order counts its own shingles, which come first
     place = F.col("n") - F.count("*").over(of) + F.row_number().over(of.orderBy("holders", "shingle"))
-    ranked = spread_join(rows, holders, "shingle", "set", holders.withColumnRenamed("holders", "n")).select("set", "shingle", "n", "need", place.alias("place"))
+    ranked = rows.join(holders, "shingle").select("set", "shingle", "n", "need", place.alias("place"))
     return ranked.filter("place <= n - need + 1").select("set", "shingle", "n", "place").join(held.select("set", "label"), "set")
 
 
@@ -320,7 +322,8 @@ def last_pairs(first: DataFrame, rule: Rule) -> DataFrame:
     top, bottom = rule.similarity.numerator, rule.similarity.denominator
     overlap = f"((n_a + n_b) * {top} + {top + bottom - 1}) div {top + bottom}"
     fits = f"label_a < label_b and place_a <= n_a - {overlap} + 1 and place_b <= n_b - {overlap} + 1"
-    return spread_join(left, right, "shingle", "set_a", least=256).filter(fits).selectExpr("set_a as a", "set_b as b").distinct()
+    hot = hot_keys(first.groupBy("shingle").agg(F.count("*").alias("n")), "shingle", first.count(), least=256)
+    return spread_join(left, right, "shingle", "set_a", hot).filter(fits).selectExpr("set_a as a", "set_b as b").distinct()
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -333,10 +336,10 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id"
     classes = written(usable.groupBy("set").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.count("*").alias("copies")), "classes")
     member = places(classes, rule)
     labels = _labels(docs, member, classes, rule, id_col, text_col)
-    lowest = written(classes.join(labels, "set").groupBy("label").agg(F.min("least").alias("component"), F.count("*").alias("n")), "lowest")
-    found = spread_join(labels, lowest.select("label", "component"), "label", "set", lowest.select("label", "n")).select("set", "component")
+    lowest = classes.join(labels, "set").groupBy("label").agg(F.min("least").alias("component"))
+    found = labels.join(lowest, "label").select("set", "component")
     by_set = classes.select("set", "least").join(found, "set", "left").select("set", F.coalesce("component", "least").alias("component"))
-    told = spread_join(usable.select("id", "n", "set"), by_set, "set", "id", classes.select("set", F.col("copies").alias("n")), total=rows.count())
+    told = spread_join(usable.select("id", "n", "set"), by_set, "set", "id", hot_keys(classes.select("set", F.col("copies").alias("n")), "set", rows.count()))
     alone = rows.filter("id is null or n = 0").select("id", "n", F.col("id").alias("component"))
     out = told.select("id", "n", "component").unionByName(alone)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("component") == F.col("id"), F.lit(False)).alias("kept"))
