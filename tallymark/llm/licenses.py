@@ -5,16 +5,17 @@ over lines are found; a template is the set of a notice's words.  A pair is foun
 block holds at least ``threshold`` of the template's words.  Words of templates are put into one
 global order, rare ones first, by the number of texts that hold them, counted over the whole
 corpus.  A template's prefix are its first words in that order, as many as can be missing and one
-more: a block that reaches the threshold holds one of them.  Texts without any prefix word are
-passed over at once; blocks are probed against an index from prefix words to templates, thinned by
-the length filter and by the positional filter, and the survivors are verified on full sets.
+more: a block that reaches the threshold holds one of them.  Blocks are probed against an index from
+prefix words to templates, thinned by the length filter and by the positional filter, and the
+survivors are verified on full sets.
 
 The templates are few and given as a parameter; they, their index and their order travel as
-literals, so rows are neither shuffled nor joined.  Only DataFrame functions are used.
+literals, so rows are neither shuffled nor joined.  Only DataFrame functions are used.  The corpus is
+read once: what the order needs and what later steps need is written in that pass.
 
 Defined results: a null text is empty and has no words; a text of any length is read whole; ties
-and repeated rows are scanned each alike; an empty table gives an empty table; other columns
-than the id and text columns are not read.
+and repeated rows are scanned each alike; phrase places may overlap; an empty table gives an empty
+table; other columns than the id and text columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import only
+from .common import only, written
 
 #: Phrases whose places are counted, with their labels (fixed values).
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -43,10 +44,26 @@ TEMPLATES = [
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("gpl-2", "gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("gpl-3", "gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
+    ("agpl", "under the terms of the gnu affero general public license as published by the free software foundation"),
+    ("bsd-3", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("bsl-1", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("ofl-1.1", "this font software is licensed under the sil open font license version 1 1"),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
 ]
 
-#: Words that name a license: a template that has any of its label's is held only with all of them.
-NAMING = {"mit": {"mit"}, "apache-2": {"apache"}, "cc-by-nc": {"cc", "nc"}, "cc-by": {"creative", "commons"}, "gpl-3": {"gnu"}, "gpl": {"gnu"}, "mpl-2": {"mozilla"}}
+#: Words that tell a template from its likes: one that has any of its label's is held only with all of them.
+NAMING = {
+    "mit": {"mit", "associated", "files"}, "apache-2": {"apache"}, "cc-by-nc": {"cc", "nc"}, "cc-by": {"creative", "commons"}, "cc0": {"waived"},
+    "gpl": {"gnu", "program"}, "gpl-2": {"gnu", "2"}, "gpl-3": {"gnu", "3"}, "lgpl": {"lesser"}, "agpl": {"affero"}, "mpl-2": {"mozilla"}, "epl-2": {"eclipse"},
+    "isc": {"or", "with"}, "postgresql": {"written", "agreement"}, "bsl-1": {"organization", "accompanying"}, "ofl-1.1": {"sil", "font"}, "unlicense": {"unencumbered"},
+}
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -89,12 +106,10 @@ def phrase_places(text: Column, phrase: str) -> tuple[Column, Column, Column]:
     return F.when(found, places).otherwise(F.lit(0)).cast("long"), F.when(found, _words_in(before)), F.when(found, _words_in(last))
 
 
-def word_order(docs: DataFrame, words: list[str], text_col: str = "text") -> list[str]:
-    """Template words, the rarest over all texts first (ties by the word).  A row per template
-    word reaches the driver."""
-    texts = only(docs, text_col).select(spaced(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).alias("t"))
-    held = texts.select(F.explode(F.array_intersect(F.split("t", "  ?"), F.lit(words))).alias("word"))
-    seen = {r["word"]: r["count"] for r in held.groupBy("word").count().collect()}
+def word_order(held: DataFrame, words: list[str]) -> list[str]:
+    """Template words, the rarest over all texts first (ties by the word), from the words that each text
+    holds (``held``).  A row per template word reaches the driver."""
+    seen = {r["word"]: r["count"] for r in held.select(F.explode("held").alias("word")).groupBy("word").count().collect()}
     return sorted(words, key=lambda w: (seen.get(w, 0), w))
 
 
@@ -193,33 +208,38 @@ def window_hits(text: Column, templates: list[tuple[str, str]], order: list[str]
     return F.transform(F.filter(found, lambda f: f["n"] >= f["row"]["need"]), lambda f: F.struct(f["row"]["label"].alias("label"), (f["n"] / F.size(f["row"]["words"])).alias("held")))
 
 
+def _least(words: str, threshold: float) -> int:
+    return max(1, math.ceil(threshold * len(set(words.split())) - 1e-9))
+
+
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, phrases: dict[str, str] | None = None, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, n_words, n_base, first_word, last_word, base_labels, labels, score``.
 
     ``base_labels`` are the labels of the phrases found, ``labels`` those and the labels of all
     templates that a line or a run of words holds; ``score`` is the largest containment (1 for a phrase).
+
+    The texts are read once: words and phrases are counted, and a text stays in the written table
+    only if it holds enough words of some template as a whole, as it must if a block of it does.
     """
     templates, phrases = templates if templates is not None else TEMPLATES, phrases if phrases is not None else PHRASES
     words = sorted({w for _, t in templates for w in t.split()})
-    order = word_order(docs, words, text_col)
-    prefixes = _ordered(templates, order, threshold)[2]
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = only(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("id"), text.alias("whole"), spaced(text).alias("t"))
-    lines = F.transform(F.split("whole", "[\n\r]+"), spaced)
-    any_prefix = F.rlike("t", F.lit(" (" + "|".join(sorted(prefixes)) + ") ")) if prefixes else F.lit(False)
-    empty = F.lit([]).cast("array<struct<label:string,held:double>>")
-    hits = empty
+    places = [(label, *phrase_places(F.col("t"), phrase)) for phrase, label in phrases.items()]
+    base = F.array(*[F.struct(F.lit(label).alias("label"), n.alias("n"), a.alias("a"), b.alias("b")) for label, n, a, b in places])
+    own = F.array_intersect(F.lit(words).cast("array<string>"), F.split(F.trim("t"), "  "))
+    rows = rows.select("id", "whole", _words_in(F.col("t")).alias("n_words"), base.alias("base"), own.alias("held"))
+    table = F.array(*[F.struct(F.lit(sorted(set(t.split()))).alias("words"), F.lit(_least(t, threshold)).alias("need"), _naming((label, t)).alias("naming")) for label, t in templates])
+    enough = F.exists(table, lambda row: (F.size(F.array_intersect(row["words"], F.col("held"))) >= row["need"]) & _named(row, F.col("held"))) if templates else F.lit(False)
+    rows = written(rows.withColumn("whole", F.when(enough, F.col("whole"))), "licenses")
+    hits = F.lit([]).cast("array<struct<label:string,held:double>>")
     if templates:
+        order = word_order(rows, words)
+        lines = F.transform(F.split("whole", "[\n\r]+"), spaced)
         # a run within one line is part of that line's block
-        wrapped = F.when(F.rlike(F.trim("whole"), F.lit("[\n\r]")), window_hits(F.col("t"), templates, order, threshold)).otherwise(empty)
-        hits = F.when(any_prefix, F.concat(block_hits(lines, templates, order, threshold), wrapped)).otherwise(empty)
-    places = [(label, *phrase_places(F.col("t"), phrase)) for phrase, label in phrases.items()]
-    rows = rows.select(
-        "id",
-        _words_in(F.col("t")).alias("n_words"),
-        F.array(*[F.struct(F.lit(label).alias("label"), n.alias("n"), a.alias("a"), b.alias("b")) for label, n, a, b in places]).alias("base"),
-        hits.alias("hits"),
-    )
+        wrapped = F.when(F.rlike(F.trim("whole"), F.lit("[\n\r]")), window_hits(spaced(F.col("whole")), templates, order, threshold)).otherwise(hits)
+        hits = F.when(F.col("whole").isNotNull(), F.concat(block_hits(lines, templates, order, threshold), wrapped)).otherwise(hits)
+    rows = rows.select("id", "n_words", "base", hits.alias("hits"))
     found = F.filter("base", lambda p: p["n"] > 0)
     base = F.array_sort(F.array_distinct(F.transform(found, lambda p: p["label"])))
     labels = F.array_sort(F.array_union(base, F.array_distinct(F.transform("hits", lambda h: h["label"]))))
