@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import written
+from .skew import hot_keys, spread_join
 
 ROWS = 1 << 16  # rows of a range, on average
 RANGES = 1024  # ranges at most
@@ -25,8 +26,7 @@ SAMPLE = 16 * RANGES  # rows that the bounds of ranges are taken from
 class Order:
     """One order of a table: by value, nulls last (NaN is the largest number), then by tie, rising.
 
-    With ``shared`` equal values share the first of their places (a rank), for which all of them must lie
-    in one range, cut by the value alone."""
+    With ``shared`` equal values share the first of their places (a rank)."""
 
     value: Column
     out: str
@@ -70,7 +70,7 @@ def positions(data: DataFrame, orders: list[Order], count: str = "n", ranges: in
     """
     columns = data.columns
     keys = {f"__key{i}": F.struct(o.value.alias("value"), (o.tie if o.tie is not None else F.lit(0)).alias("tie")) for i, o in enumerate(orders)}
-    rows = written(data.withColumns(keys), "ranks")
+    rows = written(data.withColumns(keys | {"__spin": F.monotonically_increasing_id()}), "ranks")
     n = rows.count()
     parts = ranges or min(RANGES, max(1, -(-n // ROWS)))
     shown = [F.col(f"`{c}`") for c in columns]
@@ -84,24 +84,41 @@ def positions(data: DataFrame, orders: list[Order], count: str = "n", ranges: in
         listed = F.array_sort(key, order._first)
         return F.transform(F.sequence(F.lit(1), F.lit(parts - 1)), lambda i: F.get(listed, (i * F.size(listed) / parts).cast("int")))
 
-    bounds = sampled.select([cuts(o, k).alias(f"__b{i}") for i, (o, k) in enumerate(zip(orders, keys, strict=True))])
-    dealt = rows.crossJoin(F.broadcast(bounds))
+    bounds = F.broadcast(sampled.select([cuts(o, k).alias(f"__b{i}") for i, (o, k) in enumerate(zip(orders, keys, strict=True))]))
     step = max(1, int((parts - 1) ** 0.5))
-    # a range's code holds the order's number, so one count serves all orders
-    dealt = dealt.withColumns({f"__r{i}": _range_of(o, F.col(f"__key{i}"), f"__b{i}", step) + i * (parts + 1) for i, o in enumerate(orders)})
-    dealt = dealt.drop(*[f"__b{i}" for i in range(len(orders))])
-    sizes = dealt.select(F.explode(F.array(*[F.col(f"__r{i}") for i in range(len(orders))])).alias("r")).groupBy("r").agg(F.count("*").alias("size"))
-    per_order = Window.partitionBy(F.floor(F.col("r") / (parts + 1))).orderBy("r")
-    begun = sizes.select("r", (F.sum("size").over(per_order) - F.col("size")).alias("start"))
-    known = begun.agg(F.map_from_entries(F.collect_list(F.struct("r", "start"))).alias("__starts"))  # a row per range and order
-    out = dealt.crossJoin(F.broadcast(known))
+    alone = [i for i, o in enumerate(orders) if not o.shared]
+    out = rows
+    if alone:
+        dealt = rows.crossJoin(bounds)
+        # a range's code holds the order's number, so one count serves all orders
+        dealt = dealt.withColumns({f"__r{i}": _range_of(orders[i], F.col(f"__key{i}"), f"__b{i}", step) + i * (parts + 1) for i in alone})
+        dealt = dealt.drop(*[f"__b{i}" for i in range(len(orders))])
+        sizes = dealt.select(F.explode(F.array(*[F.col(f"__r{i}") for i in alone])).alias("r")).groupBy("r").agg(F.count("*").alias("n"))
+        out = dealt.crossJoin(F.broadcast(_starts(sizes, parts)))
+        for i in alone:
+            window = Window.partitionBy(f"__r{i}").orderBy(*orders[i]._sorted(f"__key{i}"))
+            out = out.withColumn(orders[i].out, (F.element_at("__starts", F.col(f"__r{i}")) + F.row_number().over(window)).cast("long"))
+        out = out.drop("__starts")
     for i, o in enumerate(orders):
-        window = Window.partitionBy(f"__r{i}").orderBy(*o._sorted(f"__key{i}"))
-        place = F.rank() if o.shared else F.row_number()
-        out = out.withColumn(o.out, (F.element_at("__starts", F.col(f"__r{i}")) + place.over(window)).cast("long"))
+        if o.shared:
+            # equal values share a place, so values are placed, each once, and rows take their value's:
+            # a value that many rows hold is one row in its range, and joined in parts
+            values = written(rows.groupBy(f"__key{i}").agg(F.count("*").alias("n")), "values")
+            ranged = values.crossJoin(bounds).withColumn("r", _range_of(o, F.col(f"__key{i}"), f"__b{i}", step))
+            starts = _starts(ranged.groupBy("r").agg(F.sum("n").alias("n")), parts)
+            before = F.sum("n").over(Window.partitionBy("r").orderBy(*o._sorted(f"__key{i}"))) - F.col("n")
+            placed = ranged.crossJoin(F.broadcast(starts)).select(f"__key{i}", (F.element_at("__starts", F.col("r")) + before + 1).cast("long").alias(o.out))
+            out = spread_join(out, placed, f"__key{i}", "__spin", hot_keys(values, f"__key{i}", n, least=ROWS))
     return out.select(*shown, F.lit(n).cast("long").alias(count), *[o.out for o in orders])
 
 
+def _starts(sizes: DataFrame, parts: int) -> DataFrame:
+    """One row with a map from a range's code to the number of rows in the ranges before it (``r, n``)."""
+    per_order = Window.partitionBy(F.floor(F.col("r") / (parts + 1))).orderBy("r")  # a row per range and order
+    begun = sizes.select("r", (F.sum("n").over(per_order) - F.col("n")).alias("start"))
+    return begun.agg(F.map_from_entries(F.collect_list(F.struct("r", "start"))).alias("__starts"))
+
+
 def percent_rank_of(position: Column, count: Column) -> Column:
     """percent_rank from a place among ``count`` rows without ties."""
     return F.when(count > 1, (position - 1) / (count - 1)).otherwise(F.lit(0.0))

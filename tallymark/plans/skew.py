@@ -22,7 +22,8 @@ def hot_keys(sizes: DataFrame, key: str, total: int, least: int = 1) -> list[tup
     fewer than SHARES."""
     share = max(least, -(-total // SHARES))
     found = sizes.filter((F.col("n") > share) & F.col(key).isNotNull())
-    return [tuple(r) for r in found.select(key, F.ceil(F.col("n") / share)).distinct().collect()]
+    rows = found.select(key, F.ceil(F.col("n") / share)).distinct().collect()
+    return [(k.asDict() if hasattr(k, "asDict") else k, n) for k, n in rows]
 
 
 def spread_join(left: DataFrame, right: DataFrame, key: str, salt: str, hot: list[tuple[Any, int]], how: str = "inner") -> DataFrame:
