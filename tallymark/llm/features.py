@@ -113,22 +113,21 @@ def shape_counts(data: bytes, offsets: np.ndarray, size: int = 2048) -> np.ndarr
     kind[repeated[place]] = REPEAT
     row = np.searchsorted(offsets, place, "right") - 1
     two = np.where(row[1:] == row[:-1], kind[:-1] * SHAPES + kind[1:] + SHAPES, -1)
-    out = np.zeros(rows * size, np.float32)
+    cells = []
     for of, gram in ((row, kind), (row[1:], two), (row[2:], np.where(row[2:] == row[:-2], (two[:-1] * SHAPES + kind[2:]) * 7919 + 104729, -1) if len(two) > 1 else np.zeros(0, np.int64))):
         if len(gram):
             good = gram >= 0
-            out += np.bincount(of[good] * size + gram[good] % size, minlength=rows * size).astype(np.float32)
-    return out.reshape(rows, size)
+            cells.append(of[good] * size + gram[good] % size)
+    return np.bincount(np.concatenate(cells), minlength=rows * size).astype(np.float32).reshape(rows, size)
 
 
 def word_counts(data: bytes, offsets: np.ndarray, size: int = 4096) -> np.ndarray:
     """For each row the hashed counts of its words, of its pairs of neighbouring words, and of the 3-
     and 4-byte parts of its words (with a mark at both ends)."""
     rows = len(offsets) - 1
-    out = np.zeros(rows * size, np.float32)
     row, code, distinct = words(data, offsets)
     if not len(row):
-        return out.reshape(rows, size)
+        return np.zeros((rows, size), np.float32)
     known = [b"<" + w + b">" for w in distinct.to_pylist()]
     own = np.array([zlib.crc32(w) for w in known], np.uint32)
     both = row[1:] == row[:-1]
@@ -148,6 +147,4 @@ def word_counts(data: bytes, offsets: np.ndarray, size: int = 4096) -> np.ndarra
         first, many = (np.cumsum(count) - count)[code], count[code]
         place = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
         cells.append(np.repeat(row, many) * size + part[place])
-    for cell in cells:
-        out += np.bincount(cell, minlength=rows * size).astype(np.float32)
-    return out.reshape(rows, size)
+    return np.bincount(np.concatenate(cells), minlength=rows * size).astype(np.float32).reshape(rows, size)
