@@ -19,8 +19,8 @@
 Exact but for the misses of banding and of pruning, whose probabilities are parameters:
 (1 - t**rows)**bands for a link at the threshold t, and ``miss`` at each batch.
 
-A hub, bucket, shingle or class that a large share of all rows names is joined in parts
-(``spread_join``), so no task gets all its rows; the narrow joins of labels are left to adaptive execution.
+A hub, bucket, label, shingle or class that a large share of all rows names is joined in parts
+(``spread_join``), so no task gets all its rows.
 
 Defined results: null, empty and wordless texts have an empty set and are linked with nothing;
 repeated rows and copies are one class; rows with null ids have no component and link nothing;
@@ -221,13 +221,18 @@ def verified(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     return arrow_map(sides.select("a", "b", "text_a", "text_b"), "a binary, b binary", run)
 
 
+def labels_of(state: DataFrame) -> list:
+    """The hot labels of a written table ``set, label``."""
+    return hot_keys(state.groupBy("label").agg(F.count("*").alias("n")), "label", state.count())
+
+
 def roots(parents: DataFrame) -> DataFrame:
     """``set, label`` of a forest ``a, b`` (every a has one b, which lies higher in a common order):
     labels jump to their own labels until all are roots, log(depth) rounds."""
     state = written(parents.select(F.col("a").alias("set"), F.col("b").alias("label")), "labels")
     while True:
         jump = state.select(F.col("set").alias("label"), F.col("label").alias("far"))
-        after = written(state.select("set", "label").join(jump, "label", "left").select("set", F.coalesce("far", "label").alias("label"), F.col("far").isNotNull().alias("moved")), "labels")
+        after = written(spread_join(state.select("set", "label"), jump, "label", "set", labels_of(state), "left").select("set", F.coalesce("far", "label").alias("label"), F.col("far").isNotNull().alias("moved")), "labels")
         drop_written(state)
         moved = after.agg(F.max("moved").alias("m")).head()["m"]
         state = after
@@ -242,7 +247,7 @@ def joined(state: DataFrame, more: DataFrame) -> DataFrame:
     named = more.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("l_a", "a").alias("a"), F.coalesce("l_b", "b").alias("b"))
     merged = components(named.distinct()).select(F.col("set").alias("label"), F.col("label").alias("next"))
     fresh = merged.select(F.col("label").alias("set"), F.col("next").alias("label")).join(state, "set", "left_anti")
-    return state.join(merged, "label", "left").select("set", F.coalesce("next", "label").alias("label")).unionByName(fresh)
+    return spread_join(state.select("set", "label"), merged, "label", "set", labels_of(state), "left").select("set", F.coalesce("next", "label").alias("label")).unionByName(fresh)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -337,7 +342,7 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id"
     member = places(classes, rule)
     labels = _labels(docs, member, classes, rule, id_col, text_col)
     lowest = classes.join(labels, "set").groupBy("label").agg(F.min("least").alias("component"))
-    found = labels.join(lowest, "label").select("set", "component")
+    found = spread_join(labels, lowest, "label", "set", labels_of(labels)).select("set", "component")
     by_set = classes.select("set", "least").join(found, "set", "left").select("set", F.coalesce("component", "least").alias("component"))
     told = spread_join(usable.select("id", "n", "set"), by_set, "set", "id", hot_keys(classes.select("set", F.col("copies").alias("n")), "set", rows.count()))
     alone = rows.filter("id is null or n = 0").select("id", "n", F.col("id").alias("component"))
@@ -362,7 +367,7 @@ def _labels(docs: DataFrame, member: DataFrame, classes: DataFrame, rule: Rule,
     texts = kept(_one_text(chosen, rule), "texts")
     best = kept(first.groupBy("a").agg(F.max(F.struct("matches", "b")).alias("best")).select("a", F.col("best.b").alias("b")), "best")
     links = kept(verified(best, texts, rule), "links")
-    state = roots(links)  # a hub lies above its members by (weight, digest)
+    state = written(roots(links), "labels")  # a hub lies above its members by (weight, digest)
     held = kept(open_classes(member, state, classes, rule), "open")
     held = kept(held.join(hopeless(held, texts, rule), "set", "left_anti"), "held")
     prefixes = kept(rare_prefixes(held, texts, rule), "prefixes")
