@@ -440,8 +440,9 @@ class Lexicon:
         return np.concatenate([self.tokens, pool]), begin, length
 
 
-def frequent_words(docs: DataFrame, vocab_path: str, size: int = 1 << 16, least: int = 2, text_col: str = "text") -> list[bytes]:
-    """The most frequent words of all texts, ``size`` at most, of ``least`` occurrences at least.
+def frequent_words(docs: DataFrame, vocab_path: str, size: int = 1 << 16, least: int = 2, longest: int = 64, text_col: str = "text") -> list[bytes]:
+    """The most frequent words of all texts, ``size`` at most, of ``least`` occurrences at least and
+    ``longest`` bytes at most, so what reaches the driver is bounded; other words are merged when met.
 
     A histogram of the counts (32 steps to each doubling) tells the count from which the words are
     few enough, so no task sends more than its share of those to the driver.
@@ -455,7 +456,8 @@ def frequent_words(docs: DataFrame, vocab_path: str, size: int = 1 << 16, least:
             if len(bounds) > 1:
                 words = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(data)])
                 counts = pc.value_counts(words)
-                yield pa.RecordBatch.from_arrays([counts.field("values"), counts.field("counts")], ["word", "n"])
+                short = pc.less_equal(pc.binary_length(counts.field("values")), longest)
+                yield pa.RecordBatch.from_arrays([counts.field("values").filter(short), counts.field("counts").filter(short)], ["word", "n"])
 
     texts = only(docs, text_col).select(F.col(f"`{text_col}`").cast("string").alias("text"))
     counted = arrow_map(texts, "word binary, n bigint", count)

@@ -64,6 +64,14 @@ def test_op9(spark, small, library):
         assert got[i]["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_frequent_words_are_bounded(spark):
+    texts = [" " + "x" * 70 + " long" + " often" * 9, " " + "x" * 70 + " long"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert bpe.frequent_words(docs, queries.vocab_path(), 1) == [b" often"]
+    assert sorted(bpe.frequent_words(docs, queries.vocab_path())) == [b" long", b" often"]
+    assert b" " + b"x" * 70 in bpe.frequent_words(docs, queries.vocab_path(), longest=100)
+
+
 def test_encode_decode_odd(spark, odd, library):
     encoded = bpe.encode(odd, queries.vocab_path(), bpe.compile_lexicon(odd, queries.vocab_path(), 50))
     rows = encoded.collect()
