@@ -62,7 +62,7 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage is cut there,
     and a lost executor costs only a re-read."""
     uri = new_uri(df.sparkSession, kind)
-    df.write.mode("overwrite").parquet(uri)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(uri)
     out = df.sparkSession.read.schema(df.schema).parquet(uri)
     out._tallymark_uri = uri
     return out
