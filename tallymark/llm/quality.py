@@ -109,9 +109,11 @@ def fit_model(counts: np.ndarray, labels: np.ndarray, dimensions: int = 96, neig
     cut = min(cut, counts.shape[1])
     if not len(labels):
         return Model(np.ones(counts.shape[1], np.float32), np.zeros((counts.shape[1], 1), np.float32), np.zeros((0, 1)), np.zeros(0), neighbours, sharpness, cut)
-    seen = (counts > 0).sum(0)
+    seen = np.count_nonzero(counts, axis=0)
     weight = np.where(seen > 0, np.log((1 + len(counts)) / (1 + seen)) + 1, 0).astype(np.float32)
-    rows = _weighted(counts, weight, cut)
+    rows = np.empty(counts.shape, np.float32)
+    for a in range(0, len(rows), ROWS):  # copies of a block at a time, not of the sample
+        rows[a : a + ROWS] = _weighted(counts[a : a + ROWS], weight, cut)
     basis = _directions(rows, dimensions)
     return Model(weight, basis, _unit((rows @ basis).astype(np.float64)), labels.astype(np.float64), neighbours, sharpness, cut)
 
