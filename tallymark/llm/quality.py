@@ -104,14 +104,15 @@ def _directions(rows: np.ndarray, number: int, rounds: int = 6) -> np.ndarray:
     return np.ascontiguousarray((made @ turn.T)[:, :number]).astype(np.float32)
 
 
-def fit_model(counts: np.ndarray, labels: np.ndarray, dimensions: int = 96, neighbours: int = 15, sharpness: float = 8.0, cut: int = SHAPE) -> Model:
-    """The latent space of a sample's counts, spanned by their leading singular directions."""
+def fit_model(counts: np.ndarray, labels: np.ndarray, dimensions: int = 96, neighbours: int = 15, sharpness: float = 8.0, cut: int = SHAPE, consume: bool = False) -> Model:
+    """The latent space of a sample's counts, spanned by their leading singular directions; with
+    ``consume`` the counts' memory is used for the weighted rows."""
     cut = min(cut, counts.shape[1])
     if not len(labels):
         return Model(np.ones(counts.shape[1], np.float32), np.zeros((counts.shape[1], 1), np.float32), np.zeros((0, 1)), np.zeros(0), neighbours, sharpness, cut)
     seen = np.count_nonzero(counts, axis=0)
     weight = np.where(seen > 0, np.log((1 + len(counts)) / (1 + seen)) + 1, 0).astype(np.float32)
-    rows = np.empty(counts.shape, np.float32)
+    rows = counts if consume else np.empty(counts.shape, np.float32)
     for a in range(0, len(rows), ROWS):  # copies of a block at a time, not of the sample
         rows[a : a + ROWS] = _weighted(counts[a : a + ROWS], weight, cut)
     basis = _directions(rows, dimensions)
@@ -150,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample:
     counts = np.zeros((got.num_rows, FEATURES), np.float32)
     for row, at, n in zip(counts, got.column("at").to_pylist(), got.column("n").to_pylist(), strict=True):
         row[np.frombuffer(at, "<u2")] = np.frombuffer(n, "<f4")
-    return fit_model(counts, got.column("label").to_numpy().astype(int), dimensions, neighbours)
+    return fit_model(counts, got.column("label").to_numpy().astype(int), dimensions, neighbours, consume=True)
 
 
 def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
