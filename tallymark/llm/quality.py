@@ -31,7 +31,7 @@ from .features import shape_counts, word_counts
 
 SHAPE, WORDS = 2048, 4096
 FEATURES = SHAPE + WORDS
-ROWS = 512  # texts whose counts are held at once
+ROWS = 256  # texts whose counts are held at once
 
 
 def text_counts(data: bytes, offsets: np.ndarray) -> np.ndarray:
