@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..storage import drop_written, new_uri, path_of, shared_dir, written
 
-__all__ = ["arrow_map", "drop_written", "fresh_names", "new_uri", "only", "put_bytes", "ragged", "shared_dir", "ship", "slices", "text_bytes", "type_of", "written"]
+__all__ = ["arrow_map", "drop_written", "fresh_names", "give_back", "new_uri", "only", "put_bytes", "ragged", "shared_dir", "ship", "slices", "text_bytes", "type_of", "written"]
 
 SLICE_BYTES = 2 << 20  # larger ones cost memory in every worker and save little time
 

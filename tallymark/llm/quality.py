@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, fresh_names, only, slices, text_bytes, type_of
+from .common import arrow_map, fresh_names, give_back, only, slices, text_bytes, type_of
 from .features import shape_counts, word_counts
 
 SHAPE, WORDS = 2048, 4096
@@ -151,7 +151,10 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample:
     counts = np.zeros((got.num_rows, FEATURES), np.float32)
     for row, at, n in zip(counts, got.column("at").to_pylist(), got.column("n").to_pylist(), strict=True):
         row[np.frombuffer(at, "<u2")] = np.frombuffer(n, "<f4")
-    return fit_model(counts, got.column("label").to_numpy().astype(int), dimensions, neighbours, consume=True)
+    model = fit_model(counts, got.column("label").to_numpy().astype(int), dimensions, neighbours, consume=True)
+    del got, counts
+    give_back()
+    return model
 
 
 def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:

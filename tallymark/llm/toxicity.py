@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, drop_written, fresh_names, only, slices, text_bytes, type_of, written
+from .common import arrow_map, drop_written, fresh_names, give_back, only, slices, text_bytes, type_of, written
 from .features import word_features, words
 from .quality import labelled_sample
 
@@ -68,21 +68,22 @@ def fit_linear(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int
     share = float(y.mean())
     mass = np.where(y > 0.5, np.sqrt(max(1.0, (1 - share) / share)), np.sqrt(max(1.0, share / (1 - share))))
     mass = (mass / mass.sum()).astype(np.float32)
-    scale = (1 / np.maximum(x.std(0), 0.01)).astype(np.float32)
-    x = x * scale
+    mean = x.mean(0, dtype=np.float64)
+    spread = np.sqrt(np.maximum(np.einsum("ij,ij->j", x, x, dtype=np.float64) / len(x) - mean**2, 0))
+    scale = (1 / np.maximum(spread, 0.01)).astype(np.float32)  # goes with the weights: no scaled copy of x
     w, b = np.zeros(x.shape[1], np.float32), 0.0
     v = np.random.default_rng(0).normal(size=x.shape[1]).astype(np.float32)
     for _ in range(12):  # the largest eigenvalue bounds the step
-        v = x.T @ (x @ v)
+        v = scale * (x.T @ (x @ (scale * v)))
         v /= max(np.linalg.norm(v), 1e-12)
-    step = 1 / (0.25 * (float(np.linalg.norm(x @ v) ** 2) * float(mass.max()) * 1.1 + 1) + penalty)
+    step = 1 / (0.25 * (float(np.linalg.norm(x @ (scale * v)) ** 2) * float(mass.max()) * 1.1 + 1) + penalty)
     w0, b0 = w.copy(), b
     for t in range(rounds):
         m = t / (t + 3)
         yw, yb = w + m * (w - w0), b + m * (b - b0)
-        error = (_sigmoid(x @ yw + yb) - y).astype(np.float32) * mass
+        error = (_sigmoid(x @ (scale * yw) + yb) - y).astype(np.float32) * mass
         w0, b0 = w, b
-        w = yw - step * (x.T @ error + penalty * yw)
+        w = yw - step * (scale * (x.T @ error) + penalty * yw)
         b = yb - step * float(error.sum())
     return Linear(w * scale, b)
 
@@ -224,7 +225,10 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", kinds: int
     y = got.column("label").to_numpy().astype(np.float64)
     kind = learnt_kinds(x, y, kinds)
     learnt = {f"kind_{k + 1}": (kind == k).astype(np.float64) for k in range(kinds)}
-    return fit_chain(x, learnt | {label_col: y}, chosen, got.column("fold").to_numpy())
+    chain = fit_chain(x, learnt | {label_col: y}, chosen, got.column("fold").to_numpy())
+    del got, bits, x
+    give_back()
+    return chain
 
 
 def classify(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
