@@ -8,20 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..options import column
-from ..plans.skew import hot_keys, spread_join
+from ..plans.pairs import pair_counts
+from ..plans.spread import dealt, distinct_count, keyed, parts
 from ..sources import as_table, validate_columns
+from ..storage import written
 from .base import Result
 
 
-BASKET = 1000  # items of a basket that are paired in one task
-
-
 class ProductAssociation(Result):
     """Directed pairs with ``occurrences_1, occurrences_2, cooccurrences, support, confidence, uplift``.
 
-    Items under ``min_occurrences`` leave before the self-join (their pairs could not be results),
-    so the join is over frequent items only.  Every unordered pair is counted once and mirrored
-    by an explode; with ``target_item`` only pairs that begin with a target are.
+    The distinct items of baskets are written once, when ``table`` is first asked for.  Items under
+    ``min_occurrences`` leave before they are paired (their pairs could not be results).  Every unordered pair
+    is counted once and mirrored by an explode; with ``target_item`` only pairs that begin with a target are.
     """
 
     def __init__(
@@ -44,33 +43,31 @@ class ProductAssociation(Result):
         targets = None if target_item is None else list(target_item) if isinstance(target_item, (list, tuple, set)) else [target_item]
         if targets is not None and (not targets or not all(isinstance(t, (str, int, float)) for t in targets)):
             raise ValueError("target_item must be an item or a list of items")
-        pairs = df.select(F.col(group).alias("g"), F.col(value_col).alias("i")).distinct()
-        total = pairs.filter("g is not null").agg(F.count_distinct("g").alias("total"))
-        items = pairs.filter("i is not null").groupBy("i").agg(F.count("g").alias("n")).filter(F.col("n") >= min_occurrences)
-        frequent = pairs.filter("g is not null").join(items, "i") if min_occurrences > 1 else pairs.filter("g is not null and i is not null")
-        left, right = frequent.select("g", F.col("i").alias("x")), frequent.select("g", F.col("i").alias("y"))
-        if targets is not None:
-            left = left.filter(F.col("x").isin(targets))
-
         def make() -> DataFrame:
-            # a very large basket is paired in parts
-            sizes = pairs.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") > BASKET)
-            rows = sizes.agg(F.sum("n")).head()[0]
-            large = hot_keys(sizes, "g", rows, BASKET) if rows else []
-            met = spread_join(left, right, "g", "x", large).filter("x < y" if targets is None else "x != y")
-            return self._found(met, items, total, value_col, targets is None, min_cooccurrences, min_support, min_confidence, min_uplift)
+            number = parts(df)
+            held = df.select(F.col(group).alias("g"), F.col(value_col).alias("i")).filter("g is not null")
+            pairs = written((dealt(held, number, "g", "i") if number else held).distinct(), "baskets")
+            total = distinct_count(pairs, number, "g", "total")
+            frequent = pairs.filter("i is not null")
+            items = frequent.groupBy("i").agg(F.count("*").alias("n")).filter(F.col("n") >= min_occurrences)
+            if min_occurrences > 1:
+                frequent = written(frequent.join(keyed(items.select("i"), number, "i"), "i"), "frequent")
+            together = pair_counts(frequent, "g", "i", number, targets).withColumnRenamed("n", "cooccurrences").filter(F.col("cooccurrences") >= min_cooccurrences)
+            return self._found(together, items, total, number, value_col, targets is None, min_support, min_confidence, min_uplift)
 
         self._make = make
 
-    def _found(self, met: DataFrame, items: DataFrame, total: DataFrame, value_col: str, mirrored: bool, min_cooccurrences: int, min_support: float, min_confidence: float, min_uplift: float) -> DataFrame:
-        together = met.groupBy("x", "y").agg(F.count("*").alias("cooccurrences")).filter(F.col("cooccurrences") >= min_cooccurrences)
-        known = together.join(items.select(F.col("i").alias("x"), F.col("n").alias("n_x")), "x").join(items.select(F.col("i").alias("y"), F.col("n").alias("n_y")), "y").crossJoin(F.broadcast(total))
+    def _found(self, together: DataFrame, items: DataFrame, total: DataFrame, number: int | None, value_col: str, mirrored: bool, min_support: float, min_confidence: float, min_uplift: float) -> DataFrame:
+        side = lambda of: keyed(items.select(F.col("i").alias(of), F.col("n").alias(f"n_{of}")), number, of)
+        known = together.join(side("x"), "x").join(side("y"), "y").crossJoin(F.broadcast(total))
         support = F.col("cooccurrences") / F.col("total")
         known = known.withColumn("support", support).filter(F.col("support") >= min_support)
         known = known.withColumn("uplift", F.col("support") / ((F.col("n_x") / F.col("total")) * (F.col("n_y") / F.col("total")))).filter(F.col("uplift") >= min_uplift)
         one = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"), F.col(f"n_{a}").alias("n_a"), F.col(f"n_{b}").alias("n_b"))
         ways = F.array(one("x", "y"), one("y", "x")) if mirrored else F.array(one("x", "y"))
         both = known.select(F.explode(ways).alias("p"), "cooccurrences", "support", "uplift").withColumn("confidence", F.col("cooccurrences") / F.col("p.n_a")).filter(F.col("confidence") >= min_confidence)
-        return both.select(
+        order = [f"{value_col}_1", f"{value_col}_2"]
+        shown = both.select(
             F.col("p.a").alias(f"{value_col}_1"), F.col("p.b").alias(f"{value_col}_2"), F.col("p.n_a").alias("occurrences_1"), F.col("p.n_b").alias("occurrences_2"), "cooccurrences", "support", "confidence", "uplift"
-        ).orderBy(f"{value_col}_1", f"{value_col}_2")
+        )
+        return shown.repartitionByRange(number, *order).sortWithinPartitions(*order) if number else shown.orderBy(*order)
