@@ -16,6 +16,7 @@ from . import charts
 from . import operators as ops
 from .functions import haversine_distance, ratio_metric
 from .plans.grouping import cube, rollup
+from .plans.spread import dealt, parts
 from .sources import as_table, read_files, table, transactions, write_files
 from .storage import new_uri
 
@@ -241,7 +242,17 @@ def nlr_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _products(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
-    return transactions(spark, sf_dir).groupBy("product_id", *keys).agg(F.sum(F.col("unit_quantity").cast("long")).alias("units"), F.count_distinct("customer_id").alias("customers"), F.count_distinct("transaction_id").alias("trips"))
+    """Units, customers and trips of products: a row per kind and value, so that distinct counts need no
+    shuffle besides the one that brings a product's rows together."""
+    lines = transactions(spark, sf_dir)
+    number, by = parts(lines), ["product_id", *keys]
+    rows = lines.select(*by, F.col("unit_quantity").cast("long").alias("units"), "customer_id", "transaction_id")
+    rows = dealt(rows, number, "product_id") if number else rows
+    value = lambda c, t, u: F.struct(c.alias("c"), t.alias("t"), u.alias("u"))
+    none, customer, trip = F.lit(None).cast("long"), F.col("customer_id"), F.col("transaction_id")
+    kinds = F.array(value(customer, none, F.col("units")), value(none, trip, none))
+    seen = rows.select(*by, F.inline(kinds)).groupBy(*by, "c", "t").agg(F.sum("u").alias("u"))
+    return seen.groupBy(*by).agg(F.sum("u").alias("units"), F.count("c").alias("customers"), F.count("t").alias("trips"))
 
 
 _PRODUCTS = "p as (select product_id{0}, cast(sum(cast(unit_quantity as bigint)) as bigint) units, count(distinct customer_id) customers, count(distinct transaction_id) trips from tx group by all)"
