@@ -7,15 +7,22 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..functions import aggregate, safe_div
 from ..options import column
-from ..plans.grouping import Distinct, aggregate_sets, plan
+from ..plans.grouping import Distinct, Median, aggregate_sets, plan
+from ..plans.spread import parts
 from ..sources import as_table, validate_columns
+from ..storage import written
 from .base import Result, listed
 
+UNKNOWN = "__unknown"  # the condition of unidentified customers
 
-def _measure(function: str, source: str, where: Column | None = None) -> Column | Distinct:
+
+def _measure(data: DataFrame, function: str, source: str, where: Column | None = None) -> Column | Distinct | Median:
+    if function == "median" and isinstance(data.schema[source].dataType, NumericType):
+        return Median(source, where)
     return Distinct(source, where) if function == "nunique" else aggregate(function, source, where)
 
 
@@ -56,30 +63,45 @@ class SegTransactionStats(Result):
         for source, function in self.extra.values():
             validate_columns(data, [source])
             aggregate(function, source)
-        aggregates, self.split = self._aggregates(data, unknown_customer_value), unknown_customer_value is not None
-        grouped = aggregate_sets(data, segments, sets, aggregates, dict(zip(segments, values, strict=True)))
-        self.segments, self.table = segments, self._ratios(grouped)
+        self.segments, self.split = segments, unknown_customer_value is not None
+        flag = self._flag(data, unknown_customer_value)
+        flagged = data if flag is None else data.withColumn(UNKNOWN, flag)
+        aggregates = self._aggregates(flagged)
+        read = [column(c) for c in ("unit_spend", "transaction_id", "unit_quantity", "customer_id") if column(c) in data.columns]
+        read += [*segments, *[c for c, _ in self.extra.values()], *([UNKNOWN] if self.split else [])]
+        # a large table is computed once, for every distinct count and median reads it again
+        kept = flagged.select(*[F.col(f"`{c}`") for c in dict.fromkeys(read)])
+
+        def make() -> DataFrame:
+            number = parts(data)
+            rows = written(kept, "segments") if number else kept
+            return self._ratios(aggregate_sets(rows, segments, sets, aggregates, dict(zip(segments, values, strict=True)), number))
+
+        self._make = make
+
+    @staticmethod
+    def _flag(data: DataFrame, unknown: Any) -> Column | None:
+        if unknown is None or isinstance(unknown, Column):
+            return unknown
+        validate_columns(data, [column("customer_id")])
+        return F.col(column("customer_id")) == F.lit(unknown)
 
-    def _aggregates(self, data: DataFrame, unknown: Any) -> dict[str, Column | Distinct]:
+    def _aggregates(self, data: DataFrame) -> dict[str, Column | Distinct | Median]:
         standard = [("unit_spend", "unit_spend", "sum"), ("transaction_id", "transaction_id", "nunique")]
         standard += [("unit_quantity", "unit_quantity", "sum")] if self.has_units else []
         named = [(column(f"agg.{a}"), column(c), f) for a, c, f in standard]
         customers = (column("agg.customer_id"), column("customer_id"), "nunique")
         extra = [(name, c, f) for name, (c, f) in self.extra.items()]
-        if unknown is None:
-            return {name: _measure(f, c) for name, c, f in [*named, *([customers] if self.has_customers else []), *extra]}
-        if isinstance(unknown, Column):
-            flag = unknown
-        else:
-            validate_columns(data, [column("customer_id")])
-            flag = F.col(column("customer_id")) == F.lit(unknown)
+        if not self.split:
+            return {name: _measure(data, f, c) for name, c, f in [*named, *([customers] if self.has_customers else []), *extra]}
+        flag = F.col(UNKNOWN)
         suffix, total = column("suffix.unknown_customer"), column("suffix.total")
         out = {}
         for name, c, f in [*named, *extra]:
             fill = name not in self.extra
             for ending, where in (("", ~flag), (f"_{suffix}", flag), (f"_{total}", None)):
-                made = _measure(f, c, where)
-                out[name + ending] = F.coalesce(made, F.lit(0)) if fill and where is not None and not isinstance(made, Distinct) else made
+                made = _measure(data, f, c, where)
+                out[name + ending] = F.coalesce(made, F.lit(0)) if fill and where is not None and not isinstance(made, (Distinct, Median)) else made
         if self.has_customers:
             out[customers[0]] = Distinct(customers[1], ~flag)
         return out

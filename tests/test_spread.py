@@ -84,3 +84,22 @@ def test_pairs_are_shuffled_as_lists(spark, small, many):
     plan = ops.CustomerDecisionHierarchy(transactions(spark, small), "store_id", exclude_same_transaction_products=False)._met
     shown = plan._jdf.queryExecution().optimizedPlan().toString()
     assert "posexplode(items" in shown and "customer" not in shown.split("Aggregate")[1]
+
+
+@pytest.mark.parametrize("name", ["seg_stats_extra_aggs", "seg_stats_cube_fixed", "seg_stats_unknown"])
+def test_segments_in_many_partitions(spark, small, many, name):
+    equals_sql(spark, small, name)
+
+
+def test_median_of_sets(spark):
+    """Even and odd numbers, null keys and values, a group without values, signs, zero, infinite values and NaN."""
+    inf, nan = float("inf"), float("nan")
+    values = {"a": [1.0, 1.0, 2.0, 900.0], "b": [-3.0, 0.0, 5e-320], "c": [None], None: [4.0, 4.5], "d": [-inf, -1e308, -1e-300, 7.0, inf, nan], "e": [nan, 1.0, nan], "f": [2.0, 2.000001, 2.000002, 2.000003]}
+    rows = [(s, str(i), v) for s, vs in values.items() for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "segment_name string, transaction_id string, unit_spend double").repartition(3)
+    made = ops.SegTransactionStats(df, "segment_name", grouping_sets="total", extra_aggs={"m": ("unit_spend", "median")}).table
+    shown = {r["segment_name"]: r["m"] for r in made.collect()}
+    want = {r["segment_name"]: r["m"] for r in df.groupBy("segment_name").agg(F.percentile("unit_spend", F.lit(0.5)).alias("m")).collect()}
+    want["Total"] = df.agg(F.percentile("unit_spend", F.lit(0.5))).head()[0]
+    assert {k: str(v) for k, v in shown.items()} == {k: str(v) for k, v in want.items()}
+    assert "percentile(" not in made._jdf.queryExecution().optimizedPlan().toString()
