@@ -34,6 +34,33 @@ def test_parts_follow_the_input(spark, small, monkeypatch):
     assert tasks(transactions(spark, small)) > 20
 
 
+@pytest.fixture
+def wide(spark):
+    """A session with more partitions than the input asks for."""
+    names = {"spark.sql.shuffle.partitions": "500", "spark.sql.adaptive.coalescePartitions.enabled": "true"}
+    before = {n: spark.conf.get(n) for n in names}
+    for n, v in names.items():
+        spark.conf.set(n, v)
+    yield spark
+    for n, v in before.items():
+        spark.conf.set(n, v)
+
+
+def test_parts_where_the_session_has_more(wide, small, many):
+    """Adaptive execution merges the session's partitions, down to the cores: only where it may not they are kept."""
+    lines = wide.read.parquet(f"{small}/lineitem.parquet")
+    assert 20 < spread.parts(lines) < 500
+    wide.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    assert spread.parts(lines) is None
+
+
+@pytest.mark.parametrize("name", ["assoc_target", "assoc_sparse", "composite_rank_mean"])
+def test_wide_session_is_not_merged(wide, small, many, name):
+    equals_sql(wide, small, name)
+    made = catalog.queries()[name](wide, small) if name.startswith("assoc") else catalog._products(wide, small)
+    assert 20 < tasks(made) < 500
+
+
 @pytest.mark.parametrize("name", ["cdh_pairs", "cdh_met_pairs", "cdh_distances"])
 def test_hierarchy_in_many_partitions(spark, small, many, name):
     equals_sql(spark, small, name)
